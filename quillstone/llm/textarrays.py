@@ -126,11 +126,10 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int = 5, whole:
     short = np.flatnonzero((counts > 0) & (counts < width)) if whole else []
     if len(short):
         extra = np.zeros(len(short), np.uint64)
-        for i, doc in enumerate(short):
-            h = np.uint64(counts[doc])
-            for w in words[bounds[doc] : bounds[doc + 1]]:
-                h = np.multiply(h, _SHINGLE) + w
-            extra[i] = h
+        for j in range(width - 1):
+            here = counts[short] > j
+            extra[here] = extra[here] * _SHINGLE + words[bounds[short[here]] + j]
+        extra ^= counts[short].astype(np.uint64)
         out = np.insert(out, out_bounds[short], mix64(extra))
         full[short] = 1
         out_bounds = np.concatenate([[0], np.cumsum(full)]).astype(np.int64)
