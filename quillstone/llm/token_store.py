@@ -173,6 +173,8 @@ class Encoder:
         self.memory: dict[str, bytes] = {}
         self.most = most
         self.free = self._free_of_space()
+        one = lambda w: self.tok.encode(w, add_special_tokens=False).ids
+        self.apart = all(one("Word" + c) == one("word") + one(c) for c in ".,;:!?")
 
     def _free_of_space(self) -> bool:
         probe = ["a b", "a  b", "a\tb\n c", " a", "b "]
@@ -187,17 +189,31 @@ class Encoder:
         memory = self.memory
         split = [t.split() for t in texts]
         fresh = {w for words in split for w in words if w not in memory}
-        if fresh:
-            if len(memory) + len(fresh) > self.most:
-                memory.clear()
-                fresh = {w for words in split for w in words}
-            fresh = list(fresh)
-            for a in range(0, len(fresh), 50_000):
-                part = fresh[a : a + 50_000]
-                for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                    memory[w] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([memory[w] for w in words]), np.uint32) for words in split]
-
+        if not fresh:
+            return [np.frombuffer(b"".join([memory[w] for w in words]), np.uint32) for words in split]
+        # a word and the sign behind it are tokens apart, and these tokenizers lower-case: fewer stems than stretches
+        stems = {w: self._parts(w) for w in fresh}
+        missing = list({p for parts in stems.values() for p in parts if p not in memory})
+        found = {}
+        for a in range(0, len(missing), 50_000):
+            part = missing[a : a + 50_000]
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                found[w] = np.array(e.ids, np.uint32).tobytes()
+        found |= {w: b"".join([found[p] if p in found else memory[p] for p in parts]) for w, parts in stems.items()}
+        if len(memory) + len(found) <= self.most:  # once full, it keeps what came first: the frequent stretches
+            memory.update(found)
+            found = memory
+        get = found.get
+        return [np.frombuffer(b"".join([get(w) or memory[w] for w in words]), np.uint32) for words in split]
+
+    def _parts(self, w: str) -> tuple[str, ...]:
+        tail = w[-1] if w[-1] in ".,;:!?" else ""
+        stem = w[:-1] if tail else w
+        if not (self.apart and stem.isalpha()):
+            return (w,)
+        if stem.isascii():
+            stem = stem.lower()
+        return (stem, tail) if tail else (stem,)
 
 def encoder(path: str) -> Encoder:
     import os
@@ -291,7 +307,11 @@ def _shard_of(value, bounds: list[int]):
     return F.when(value.isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
 
 
-def _read_task(batches):
+def _read_task(with_ids: bool):
+    return lambda batches: _read_blocks(batches, with_ids)
+
+
+def _read_blocks(batches, with_ids: bool):
     for batch in batches:
         for r in batch.to_pylist():
             ids = decode(np.frombuffer(r["words"], "<u8")).astype("<u4")
@@ -299,20 +319,22 @@ def _read_task(batches):
                 raise ValueError(f"damaged block {r['shard']}/{r['block']}")
             ends = np.cumsum(np.array(r["lengths"], np.int64))
             starts = ends - np.array(r["lengths"], np.int64)
-            yield pa.record_batch(
-                {
-                    "shard": pa.array(np.full(len(ends), r["shard"], np.int32)),
-                    "block": pa.array(np.full(len(ends), r["block"], np.int32)),
-                    "doc_id": pa.array(r["doc_ids"], pa.int64()),
-                    "at": pa.array(starts),
-                    "n_tokens": pa.array(ends - starts),
-                    "ids": pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
-                }
-            )
-
-
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every stored document; ``ids`` are little-endian unsigned 32-bit integers."""
+            cols = {
+                "shard": pa.array(np.full(len(ends), r["shard"], np.int32)),
+                "block": pa.array(np.full(len(ends), r["block"], np.int32)),
+                "doc_id": pa.array(r["doc_ids"], pa.int64()),
+                "at": pa.array(starts),
+                "n_tokens": pa.array(ends - starts),
+                "ids_crc32": pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends)], pa.int64()),
+            }
+            if with_ids:
+                cols["ids"] = pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())
+            yield pa.record_batch(cols)
+
+
+def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every stored document; ``ids`` are little-endian unsigned 32-bit
+    integers, decoded in any case and left out of the result on demand."""
     blocks = spark.read.parquet(path)
     size = blocks.groupBy("shard", "block").agg(F.sum("n_ids").alias("n"))
     inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -320,8 +342,9 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     over = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     first = per_shard.select("shard", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("first"))
     at = size.select("shard", "block", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("before")).join(first, "shard")
-    docs = blocks.mapInArrow(_read_task, "shard int, block int, doc_id long, at long, n_tokens long, ids binary")
-    return docs.join(at, ["shard", "block"]).select("doc_id", (F.col("first") + F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")
+    schema = "shard int, block int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    docs = blocks.mapInArrow(_read_task(with_ids), schema)
+    return docs.join(at, ["shard", "block"]).select("doc_id", (F.col("first") + F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def store_digest(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -331,4 +354,4 @@ def store_digest(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataF
     spark = docs.sparkSession
     path = f"{shared_root(spark)}/quillstone/tokens-{uuid.uuid4().hex}"
     write_store(docs, path, tokenizer, end_id)
-    return read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_store(spark, path, with_ids=False)
