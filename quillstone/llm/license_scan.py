@@ -18,7 +18,6 @@ are scanned whole.
 from __future__ import annotations
 
 import math
-import re
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +28,8 @@ from .common import text_of
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAREST, DRIFT, SHARE = 24, 3, 0.6
 
+FUNCTION_WORDS = "a an and any are as at be by for from in is it may not of on or so that the this to was were will with you".split()
+
 #: label -> phrase; fixed by the query's contract.
 BASE = {
     "mit": "under the mit license",
@@ -104,12 +105,16 @@ class PositionalIndex:
             for w in ws:
                 holders.setdefault(w, set()).add(t)
         self.idf = {w: round(math.log(1 + len(words) / len(h)), 6) for w, h in holders.items()}
+        for w in FUNCTION_WORDS:  # stand everywhere in files: no way to find a license by them
+            self.idf.pop(w, None)
         self.postings: dict[str, list[tuple[int, int]]] = {}
         self.weight = []
         for t, ws in enumerate(words):
             for p, w in enumerate(ws):
+                if w not in self.idf:
+                    continue
                 self.postings.setdefault(w, []).append((t, p))
-            own = sorted(set(ws), key=lambda w: (-self.idf[w], w))[:rarest]
+            own = sorted(set(ws) & set(self.idf), key=lambda w: (-self.idf[w], w))[:rarest]
             self.weight.append(sum(self.idf[w] * ws.count(w) for w in own))
         self.phrases = [templates[t][1] for t in self.labels]
 
@@ -125,32 +130,67 @@ def lowered(text: Column) -> Column:
 
 
 def _starts(words: Column, phrase: str) -> Column:
-    """Positions where the words of a phrase stand one after the other, by way of its last word."""
+    """Positions where the words of a phrase stand one after the other."""
     parts = phrase.split()
 
     def here(i):
-        return F.reduce(F.array(*[(F.get(words, i + j) == w) for j, w in enumerate(parts)]), F.lit(True), lambda a, b: a & F.coalesce(b, F.lit(False)))
+        out = F.get(words, i) == parts[0]
+        for j, w in enumerate(parts[1:], 1):
+            out = out & (F.get(words, i + j) == w)
+        return out
 
     return F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
 
 
-def _phrase_pattern(phrases: list[str]) -> str:
-    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    return "|".join(gap.join(map(re.escape, p.split())) for p in phrases)
+def _any_held(joined: Column, phrases: list[str]) -> Column:
+    out = _holds(joined, phrases[0])
+    for p in phrases[1:]:
+        out = out | _holds(joined, p)
+    return out
+
+
+def _holds(joined: Column, phrase: str) -> Column:
+    """Whether a text's words, joined and edged by single spaces, hold a phrase."""
+    return joined.contains(f" {phrase} ")
+
+
+#: Words as in WORD, found in a text whose A-Z have not been lowered.
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _may_hold(text: Column, phrases: list[str]) -> Column:
+    """Whether a text can hold a phrase: the two longest words of one occur in it, as plain substrings."""
+    needs = {tuple(sorted(sorted(set(p.split()), key=lambda w: (-len(w), w))[:2])) for p in phrases}
+    # a need that includes another one is no need of its own
+    needs = sorted(n for n in needs if not any(set(o) < set(n) for o in needs))
+    out = F.lit(False)
+    for words in needs:
+        one = F.lit(True)
+        for w in words:
+            one = one & text.contains(w)
+        out = out | one
+    return out
 
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, index: PositionalIndex | None = None) -> DataFrame:
     """``row`` (the columns in ``keep``; all if None), n_words, n_base, first_word, last_word, base_labels, labels, score."""
     index = index or default_index()
     keep = docs.columns if keep is None else keep
-    edge_l, edge_r = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])", r"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), lowered(text_of(docs, text)).alias("t"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_of(docs, text).alias("t"))
     phrases = [p for ps in index.phrases for p in ps] + list(BASE.values())
-    # every label needs a phrase: only texts with one are split into words
-    rows = rows.withColumn("maybe", F.col("t").rlike(f"{edge_l}(?:{_phrase_pattern(phrases)}){edge_r}"))
-    rows = rows.withColumn("n_words", F.regexp_count("t", F.lit(WORD)).cast("long"))
-    rows = rows.withColumn("w", F.when(F.col("maybe"), F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(1))).otherwise(F.array().cast("array<string>")))
-    rows = rows.select("row", "n_words", "w", "maybe")
+    # every label needs a phrase: only texts that can hold one are lowered and split into words
+    rows = rows.withColumns({"low": F.lower("t"), "n_words": F.regexp_count("t", F.lit(RAW_WORD)).cast("long")})
+    rows = rows.select("row", "n_words", "t", _may_hold(F.col("low"), phrases).alias("maybe"))
+    none = F.array().cast("array<string>")
+    words = F.regexp_extract_all(lowered(F.col("t")), F.lit(f"({WORD})"), F.lit(1))
+    rows = rows.select("row", "n_words", F.when(F.col("maybe"), words).otherwise(none).alias("w"))
+    rows = rows.withColumn("joined", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
+    held = F.lit(False)
+    for p in dict.fromkeys(phrases):
+        held = held | _holds(F.col("joined"), p)
+    rows = rows.withColumn("maybe", (F.size("w") > 0) & held)
+    # only texts that hold a phrase go on; the others' words are dropped here
+    rows = rows.withColumn("w", F.when(F.col("maybe"), F.col("w")).otherwise(none))
 
     bases = [(label, _starts(F.col("w"), p)) for label, p in BASE.items()]
     found = F.when(F.col("maybe"), F.array(*[F.struct(F.lit(label).alias("label"), s.alias("at")) for label, s in bases]))
@@ -159,7 +199,8 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, ind
     entry = "struct<idf:double,posts:array<struct<t:int,p:int>>>"
     literal = F.from_json(F.lit(_as_json(index)), f"map<string,{entry}>")
     rows = rows.withColumn("index", literal)
-    rows = rows.withColumn("hits", F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"), F.try_element_at("index", w).alias("e"))), lambda h: h["e"].isNotNull()))
+    places = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(list(index.postings)))
+    rows = rows.withColumn("hits", F.transform(places, lambda h: F.struct(h["w"].alias("w"), h["i"].alias("i"), F.try_element_at("index", h["w"]).alias("e"))))
     ranked = F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct((-h["e"]["idf"]).alias("r"), h["w"].alias("w")))))
     rows = rows.withColumn("rare", F.transform(F.slice(ranked, 1, RAREST), lambda r: r["w"]))
     rows = rows.withColumn("hits", F.filter("hits", lambda h: F.array_contains(F.col("rare"), h["w"])))
@@ -173,7 +214,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, ind
     verified = F.array(
         *[
             F.when(
-                (F.coalesce(F.try_element_at("best", F.lit(t)), F.lit(0.0)) >= SHARE * index.weight[t]) & F.reduce(F.array(*[F.size(_starts(F.col("w"), p)) > 0 for p in index.phrases[t]]), F.lit(False), lambda a, b: a | b),
+                (F.coalesce(F.try_element_at("best", F.lit(t)), F.lit(0.0)) >= SHARE * index.weight[t]) & _any_held(F.col("joined"), index.phrases[t]),
                 F.struct(F.lit(label.split(":")[0]).alias("label"), F.least(F.lit(1.0), F.try_element_at("best", F.lit(t)) / F.lit(index.weight[t])).alias("s")),
             )
             for t, label in enumerate(index.labels)
@@ -182,7 +223,6 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, ind
     rows = rows.withColumn("extra", F.when(F.size("m") > 0, F.filter(verified, lambda v: v.isNotNull())))
     places = F.flatten(F.transform("base", lambda b: b["at"]))
     names = F.transform(F.filter("base", lambda b: F.size(b["at"]) > 0), lambda b: b["label"])
-    none = F.array().cast("array<string>")
     names, extra = F.coalesce(names, none), F.coalesce(F.transform("extra", lambda v: v["label"]), none)
     best = F.coalesce(F.array_max(F.transform("extra", lambda v: v["s"])), F.lit(0.0))
     return rows.select(
