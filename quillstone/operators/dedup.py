@@ -35,8 +35,6 @@ def greedy_unique(texts: list[str], limit: float = RATIO) -> list[bool]:
 def fuzzy_dedup(items: DataFrame, run: str = "run_id", order: str = "item_idx", text: str = "text", limit: float = RATIO) -> DataFrame:
     """Items of each run that the greedy rule keeps. The rule is sequential, so a run is one group; runs are small (a
     request yields a hundred items at most)."""
-    import pandas as pd  # noqa: F401
-
     names = items.columns
 
     def one(frame):
@@ -86,18 +84,19 @@ def insert_ignored(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return old.unionByName(new.join(old.select(*keys).distinct(), keys, "left_anti"))
 
 
-def output_similarity(outputs: DataFrame, key: str = "run_id", text: str = "text", limit: float = 0.7, most_outputs: int = 500) -> DataFrame:
-    """(average, maximum, over_limit) of the ratios of all pairs of a stated set of outputs, ``most_outputs`` at most."""
+def _ratios(a, b):
     import pandas as pd
 
+    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)], dtype=float)
+
+
+def output_similarity(outputs: DataFrame, key: str = "run_id", text: str = "text", limit: float = 0.7, most_outputs: int = 500) -> DataFrame:
+    """(average, maximum, over_limit) of the ratios of all pairs of a stated set of outputs, ``most_outputs`` at most."""
     rows = outputs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     n = rows.limit(most_outputs + 1).count()
     if n > most_outputs:
         raise ValueError(f"a report compares {most_outputs} outputs at most")
     pairs = rows.select(F.col("k").alias("a"), F.col("t").alias("ta")).crossJoin(F.broadcast(rows.select(F.col("k").alias("b"), F.col("t").alias("tb")))).filter("a < b")
 
-    @F.pandas_udf("double")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)], dtype=float)
-
+    similar = F.pandas_udf(_ratios, "double")
     return pairs.select(similar("ta", "tb").alias("r")).agg(F.avg("r").alias("average"), F.max("r").alias("maximum"), F.count_if(F.col("r") > limit).alias("over_limit"))

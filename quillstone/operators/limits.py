@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 REQUESTS_MINUTE, TOKENS_MINUTE, REQUESTS_DAY = 80, 25_000, 900
@@ -103,8 +104,8 @@ def admitted(times: list[float], most: int = EMPTY_PER_MINUTE, span: float = WIN
 def admissions(calls: DataFrame, key: str = "user_id", at: str = "ts", nth: str = "event_id", most: int = EMPTY_PER_MINUTE) -> DataFrame:
     """Calls with ``admitted``. What is admitted depends on what was before, so a key's calls run in order in one task,
     in Arrow batches with the few admitted times as the only state."""
-    schema = calls.schema.add("admitted", "boolean")
     names = calls.columns
+    schema = StructType([*calls.schema.fields, StructField("admitted", BooleanType())])
 
     def task(frames):
         state, last = [], object()

@@ -19,9 +19,9 @@ def norm(v: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    """To length one; a zero vector stays."""
-    n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    """To length one; a zero vector stays. The length is bound once, not computed for each element."""
+    size = F.array(F.when(norm(v) == 0, F.lit(1.0)).otherwise(norm(v)))
+    return F.get(F.transform(size, lambda n: F.transform(v, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -91,12 +91,16 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text: str = "text"
     scored = rows.crossJoin(F.broadcast(weight)).crossJoin(F.broadcast(sizes))
     parts = F.lit(0.0)
     for t in sorted(terms):
-        f = F.size(F.filter("w", lambda w, t=t: w == t)).cast("double")
+        f = F.size(F.filter("w", _equals(t))).cast("double")
         part = F.try_element_at("idf", F.lit(t)) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.size("w") / F.col("mean_size")))
         parts = parts + F.when(f > 0, F.coalesce(part, F.lit(0.0))).otherwise(0.0)
     return scored.select(id_col, F.round(parts, 6).alias("score"))
 
 
+def _equals(term: str):
+    return lambda w: w == term
+
+
 def ranks(scores: DataFrame, id_col: str, name: str, position: str | None = None, score: str = "score") -> DataFrame:
     """(id, name): ranks from 0 by falling score, ties by position."""
     w = Window.orderBy(F.desc(score), position or id_col)
@@ -136,8 +140,10 @@ def query_text(title: Column, profile: Column, fmt: Column, niche: Column) -> Co
     return F.concat_ws(" ", title, profile, fmt, niche)
 
 
-def hashed_embedding(text: Column, dimension: int = 64) -> Column:
-    """A stand-in for a model: words hashed to signed coordinates, length one. Built-in functions only."""
-    spots = F.transform(tokens(text), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimension)).alias("i"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    at = lambda i: F.aggregate(F.filter(spots, lambda s: s["i"] == i), F.lit(0.0), lambda a, s: a + s["s"])
-    return normalized(F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), at))
+def hashed_embeddings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dimension: int = 64) -> DataFrame:
+    """(id, embedding): a stand-in for a model. Words are hashed to signed coordinates and summed, one map-side combined
+    aggregation; vectors have length one, those of texts without words are zero."""
+    words = docs.select(F.col(id_col), F.explode_outer(tokens(F.col(text))).alias("w"))
+    spots = words.select(id_col, F.pmod(F.xxhash64("w"), F.lit(dimension)).alias("i"), F.when(F.col("w").isNull(), 0.0).when(F.pmod(F.xxhash64("w", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s"))
+    sums = spots.groupBy(id_col).agg(*[F.sum(F.when(F.col("i") == k, F.col("s")).otherwise(0.0)).alias(f"x{k}") for k in range(dimension)])
+    return sums.select(id_col, F.array(*[f"x{k}" for k in range(dimension)]).alias("v")).select(id_col, normalized(F.col("v")).alias("embedding"))

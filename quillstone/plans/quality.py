@@ -14,7 +14,7 @@ from ..operators import summary as S
 from .registry import Tables, query
 
 _WORDS = r"list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]{{4,}}'))"
-_NEG = r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'), x -> x IN ('no','nunca','jamás','sin','excepto','neither','nor','not','never','without','except')))"
+_NEG = r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'), lambda x: x IN ('no','nunca','jamás','sin','excepto','neither','nor','not','never','without','except')))"
 
 
 def _cards(t: Tables):
@@ -41,7 +41,7 @@ def item_texts(t: Tables):
 
 
 @query(_CARDS + r"""
-SELECT conv_id, turn, (trim(frente, ' ') = '' OR trim(dorso, ' ') = '' OR len(list_filter(string_split_regex(g, '\s+'), w -> w <> '')) < 5) AS garbage FROM x
+SELECT conv_id, turn, (trim(frente, ' ') = '' OR trim(dorso, ' ') = '' OR len(list_filter(string_split_regex(g, '\s+'), lambda w: w <> '')) < 5) AS garbage FROM x
 """)
 def garbage_items(t: Tables):
     """items to drop."""
@@ -69,7 +69,7 @@ def ground_overlap(t: Tables):
 
 
 @query(r"""
-WITH n AS (SELECT doc_id, regexp_extract_all(text, '\b\d+([.,]\d+)?\b') AS whole, list_transform(regexp_extract_all(text, '\b\d+([.,]\d+)?\b', 1), x -> coalesce(x, '')) AS suffix FROM documents)
+WITH n AS (SELECT doc_id, regexp_extract_all(text, '\b\d+([.,]\d+)?\b') AS whole, list_transform(regexp_extract_all(text, '\b\d+([.,]\d+)?\b', 1), lambda x: coalesce(x, '')) AS suffix FROM documents)
 SELECT doc_id, len(whole)::BIGINT AS numbers, len(list_distinct(suffix))::BIGINT AS marks, len(list_distinct(whole))::BIGINT AS strict_marks FROM n
 """)
 def ground_numeric(t: Tables):
@@ -128,7 +128,7 @@ def trust_seals(t: Tables):
 
 
 @query(r"""
-WITH s AS (SELECT doc_id, source, list_filter(list_transform(string_split_regex(text, '[.!?]'), x -> trim(regexp_replace(x, '\s+', ' ', 'g'))), x -> length(x) > 15) AS ss FROM documents)
+WITH s AS (SELECT doc_id, source, list_filter(list_transform(string_split_regex(text, '[.!?]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) > 15) AS ss FROM documents)
 SELECT doc_id, '¿Qué indica el documento sobre ' || source || '?' AS frente, coalesce(ss[(doc_id % greatest(len(ss), 1)) + 1], source) AS dorso, substr(coalesce(ss[(doc_id % greatest(len(ss), 1)) + 1], source), 1, 100) AS extracto FROM s
 """)
 def fallback_items(t: Tables):
@@ -231,7 +231,7 @@ def duplicate_items(t: Tables):
 
 
 @query("""
-SELECT doc_id, list_aggregate(list_filter([CASE WHEN length(extract) = 0 THEN 'missing' END, CASE WHEN length(extract) BETWEEN 1 AND 39 THEN 'short' END, CASE WHEN sim IN (0.95, 0.98, 0.85) THEN 'fixed' END], x -> x IS NOT NULL), 'string_agg', ',') AS faults
+SELECT doc_id, list_aggregate(list_filter([CASE WHEN length(extract) = 0 THEN 'missing' END, CASE WHEN length(extract) BETWEEN 1 AND 39 THEN 'short' END, CASE WHEN sim IN (0.95, 0.98, 0.85) THEN 'fixed' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS faults
 FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE substr(text, 1, CASE WHEN doc_id % 2 = 0 THEN 30 ELSE 60 END) END AS extract, CASE WHEN doc_id % 5 = 0 THEN 0.95 ELSE 0.5 END AS sim FROM documents)
 WHERE length(extract) < 40 OR sim IN (0.95, 0.98, 0.85)
 """)
@@ -257,7 +257,7 @@ def output_similarity(t: Tables):
 
 
 @query(r"""
-SELECT doc_id, greatest(8, ceil(len(list_filter(string_split_regex(text, '\s+'), x -> x <> '')) / 100.0))::BIGINT AS minutes, trim(string_split_regex(text, '[.!?]')[1]) AS concept FROM documents
+SELECT doc_id, greatest(8, ceil(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) / 100.0))::BIGINT AS minutes, trim(string_split_regex(text, '[.!?]')[1]) AS concept FROM documents
 """)
 def reading_time(t: Tables):
     """Q16: reading time and first sentence."""

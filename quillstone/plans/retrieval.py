@@ -11,15 +11,15 @@ from .registry import Tables, query
 
 QUERY = "the of licensed anand"
 
-_COS = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_sum(list_transform(e.embedding, x -> x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.embedding, x -> x::DOUBLE * x::DOUBLE))))"
+_COS = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))))"
 _BM25 = r"""
-w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), x -> x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(ws)) AS mean_size FROM w),
 df AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(ws)) AS term FROM w) GROUP BY term),
 idf AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df CROSS JOIN stats),
 eps AS (SELECT avg(idf) AS m FROM idf),
 weight AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END AS idf FROM idf CROSS JOIN eps WHERE term IN ('the', 'of', 'licensed', 'anand')),
-f AS (SELECT doc_id, len(ws) AS dl, t.term, len(list_filter(ws, x -> x = t.term)) AS f, t.idf FROM w CROSS JOIN weight t),
+f AS (SELECT doc_id, len(ws) AS dl, t.term, len(list_filter(ws, lambda x: x = t.term)) AS f, t.idf FROM w CROSS JOIN weight t),
 scores AS (SELECT doc_id, round(sum(CASE WHEN f > 0 THEN idf * (f * 2.5) / (f + 1.5 * (1 - 0.75 + 0.75 * dl / mean_size)) ELSE 0 END), 6) AS score FROM f CROSS JOIN stats GROUP BY doc_id)
 """
 
@@ -49,7 +49,7 @@ def vector_topk_many(t: Tables):
 
 
 @query("""
-SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))), 6) AS norm, len(embedding)::INTEGER AS dimension, 96::INTEGER AS adjusted FROM embeddings
+SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, len(embedding)::INTEGER AS dimension, 96::INTEGER AS adjusted FROM embeddings
 """)
 def vector_shapes(t: Tables):
     """Norms and adjusted dimensions."""
@@ -104,8 +104,8 @@ def substantive_chunks(t: Tables):
 
 
 @query(r"""
-SELECT doc_id, len(l) > 0 AND len(list_filter(l, x -> length(x) >= 60)) >= greatest(1, floor(len(l) / 2)) AND len(list_filter(string_split_regex(text, '\s+'), x -> x <> '')) >= 40 AS prose
-FROM (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), x -> trim(x)), x -> x <> '') AS l FROM documents)
+SELECT doc_id, len(l) > 0 AND len(list_filter(l, lambda x: length(x) >= 60)) >= greatest(1, floor(len(l) / 2)) AND len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) >= 40 AS prose
+FROM (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
 """)
 def prose_predicate(t: Tables):
     """texts that read as prose."""
@@ -182,5 +182,5 @@ def provider_routing(t: Tables):
 @query()
 def offline_embeddings(t: Tables):
     """Hashed word vectors as a stand-in for a model."""
-    v = R.hashed_embedding(F.col("text"), 32)
-    return t.documents.select("doc_id", F.round(R.norm(v), 6).alias("norm"), F.size(v).alias("dimension"))
+    v = R.hashed_embeddings(t.documents, dimension=32)
+    return v.select("doc_id", F.round(R.norm(F.col("embedding")), 6).alias("norm"), F.size("embedding").alias("dimension"))

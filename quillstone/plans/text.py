@@ -46,7 +46,7 @@ def page_number_lines(t: Tables):
 
 @query(r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-c AS (SELECT doc_id, array_to_string(list_transform(ls, x -> CASE WHEN starts_with(ltrim(x), '|') THEN regexp_replace(x, '\s+$', '')
+c AS (SELECT doc_id, array_to_string(list_transform(ls, lambda x: CASE WHEN starts_with(ltrim(x), '|') THEN regexp_replace(x, '\s+$', '')
   ELSE regexp_extract(regexp_replace(x, '\s+$', ''), '^[ \t]*') || regexp_replace(regexp_replace(regexp_replace(x, '\s+$', ''), '^[ \t]*', ''), '[ \t]+', ' ', 'g') END), chr(10)) AS body FROM l)
 SELECT doc_id, regexp_replace(body, '\n{3,}', chr(10) || chr(10), 'g') AS body FROM c
 """)
@@ -63,7 +63,7 @@ def clean_text(t: Tables):
 
 @query(r"""
 SELECT coalesce(sum(len(regexp_extract_all(text, '[\x{fb00}-\x{fb06}\x{a0}\x{202f}\x{2007}\x{2009}\x{ad}\x{200b}\x{2060}\x{feff}]'))), 0)::BIGINT AS characters_normalized,
-  coalesce(sum(len(list_filter(string_split(text, chr(10)), x -> regexp_matches(trim(x), '(?i)^(?:(?:p[áa]gina|p[áa]g\.?|page)\s*\d+(?:\s*(?:de|of|/)\s*\d+)?|\d+\s*(?:de|of|/)\s*\d+|[-–—]\s*\d+\s*[-–—])$')))), 0)::BIGINT AS page_number_lines,
+  coalesce(sum(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '(?i)^(?:(?:p[áa]gina|p[áa]g\.?|page)\s*\d+(?:\s*(?:de|of|/)\s*\d+)?|\d+\s*(?:de|of|/)\s*\d+|[-–—]\s*\d+\s*[-–—])$')))), 0)::BIGINT AS page_number_lines,
   coalesce(sum(len(regexp_extract_all(text, '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]-[ \t]*\n[ \t]*[a-záéíóúüñ]'))), 0)::BIGINT AS hyphenated_joins
 FROM documents
 """)
@@ -89,10 +89,10 @@ def repeated_lines(t: Tables):
 
 
 @query(r"""
-WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), x -> regexp_full_match(x, '[a-záéíóúñ]{2,}')), x -> x) AS k FROM documents),
+WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-záéíóúñ]{2,}')), lambda x: x) AS k FROM documents),
 c AS (SELECT doc_id, len(k) AS n,
-  len(list_filter(k, x -> x IN ('the','and','of','in','is','to','with','for','that','this','from','by','are','as','at','be','an','have','has','which','allows','ensures','provides','system','management','interface','their','they','will','would','about','there','into','can'))) AS en,
-  len(list_filter(k, x -> x IN ('el','la','los','las','un','una','unos','unas','de','del','en','es','son','y','o','con','para','por','que','este','esta','estos','estas','su','sus','como','al','se','lo','permite','garantiza','proporciona','sistema','gestion','gestión'))) AS es FROM w)
+  len(list_filter(k, lambda x: x IN ('the','and','of','in','is','to','with','for','that','this','from','by','are','as','at','be','an','have','has','which','allows','ensures','provides','system','management','interface','their','they','will','would','about','there','into','can'))) AS en,
+  len(list_filter(k, lambda x: x IN ('el','la','los','las','un','una','unos','unas','de','del','en','es','son','y','o','con','para','por','que','este','esta','estos','estas','su','sus','como','al','se','lo','permite','garantiza','proporciona','sistema','gestion','gestión'))) AS es FROM w)
 SELECT doc_id, en::BIGINT AS english, es::BIGINT AS spanish, NOT (n >= 4 AND en >= 3 AND en > es) AS pure FROM c
 """)
 def language_purity(t: Tables):
@@ -127,7 +127,7 @@ def previews(t: Tables):
 
 
 @query(r"""
-SELECT doc_id, coalesce(list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n\s*\n'), p -> trim(p, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), p -> p <> ''), []).len()::BIGINT AS paragraphs FROM documents
+SELECT doc_id, coalesce(list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n\s*\n'), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), lambda p: p <> ''), []).len()::BIGINT AS paragraphs FROM documents
 """)
 def paragraphs(t: Tables):
     """Paragraphs of every text."""
