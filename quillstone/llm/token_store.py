@@ -44,6 +44,16 @@ ZERO_RUN, ESCAPE = 0, 15
 LEAST_RUN = 61
 
 
+_small: list[np.ndarray] = []
+
+
+def _narrowest() -> np.ndarray:
+    """The narrowest selector of every id below 65536."""
+    if not _small:
+        _small.append(np.searchsorted(1 << WIDTHS[:-1].astype(np.int64), np.arange(1 << 16), side="right").astype(np.int8))
+    return _small[0]
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of the coded ids, and the offsets (pairs word, ids before) of every STEP-th id."""
     ids = np.ascontiguousarray(ids, np.uint64)
@@ -52,9 +62,12 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros((0, 2), np.uint32)
     big = (ids >> np.uint64(60)) > 0
     # for each id the narrowest selector that holds it; then the greatest count whose next ids all fit
-    bits = np.full(n, 99, np.int16)
-    for s in range(len(WIDTHS) - 1, -1, -1):
-        bits[(ids >> np.uint64(WIDTHS[s])) == 0] = s
+    if ids.max() < 1 << 16:
+        bits = _narrowest()[ids]
+    else:
+        bits = np.full(n, 99, np.int8)
+        for s in range(len(WIDTHS) - 1, -1, -1):
+            bits[(ids >> np.uint64(WIDTHS[s])) == 0] = s
     best = np.full(n, len(WIDTHS) - 1, np.int8)
     done = big.copy()
     high = bits.copy()
@@ -71,6 +84,8 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         w = 1 << (int(count).bit_length() - 1)
         level = span[w]
+        if level.min() > s:
+            continue
         last = n - count
         widest = np.maximum(level[: last + 1], level[count - w : count - w + last + 1])
         fits = np.zeros(n, bool)
@@ -162,15 +177,17 @@ class Encoder:
     """Token ids of texts by the tokenizers library.
 
     White space only separates for these tokenizers, so every stretch between white space is tokenised on its own and
-    its ids are remembered, up to ``most`` stretches; a text's ids are those of its stretches, one after the other.
+    its ids are remembered; a text's ids are those of its stretches, one after the other. The memory has two generations of
+    ``most`` stretches each: what is met again moves to the young one, and when that is full the old one is forgotten.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
-        self.memory: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.most = most
         self.free = self._free_of_space()
         one = lambda w: self.tok.encode(w, add_special_tokens=False).ids
@@ -186,25 +203,25 @@ class Encoder:
         """uint32 ids of each text."""
         if not self.free:
             return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        memory = self.memory
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
         split = [t.split() for t in texts]
-        fresh = {w for words in split for w in words if w not in memory}
-        if not fresh:
-            return [np.frombuffer(b"".join([memory[w] for w in words]), np.uint32) for words in split]
-        # a word and the sign behind it are tokens apart, and these tokenizers lower-case: fewer stems than stretches
-        stems = {w: self._parts(w) for w in fresh}
-        missing = list({p for parts in stems.values() for p in parts if p not in memory})
-        found = {}
-        for a in range(0, len(missing), 50_000):
-            part = missing[a : a + 50_000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                found[w] = np.array(e.ids, np.uint32).tobytes()
-        found |= {w: b"".join([found[p] if p in found else memory[p] for p in parts]) for w, parts in stems.items()}
-        if len(memory) + len(found) <= self.most:  # once full, it keeps what came first: the frequent stretches
-            memory.update(found)
-            found = memory
-        get = found.get
-        return [np.frombuffer(b"".join([get(w) or memory[w] for w in words]), np.uint32) for words in split]
+        fresh = set().union(*split).difference(young)
+        young.update((w, old[w]) for w in fresh.intersection(old))
+        fresh.difference_update(young)
+        if fresh:
+            # a word and the sign behind it are tokens apart, and these tokenizers lower-case: fewer stems than stretches
+            stems = {w: self._parts(w) for w in fresh}
+            missing = list({p for parts in stems.values() for p in parts if p not in young})
+            for a in range(0, len(missing), 50_000):
+                part = missing[a : a + 50_000]
+                for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                    young[w] = np.array(e.ids, np.uint32).tobytes()
+            for w, parts in stems.items():
+                if parts != (w,):
+                    young[w] = b"".join([young[p] for p in parts])
+        return [np.frombuffer(b"".join([young[w] for w in words]), np.uint32) for words in split]
 
     def _parts(self, w: str) -> tuple[str, ...]:
         tail = w[-1] if w[-1] in ".,;:!?" else ""
