@@ -44,3 +44,14 @@ def unpacked(df: DataFrame, names: list[str], **extra: Column) -> DataFrame:
 def text_of(df: DataFrame, name: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+
+
+#: Rows of texts that Spark hands to Python at once, at most; texts of any length then stay small beside a task's memory.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows where they are larger or unbounded."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

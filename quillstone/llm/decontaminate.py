@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import text_of
+from .common import bounded_batches, text_of
 
 WIDTH, THRESHOLD, K = 5, 0.8, 64
 SMALLEST = 4
@@ -175,6 +175,7 @@ def _blocks(items: DataFrame, id_col: str, text: str):
 
 def _rows(docs: DataFrame, text: str, keep: list[str] | None) -> DataFrame:
     keep = docs.columns if keep is None else keep
+    bounded_batches(docs.sparkSession)
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_of(docs, text).alias("text"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import text_of
+from .common import bounded_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -411,6 +411,7 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, fie
     """``row`` (the columns in ``keep``; all if None), n_<kind> of base spans, base_sha256 and all ``spans``."""
     keep = docs.columns if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_of(docs, text).alias("text"))
+    bounded_batches(docs.sparkSession)
     schema = rows.select("row").schema
     for k in KINDS:
         schema = schema.add(f"n_{k}", "long")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_root, text_of
+from .common import bounded_batches, shared_root, text_of
 
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 COUNTS = 60 // WIDTHS
@@ -302,6 +302,7 @@ def _write_task(batches):
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text", rows_per_shard: int = 4000) -> None:
     """Tokenise ``docs`` and write the store; ``rows_per_shard`` bounds what a task sorts."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
+    bounded_batches(docs.sparkSession)
     n = rows.count()
     shards = max(1, min(10_000, -(-n // rows_per_shard)))
     quantiles = [i / shards for i in range(1, shards)]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import text_of
+from .common import bounded_batches, text_of
 
 CATEGORIES = ("low_quality", "toxic", "severe_toxic")
 MOST_ROWS, MOST_WORDS, FOLDS = 5_000, 400, 5
@@ -215,6 +215,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str] | N
     """``row`` (the columns in ``keep``; all if None), p_<category> and is_<category> of every document."""
     keep = docs.columns if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_of(docs, text).alias("text"))
+    bounded_batches(docs.sparkSession)
     schema = rows.select("row").schema
     for c in CATEGORIES:
         schema = schema.add(f"p_{c}", "double")
