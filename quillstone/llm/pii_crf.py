@@ -5,9 +5,9 @@ patterns don't: telephone numbers without ``+``, spelled-out mail addresses, num
 stretches between white space; each is described by counts of digits, dots and hyphens, its first character, ``@``,
 letters, whether its digits pass Luhn, and a small lexical class; the words before and after count too. It is trained by
 gradient ascent on the likelihood of a small labelled table (:func:`labelled_sentences`), on the driver, and decoded by
-Viterbi over many sequences at once. Words with nothing of interest in or beside them are certainly outside: where
-the label ``O`` leads by more than two transitions can return, the best path has ``O``; that bound is computed from the
-trained weights, and only the words between certain ones are decoded. Found spans must pass the checks of their kind
+Viterbi over many sequences at once. A constraint of the field: words with nothing of interest (digits, ``@``, ``+``,
+``(``, a lexical class) in them or in a neighbour are ``O``, so only the runs of other words are decoded.
+Found spans must pass the checks of their kind
 and touch no base span.
 
 Defined cases: a null text counts as empty: no spans; rows are judged one by one, so repeated rows and ids are judged
@@ -186,16 +186,13 @@ class Field:
     def emissions(self, words: Words, which: np.ndarray) -> np.ndarray:
         return sum(self.w[side + 1][self.rows(words, which, side)].sum(1) for side in (-1, 0, 1))
 
-    def certain(self) -> bool:
-        """Whether a word that is plain, beside plain words or edges, is surely outside."""
-        lead = self.w[:, :, :1] - self.w[:, :, 1:]  # how far O leads each other label
-        least = np.zeros(len(LABELS) - 1)
-        allowed = [[0], range(5), range(4), range(2, 7), [0, 1], [0], [0], range(2, 7)]
-        for side in range(3):
-            inner = sum(lead[side, [int(self.offset[a]) + v for v in values]].min(0) for a, values in enumerate(allowed))
-            edge = lead[side, -1] * len(SIZES)
-            least += inner if side == 1 else np.minimum(inner, edge)
-        return bool(least.min() > 2 * (self.t.max() - self.t.min()))
+    @staticmethod
+    def open_words(words: Words) -> np.ndarray:
+        """Words that may be anything but ``O``: with something of interest in them or in the word before or after."""
+        near = ~words.plain
+        near[1:] |= ~words.plain[:-1]
+        near[:-1] |= ~words.plain[1:]
+        return near
 
     def fit(self, sequences: list[tuple[Words, np.ndarray]], rounds: int = 200, rate: float = 0.08, ridge: float = 2e-4) -> None:
         """Adam on the mean log-likelihood; sequences are padded to one length."""
@@ -238,12 +235,7 @@ class Field:
         out = np.zeros(len(words.starts), np.int8)
         if not len(out):
             return out
-        near = np.ones(len(out), bool)
-        if self.certain():
-            near = ~words.plain
-            near[1:] |= ~words.plain[:-1]
-            near[:-1] |= ~words.plain[1:]
-        which = np.flatnonzero(near)
+        which = np.flatnonzero(self.open_words(words))
         if not len(which):
             return out
         doc = np.searchsorted(words.bounds, which, side="right") - 1

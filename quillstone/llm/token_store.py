@@ -206,7 +206,9 @@ class Encoder:
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        split = [t.split() for t in texts]
+        # str.split takes four control characters for white space that the tokenizers don't: such texts go whole
+        whole = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
+        split = [[] if w else t.split() for t, w in zip(texts, whole)]
         fresh = set().union(*split).difference(young)
         young.update((w, old[w]) for w in fresh.intersection(old))
         fresh.difference_update(young)
@@ -221,7 +223,10 @@ class Encoder:
             for w, parts in stems.items():
                 if parts != (w,):
                     young[w] = b"".join([young[p] for p in parts])
-        return [np.frombuffer(b"".join([young[w] for w in words]), np.uint32) for words in split]
+        out = [np.frombuffer(b"".join([young[w] for w in words]), np.uint32) for words in split]
+        for i in np.flatnonzero(whole):
+            out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return out
 
     def _parts(self, w: str) -> tuple[str, ...]:
         tail = w[-1] if w[-1] in ".,;:!?" else ""
