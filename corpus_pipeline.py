@@ -10,34 +10,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import dart_minhash, decontaminate, mixing, quality_lm, token_store
-from quillstone.llm.common import materialize, unpacked
+from quillstone.llm.common import materialize, stage_tables, unpacked
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and their language's perplexity band keep."""
-    return unpacked(quality_lm.quality(docs).filter("kept"), docs.columns)
+    with stage_tables(spark):
+        return unpacked(quality_lm.quality(docs).filter("kept"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that of the lowest id."""
-    return dart_minhash.deduplicated(docs)
+    with stage_tables(spark):
+        return dart_minhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+    with stage_tables(spark):
+        return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.mixed_documents(docs)
+    with stage_tables(spark):
+        return mixing.mixed_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token store of the mix, read back: (doc_id, start, n_tokens, ids_crc32)."""
-    return token_store.store_digest(docs, public_tokenizers.path(TOKENIZER))
+    with stage_tables(spark):
+        return token_store.store_digest(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [

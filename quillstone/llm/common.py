@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,35 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_scope: dict = {"open": False, "tables": []}
+
+
+@contextmanager
+def stage_tables(spark: SparkSession):
+    """For the stages of a pipeline, each of whose results is written before the next stage begins: tables that a stage
+    materialises inside this context are dropped when the next stage enters its own. Tables made outside stay."""
+    for path in _scope["tables"]:
+        drop(spark, path)
+    _scope.update(open=True, tables=[])
+    try:
+        yield
+    finally:
+        _scope["open"] = False
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/quillstone/{label}-{uuid.uuid4().hex}"
+    if _scope["open"]:
+        _scope["tables"].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

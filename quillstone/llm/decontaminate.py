@@ -136,7 +136,7 @@ def _search_task(index, threshold):
         sizes = np.diff(idx.at)
         for batch in batches:
             text = batch.column("text")
-            for a, b in ta.slices(text, 2_000_000):
+            for a, b in ta.slices(text, 1_000_000):
                 doc, item, n = contained(idx, text.slice(a, b - a), threshold)
                 if len(doc):
                     yield pa.RecordBatch.from_arrays(
@@ -156,7 +156,7 @@ def _clean_task(index, threshold):
     def task(batches):
         for batch in batches:
             text = batch.column("text")
-            for a, b in ta.slices(text, 2_000_000):
+            for a, b in ta.slices(text, 1_000_000):
                 clean = np.ones(b - a, bool)
                 clean[contained(index.value, text.slice(a, b - a), threshold)[0]] = False
                 yield batch.slice(a, b - a).filter(pa.array(clean))

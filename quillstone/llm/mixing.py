@@ -81,18 +81,20 @@ def mix(
         F.regexp_count(text_of(docs, text), F.lit(WORD)).cast("long").alias("size"),
     )
     sized = sized.withColumns({"class": size_class(F.col("size")), "part": F.coalesce(F.pmod("id", F.lit(SPREAD)), F.lit(0))})
+    # the source as keys that are never null: join and window below then deal the rows out once, alike
+    sized = sized.withColumns({"key": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()})
     sized = materialize(sized, "mix-sizes")
-    blocks = sized.groupBy("source", "class", "part").agg(F.count("*").alias("n"))
+    place = ["key", "none", "class", "part"]
+    blocks = sized.groupBy("source", *place).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("source", "class", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    blocks = blocks.select("source", *place, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     sources = source_targets(sized.select("source", "size"), weights)
     blocks = blocks.join(sources, blocks["source"].eqNullSafe(sources["source"])).select(
-        blocks["source"], "class", "part", "before", "source_size", "target"
+        *place, "before", "source_size", "target"
     )
-    inside = Window.partitionBy("source", "class", "part").orderBy("size", F.col("id").asc_nulls_first())
-    ranked = sized.withColumn("nth", F.row_number().over(inside))
-    same = ranked["source"].eqNullSafe(blocks["source"]) & (ranked["class"] == blocks["class"]) & (ranked["part"] == blocks["part"])
-    ranked = ranked.join(blocks, same).select("row", ranked["source"], "size", "source_size", "target", (F.col("before") + F.col("nth")).alias("rank"))
+    inside = Window.partitionBy(*place).orderBy("size", F.col("id").asc_nulls_first())
+    ranked = sized.join(blocks, place).withColumn("nth", F.row_number().over(inside))
+    ranked = ranked.select("row", "source", "size", "source_size", "target", (F.col("before") + F.col("nth")).alias("rank"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     ranked = ranked.withColumns({"ratio": ratio, "offset": offset(F.col("source"), seed)})
     copies = F.floor(F.col("rank") * F.col("ratio") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("ratio") + F.col("offset"))

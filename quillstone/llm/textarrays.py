@@ -68,7 +68,7 @@ def flat_bytes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(column: pa.Array, most: int = 2_000_000):
+def slices(column: pa.Array, most: int = 1_000_000):
     """Row ranges of about so many bytes each, a single long text at the least."""
     column = column.cast(pa.large_string())
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))

@@ -181,7 +181,7 @@ class Encoder:
     ``most`` stretches each: what is met again moves to the young one, and when that is full the old one is forgotten.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -253,7 +253,7 @@ def _tokens_task(path: str, end_id: int):
         enc = encoder(path)
         for batch in batches:
             text = batch.column("text")
-            for a, b in slices(text, 2_000_000):
+            for a, b in slices(text, 1_000_000):
                 coded = []
                 for ids in enc(text.slice(a, b - a).to_pylist()):
                     ids = np.append(ids, np.uint32(end_id))
