@@ -139,5 +139,6 @@ def stage_durations(events: DataFrame, run: str = "run_id", stage: str = "stage"
     order = Window.partitionBy(run, stage).orderBy(at)
     end = F.lead(at).over(order)
     spans = events.withColumn("_end", end).filter("kind = 'start'")
-    ms = (F.unix_micros(F.col("_end").cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) / 1000
-    return spans.groupBy(run, stage).agg(F.bround(F.sum(ms), 2).alias("ms"), F.count("*").alias("calls"))
+    micros = F.unix_micros(F.col("_end").cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))
+    ms = F.bround(F.sum(micros).cast("decimal(20,3)") / 1000, 2).cast("double")
+    return spans.groupBy(run, stage).agg(ms.alias("ms"), F.count("*").alias("calls"))

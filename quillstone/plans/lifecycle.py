@@ -188,7 +188,8 @@ def simulated_waits(t: Tables):
 
 @query("""
 WITH e AS (SELECT user_id AS run_id, event_type AS stage, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('click', 'view'))
-SELECT a.run_id, a.stage, round_even(sum((epoch_us(b.ts) - epoch_us(a.ts)) / 1000.0), 2)::DOUBLE AS ms, count(*)::BIGINT AS calls FROM e a LEFT JOIN e b ON a.run_id = b.run_id AND a.stage = b.stage AND b.n = a.n + 1 WHERE a.n % 2 = 1 GROUP BY ALL
+SELECT run_id, stage, (us // 10 + CASE WHEN us % 10 > 5 OR (us % 10 = 5 AND (us // 10) % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / 100 AS ms, calls
+FROM (SELECT a.run_id, a.stage, sum(epoch_us(b.ts) - epoch_us(a.ts))::BIGINT AS us, count(*)::BIGINT AS calls FROM e a LEFT JOIN e b ON a.run_id = b.run_id AND a.stage = b.stage AND b.n = a.n + 1 WHERE a.n % 2 = 1 GROUP BY ALL)
 """)
 def stage_durations(t: Tables):
     """ST13, A10, N5: durations and calls of stages from starts and ends."""
