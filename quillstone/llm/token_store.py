@@ -181,7 +181,7 @@ class Encoder:
     ``most`` stretches each: what is met again moves to the young one, and when that is full the old one is forgotten.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -209,7 +209,14 @@ class Encoder:
         # str.split takes four control characters for white space that the tokenizers don't: such texts go whole
         whole = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         split = [[] if w else t.split() for t, w in zip(texts, whole)]
-        fresh = set().union(*split).difference(young)
+        coded: list[bytes | None] = []
+        for words in split:
+            try:
+                coded.append(b"".join(map(young.get, words)))
+            except TypeError:  # a stretch that isn't there
+                coded.append(None)
+        lacking = [i for i, value in enumerate(coded) if value is None]
+        fresh = set().union(*[split[i] for i in lacking]).difference(young)
         young.update((w, old[w]) for w in fresh.intersection(old))
         fresh.difference_update(young)
         if fresh:
@@ -223,7 +230,9 @@ class Encoder:
             for w, parts in stems.items():
                 if parts != (w,):
                     young[w] = b"".join([young[p] for p in parts])
-        out = [np.frombuffer(b"".join([young[w] for w in words]), np.uint32) for words in split]
+        for i in lacking:
+            coded[i] = b"".join([young[w] for w in split[i]])
+        out = [np.frombuffer(value, np.uint32) for value in coded]
         for i in np.flatnonzero(whole):
             out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return out
