@@ -196,3 +196,16 @@ def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     for block in _blocks(items, item_id, item_text):
         rows = rows.mapInArrow(_clean_task(docs.sparkSession.sparkContext.broadcast(_index(block)), threshold), rows.schema)
     return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def oracle_sql(threshold: float = THRESHOLD) -> str:
+    """The same matches as DuckDB SQL, by a join of all shingles."""
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10ffff}]+')"
+    grams = f"unnest(list_transform(range(0, greatest(len(w) - {WIDTH - 1}, 0)), lambda i: array_to_string(w[i + 1 : i + {WIDTH}], ' ')))"
+    return f"""
+WITH d AS (SELECT DISTINCT doc_id, {grams} AS g FROM (SELECT doc_id, {words} AS w FROM documents)),
+b AS (SELECT DISTINCT item_id, {grams} AS g FROM (SELECT item_id, {words} AS w FROM benchmark)),
+n AS (SELECT item_id, count(*)::BIGINT AS n_item FROM b GROUP BY item_id)
+SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, n_item FROM d JOIN b USING (g) JOIN n USING (item_id)
+GROUP BY ALL HAVING count(*) >= {threshold} * n_item - 1e-9
+"""

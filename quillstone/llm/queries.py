@@ -97,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL, for the queries that SQL can express."""
-    return {"op5_source_mix": mixing.oracle_sql()}
+    return {"op5_source_mix": mixing.oracle_sql(), "op8_benchmark_leaks": decontaminate.oracle_sql()}
