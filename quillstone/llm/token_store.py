@@ -181,7 +181,7 @@ class Encoder:
     ``most`` stretches each: what is met again moves to the young one, and when that is full the old one is forgotten.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
