@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 CREDENTIAL = r"(?i:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)"
-CANDIDATE = (
-    r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,200}[0-9])[A-Za-z0-9_+/=-]{16,}"
-    rf"|(?<={CREDENTIAL[:-1]})[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)[A-Za-z0-9_+/=!@$%^&*.-]{{8,}}"
-)
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,200}[0-9])[A-Za-z0-9_+/=-]{16,}"
+KEY = "[A-Za-z0-9_+/=-]"
+ASSIGNED = rf"{CREDENTIAL}[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?"
+VALUE = "[A-Za-z0-9_+/=!@$%^&*.-]{8,}"
+START = rf"(?<!{KEY})(?=[A-Za-z_+/=-]*+[0-9])"
+#: Group 1 is what stands before an assigned value. Other stretches end before a credential word with a value of its own.
+CANDIDATE = rf"({ASSIGNED}){VALUE}|{START}(?!{KEY}{{0,15}}?{ASSIGNED}{VALUE})(?:{KEY}{{16,}}?(?={ASSIGNED}{VALUE})|{KEY}{{16,}})"
 #: A cheap test of whether a text can hold a candidate at all.
 NEAR = 60
 DICTIONARY = (
@@ -77,14 +78,23 @@ def findings(n: int = 600, seed: int = 7) -> list[dict]:
     for i in range(n):
         secret = i % 2 == 0
         if secret:
-            kind = rng.randrange(5)
-            value = [pick(hexa, rng.choice([32, 40, 64])), "AKIA" + pick(b64[:26] + digits, 16), "ghp_" + pick(b64[:62], 36), pick(b64, rng.choice([24, 32, 40, 44])), "sk_live_" + pick(b64[:62], 24)][kind]
+            kind = rng.randrange(8)
+            value = [
+                pick(hexa, rng.choice([32, 40, 64])),
+                "AKIA" + pick(b64[:26] + digits, 16),
+                "ghp_" + pick(b64[:62], 36),
+                pick(b64, rng.choice([24, 32, 40, 44])),
+                "sk_live_" + pick(b64[:62], 24),
+                pick(b64[26:52], rng.randrange(5, 8)) + pick(digits, rng.randrange(1, 4)) + pick("!@$%^&*", 1) + pick(b64[26:62], rng.randrange(1, 4)),
+                pick(b64[:62] + "!@$%^&*", rng.randrange(8, 16)),
+                pick(b64[:52], rng.choice([12, 16, 24, 32])),
+            ][kind]
             before = rng.choice(good_before)
             if kind in (1, 2, 4) and rng.random() < 0.4:
                 before = rng.choice(["in the ", "and ", "use ", ""])
             path = rng.choice(["src/main", "config", "deploy", "src0", "app/settings"])
         else:
-            kind = rng.randrange(7)
+            kind = rng.randrange(9)
             value = [
                 pick(hexa, rng.choice([32, 40, 64])),
                 pick(digits, rng.randrange(16, 22)),
@@ -93,8 +103,10 @@ def findings(n: int = 600, seed: int = 7) -> list[dict]:
                 "/".join([word(), word(), word(), "v" + pick(digits, 1)]),
                 pick("abcdefghijklmnopqrstuvwxyz", 18) + pick(digits, 1),
                 "your-" + word() + "-" + word() + "-123",
+                "".join(rng.choice(("ing", "ter", "mon", "ado", "per", "ent", "sol", "ver", "al", "tu")) for _ in range(rng.randrange(3, 6))).ljust(8, "s") + rng.choice(["", "", "."]),
+                rng.choice(["your-", "my_", "the.", "os.", "self."]) + word() + rng.choice(["-", "_", "."]) + word(),
             ][kind]
-            before = rng.choice(bad_before if kind in (0, 1, 2) else bad_before + good_before[:3] if kind in (3, 6) else bad_before)
+            before = rng.choice(good_before if kind in (7, 8) else bad_before + good_before[:3] if kind in (3, 6) else bad_before)
             path = rng.choice(["src/main", "docs", "tests/fixtures", "src0", "examples"])
         quote = before[-1:] if before[-1:] in "\"'" else ""
         out.append({"value": value, "before": before, "after": quote + rng.choice([" ", "\n", ".", ""]), "path": path, "label": 1.0 if secret else 0.0})
@@ -120,7 +132,10 @@ def candidates(docs: DataFrame, text: str = "text", path: str | None = "source",
     where = F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")) if path else F.lit("")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), where.alias("path"), text_of(docs, text).alias("t"))
     rows = rows.filter(F.col("t").rlike(CANDIDATE))
-    rows = rows.withColumns({"values": F.regexp_extract_all("t", F.lit(f"({CANDIDATE})"), F.lit(1)), "between": F.split("t", CANDIDATE, -1)})
+    rows = rows.withColumns({"whole": F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)), "lead": F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(1)), "between": F.split("t", CANDIDATE, -1)})
+    values = F.zip_with("whole", "lead", lambda w, p: F.substr(w, F.length(p) + 1))
+    between = F.transform("between", lambda b, i: F.concat(b, F.coalesce(F.get("lead", i), F.lit(""))))
+    rows = rows.select("row", "path", values.alias("values"), between.alias("between"), F.transform("lead", lambda p: p != "").alias("assigned"))
     lead = F.transform("values", lambda v, i: F.length(F.get(F.col("between"), i)) + F.length(v))
     begin = F.aggregate(
         F.arrays_zip(lead.alias("lead"), F.transform("values", lambda v: F.length(v)).alias("size")),
@@ -129,7 +144,8 @@ def candidates(docs: DataFrame, text: str = "text", path: str | None = "source",
         lambda acc: acc["starts"],
     )
     rows = rows.withColumn("starts", begin)
-    each = rows.select("row", "path", "between", "starts", F.posexplode("values").alias("i", "value"))
+    each = rows.select("row", "path", "between", "starts", "assigned", F.posexplode("values").alias("i", "value"))
+    each = each.filter(F.get("assigned", F.col("i")) | F.col("value").rlike("[0-9]"))  # a stretch may have been cut before its digit
     tail, head = F.get("between", F.col("i")), F.get("between", F.col("i") + 1)
     return each.select(
         "row", "path", "value", F.substring(tail, -NEAR, NEAR).alias("before"), F.substring(head, 1, NEAR).alias("after"), F.get("starts", F.col("i")).cast("long").alias("start")

@@ -308,6 +308,18 @@ def test_secrets(spark, odd):
     assert found[n, 11].is_secret and not found[n + 1, 7].is_secret and not found[n + 2, 11].is_secret and {(n + 3, 2), (n + 3, 45)} <= set(found)
 
 
+def test_secrets_after_credential_words(spark):
+    values = ["hunter2!x", "kQzWvXbTnRpLmHsD", "Zx9!abcdefgh1234567890", "tr0ub4dor&3.q", "hunter2hunter2", "xK" * 120 + "9"]
+    texts = [f"password='{values[0]}'", f'"api_key": "{values[1]}"', f"MY_APP_SECRET={values[2]} x", f"é passwd: {values[3]}", f"my_password={values[4]}", f"see {values[5]}", "password: short", "abcdef0123456789-password=hunter2!x"]
+    rows = secret_forest.scan(frame(spark, texts)).collect()
+    found = {(r.row.doc_id, texts[r.row.doc_id][r.start : r.end]): r for r in rows}
+    assert set(found) == {*enumerate(values), (7, "abcdef0123456789-"), (7, values[0])}
+    assert all(hashlib.sha256(v.encode()).hexdigest() == r.sha256 for (_, v), r in found.items())
+    assert found[0, values[0]].is_secret and found[1, values[1]].is_secret
+    words = secret_forest.scan(frame(spark, ["the secret: something", "password = placeholder"])).collect()
+    assert len(words) == 2 and not any(r.is_secret for r in words)
+
+
 def test_forest_on_held_out_findings(spark):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.sql import functions as F
