@@ -1,9 +1,10 @@
 """License scans by a positional rare-token index, in DataFrame operations only: one pass, no shuffle.
 
 The index holds, for every word of the license templates, its postings (template, position) and its inverse document
-frequency over the templates. A file is looked up by its rarest license words: its distinct words of the vocabulary in
-order of falling IDF, the first ``RAREST`` of them, at all their places. Each place meets the word's postings; the
-difference of the two positions says where the template would begin in the file. Sorted by template and difference,
+frequency over the templates. A template has postings for its own ``RAREST`` words of highest IDF, and a file is looked up by all
+of these words that it holds, at all their places, so no notice crowds out another one. Each place meets the word's
+postings in the templates of which a key phrase stands in the file; the difference of the two positions says where the
+template would begin in the file. Sorted by template and difference,
 matches whose differences lie within ``DRIFT`` words of each other belong to one alignment, and its weight is the sum of
 the IDF of its matched posting positions. A template is found if its best alignment carries ``SHARE`` of the weight that
 the template's own ``RAREST`` words carry, and if one of its mandatory key phrases stands in the file, word by word.
@@ -110,11 +111,10 @@ class PositionalIndex:
         self.postings: dict[str, list[tuple[int, int]]] = {}
         self.weight = []
         for t, ws in enumerate(words):
-            for p, w in enumerate(ws):
-                if w not in self.idf:
-                    continue
-                self.postings.setdefault(w, []).append((t, p))
             own = sorted(set(ws) & set(self.idf), key=lambda w: (-self.idf[w], w))[:rarest]
+            for p, w in enumerate(ws):
+                if w in own:
+                    self.postings.setdefault(w, []).append((t, p))
             self.weight.append(sum(self.idf[w] * ws.count(w) for w in own))
         self.phrases = [templates[t][1] for t in self.labels]
 
@@ -201,11 +201,11 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, ind
     rows = rows.withColumn("index", literal)
     places = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(list(index.postings)))
     rows = rows.withColumn("hits", F.transform(places, lambda h: F.struct(h["w"].alias("w"), h["i"].alias("i"), F.try_element_at("index", h["w"]).alias("e"))))
-    ranked = F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct((-h["e"]["idf"]).alias("r"), h["w"].alias("w")))))
-    rows = rows.withColumn("rare", F.transform(F.slice(ranked, 1, RAREST), lambda r: r["w"]))
-    rows = rows.withColumn("hits", F.filter("hits", lambda h: F.array_contains(F.col("rare"), h["w"])))
+    # a template without a key phrase in the file cannot be found: its postings are left out
+    open_ = F.array(*[F.when(_any_held(F.col("joined"), ps), F.lit(t)) for t, ps in enumerate(index.phrases)])
+    rows = rows.withColumn("open", F.when(F.col("maybe"), F.array_compact(open_)))
     matches = F.flatten(
-        F.transform("hits", lambda h: F.transform(h["e"]["posts"], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("o"), p["p"].alias("p"), h["e"]["idf"].alias("idf"))))
+        F.transform("hits", lambda h: F.transform(F.filter(h["e"]["posts"], lambda p: F.array_contains("open", p["t"])), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("o"), p["p"].alias("p"), h["e"]["idf"].alias("idf"))))
     )
     rows = rows.withColumn("m", F.array_sort(F.array_distinct(matches)))
 

@@ -169,6 +169,16 @@ def test_licenses(spark, odd):
         assert got[i].n_words == len(re.findall(license_scan.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
 
 
+def test_licenses_beside_each_other_and_in_long_texts(spark):
+    notice = {k: t[0] for k, t in license_scan.TEMPLATES.items()}
+    rng = random.Random(6)
+    vocabulary = sorted({w for k, t in notice.items() if k != "mpl-2:short" for w in t.split()} - {"mozilla"})
+    long = prose(rng, 3000, vocabulary + [f"w{i}" for i in range(3000)])
+    texts = [notice["gpl"] + "\n" + notice["mit"], notice["bsd"] + "\n" + notice["gpl:short"], long + " " + notice["mpl-2:short"] + " " + long, "\n".join(notice[k] for k in ("isc", "cc0", "proprietary", "lgpl"))]
+    got = {r.doc_id: r.labels for r in license_scan.scan(frame(spark, texts)).select("row.doc_id", "labels").collect()}
+    assert [got[i] for i in range(4)] == ["gpl,mit", "bsd,gpl", "mpl-2", "cc0,isc,lgpl,proprietary"]
+
+
 PII = [
     "write a.b+c@x-y.example.org, or a@b.c_x@y.zz now", "1.2.3.4.5 and 300.1.1.1 and 001.2.3.004", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (555) 010-2000 x +123 y +1.2.3.4.5.6.7.8.9.0.1.2",
     "é 4111111111111111 ñ a@b.co", "@x.y a@b @@ a@b.c", "x" * 5000 + "@", "9" * 3000, "", None,
