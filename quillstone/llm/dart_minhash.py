@@ -21,8 +21,9 @@ Steps of :func:`near_duplicates`, each table written to the shared folder:
 5. connected components by hooking and pointer jumping, in written tables.
 
 Defined cases: null and empty texts, and texts without any word, are alone in their class; a text of one to four words
-has one shingle of all its words; rows that share an id count as one document and fall into one class;
-an id's class is the lowest id in it, null ids sort first; an empty table gives an empty result.
+has one shingle of all its words; rows are told apart by their words, so different texts that share an id, or have none,
+are documents of their own; a class is named by the lowest id in it, null ids sort first; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, weights: np.ndarray | N
 
 def _sign_task(batches):
     for batch in batches:
-        ids, text = batch.column("doc_id"), batch.column("text")
+        text = batch.column("text")
         for a, b in ta.slices(text, 1_000_000):
             words, bounds = ta.word_hashes(*ta.flat_bytes(text.slice(a, b - a), lower=True))
             elems, at = ta.distinct(*ta.shingle_hashes(words, bounds, WIDTH, whole=True))
@@ -133,7 +134,7 @@ def _sign_task(batches):
             key = [ta.per_text(ta.mix64(words + (nth + np.uint64(1)) * np.uint64(c)).view(np.int64), bounds) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
             yield pa.record_batch(
                 {
-                    "doc_id": ids.slice(a, b - a),
+                    **{c: batch.column(c).slice(a, b - a) for c in ("doc_id", "x1", "x2")},
                     "h1": pa.array(key[0]),
                     "h2": pa.array(key[1]),
                     "n_words": pa.array(np.diff(bounds).astype(np.int64)),
@@ -142,11 +143,17 @@ def _sign_task(batches):
             )
 
 
+def _keys(docs: DataFrame, id_col: str, text: str) -> dict:
+    """What tells rows apart without Python: the id, and two hashes of the text as it stands."""
+    t = text_of(docs, text)
+    return {"doc_id": F.col(f"`{id_col}`").cast("long"), "x1": F.xxhash64(t), "x2": F.xxhash64(F.lit(1), t)}
+
+
 def sign(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, h1, h2, n_words, sig) of every document: hashes of its words and its signature."""
+    """(doc_id, x1, x2, h1, h2, n_words, sig) of every document: hashes of its text and of its words, and its signature."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
-    return rows.mapInArrow(_sign_task, "doc_id long, h1 long, h2 long, n_words long, sig binary")
+    rows = docs.select(*[c.alias(k) for k, c in _keys(docs, id_col, text).items()], text_of(docs, text).alias("text"))
+    return rows.mapInArrow(_sign_task, "doc_id long, x1 long, x2 long, h1 long, h2 long, n_words long, sig binary")
 
 
 def _agree(a, b):
@@ -206,17 +213,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             return roots
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
-    """(doc_id, h1, h2, class_id, stays) for every row of ``docs``; of equal rows (id and text) each is given.
-
-    ``stays`` marks the rows of the lowest id in the class.
-    """
+def _classes(docs: DataFrame, id_col: str, text: str, threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
+    """(doc_id, x1, x2, h1, h2, n_words, class_id, stays, chosen) of every row; ``chosen`` marks the one text of a class
+    that is left of it."""
     signed = materialize(sign(docs, id_col, text), "signatures")
-    low = -(1 << 63)
-    safe = signed.withColumn("node", F.coalesce("doc_id", F.lit(low)))
-    worded = safe.filter("n_words > 0")
-    first = worded.groupBy("h1", "h2").agg(F.min(F.struct("node", "sig")).alias("m")).select("h1", "h2", "m.node", "m.sig")
-    first = materialize(first, "representatives")
+    worded = signed.filter("n_words > 0")
+    first = worded.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "x1", "x2", "sig")).alias("m")).select("h1", "h2", "m.*")
+    # numbers for the texts; the written table fixes them
+    first = materialize(first.withColumn("node", F.monotonically_increasing_id()), "representatives")
     nodes = first.select("node", "sig")
     bands = nodes.select("node", F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])).alias("band", "key"))
     bands = bands.select("node", "key")
@@ -224,19 +228,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*leaders)).alias("leaders")).filter("n > 1").select("key", "leaders")
     pairs = bands.join(buckets, "key").select("node", F.explode("leaders").alias("leader")).filter("node <> leader")
     pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    sig = nodes.groupBy("node").agg(F.min("sig").alias("sig"))
     agree = F.pandas_udf(_agree, "double")
     pairs = (
-        pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+        pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
+        .join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
         .select("a", "b", agree("sa", "sb").alias("est"))
         .filter(F.col("est") >= floor)
     )
     pairs = materialize(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(low)).alias("node"), text_of(docs, text).alias("text"))
+    needed = first.select("node", F.col("doc_id").alias("of"), "x1", "x2").join(needed, "node", "left_semi")
+    rows = docs.select(*[c.alias(k) for k, c in _keys(docs, id_col, text).items()], text_of(docs, text).alias("text"))
     # merge at every size: the ids grow with the input, and plans that turn with the size would hide how they grow
-    sets = materialize(rows.join(needed.hint("merge"), "node", "left_semi").mapInArrow(_set_task, "node long, elems binary"), "shingle-sets")
+    rows = rows.alias("r").join(needed.alias("n").hint("merge"), F.expr("r.x1 = n.x1 and r.x2 = n.x2 and r.doc_id <=> n.of")).select("node", "text")
+    sets = materialize(rows.mapInArrow(_set_task, "node long, elems binary"), "shingle-sets")
     sets = sets.groupBy("node").agg(F.min("elems").alias("elems"))
     jaccard = F.pandas_udf(_jaccard, "double")
 
@@ -253,27 +258,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     more = materialize(verified(apart.join(best, ["a", "b"], "left_anti").select("a", "b")), "more-links")
     if more.limit(1).count():
         roots = components(links.union(more), "all-roots")
-    rep = first.select("h1", "h2", F.col("node").alias("rep"))
-    classes = rep.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class"))
-    out = safe.drop("sig").join(classes, ["h1", "h2"], "left")
-    out = out.withColumn("class", F.when(F.col("n_words") > 0, F.col("class")).otherwise(F.col("node")))
-    return out.select("doc_id", "h1", "h2", F.nullif("class", F.lit(low)).alias("class_id"), (F.col("node") == F.col("class")).alias("stays"))
+    rep = first.drop("sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = rep.groupBy("root").agg(F.min(F.struct("doc_id", "x1", "x2")).alias("low"))
+    out = signed.drop("sig").join(rep.join(lowest, "root").select("h1", "h2", "low"), ["h1", "h2"], "left")
+    alone, low = F.col("n_words") == 0, F.col("low")
+    stays = alone | F.col("doc_id").eqNullSafe(low["doc_id"])
+    return out.select(
+        "doc_id", "x1", "x2", "h1", "h2", "n_words", F.when(alone, F.col("doc_id")).otherwise(low["doc_id"]).alias("class_id"),
+        stays.alias("stays"), (alone | stays & (F.col("x1") == low["x1"]) & (F.col("x2") == low["x2"])).alias("chosen"),
+    )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
+    """(doc_id, h1, h2, class_id, stays) for every row of ``docs``; of equal rows (id and text) each is given.
+
+    ``stays`` marks the rows of the lowest id in the class.
+    """
+    return _classes(docs, id_col, text, threshold, floor).select("doc_id", "h1", "h2", "class_id", "stays")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each class. Rows of the lowest id that repeat it give one row.
+    """The rows of ``docs`` that stay: one of each class. Rows that repeat its id and text give one row; texts without
+    words stay, but for those that repeat an id.
 
-    Only the ids and text hashes of rows that go, or that share an id, are joined to the documents.
+    Only the ids and text hashes of rows that go, or that are repeated, are joined to the documents.
     """
-    low = F.lit(-(1 << 63))
-    classes = materialize(near_duplicates(docs, id_col, text, **options), "classes")
-    kept = classes.filter("stays").select(F.coalesce("doc_id", low).alias("node"), "class_id")
-    gone = classes.filter(~F.col("stays")).select(F.coalesce("doc_id", low).alias("node")).distinct()
-    twice = kept.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), low).alias("node"))
-    marks = gone.withColumn("mark", F.lit(1)).union(twice.withColumn("mark", F.lit(2)))
-    marked = materialize(rows.join(marks, "node", "left").filter("mark is null or mark = 2"), "kept-rows")
+    classes = materialize(_classes(docs, id_col, text, **options).select("doc_id", "x1", "x2", "n_words", "chosen"), "classes")
+    keys = classes.filter("n_words > 0 or doc_id is not null").groupBy("doc_id", "x1", "x2").agg(F.min("chosen").alias("chosen"), F.count("*").alias("n"))
+    marks = keys.filter("not chosen or n > 1").select(F.col("doc_id").alias("of"), "x1", "x2", F.when(F.col("chosen"), 2).otherwise(1).alias("mark"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in _keys(docs, id_col, text).items()])
+    rows = rows.alias("r").join(marks.alias("m"), F.expr("r.x1 = m.x1 and r.x2 = m.x2 and r.doc_id <=> m.of"), "left").filter("mark is null or mark = 2")
+    marked = materialize(rows.select("row", "doc_id", "r.x1", "r.x2", "mark"), "kept-rows")
     names = [F.col("row").getField(c).alias(c) for c in docs.columns]
     single = marked.filter("mark is null").select(*names)
-    again = marked.filter("mark = 2").groupBy("node").agg(F.min_by("row", F.xxhash64(F.col("row").getField(text))).alias("row"))
+    again = marked.filter("mark = 2").groupBy("doc_id", "x1", "x2").agg(F.first("row").alias("row"))
     return single.union(again.select(*names))

@@ -133,6 +133,18 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert dart_minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_texts_with_null_and_shared_ids_stay(spark):
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(500)]
+    a, b, c, d, e = (prose(rng, 100, pool) for _ in range(5))
+    rows = [(None, a), (None, b), (None, a), (3, c), (3, d), (1, d + " tail"), (7, c + " tail"), (9, e), (9, e + " tail"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(str, (tuple(r) for r in dart_minhash.deduplicated(docs).collect())))
+    assert len(kept) == 7 and {str((None, a)), str((None, b)), str((3, c)), str((1, d + " tail")), str((None, None)), str((None, ""))} < set(kept)
+    got = {(r.doc_id, r.class_id) for r in dart_minhash.near_duplicates(docs).collect()}
+    assert got == {(None, None), (3, 3), (3, 1), (1, 1), (7, 3), (9, 9)}
+
+
 def test_containment_equals_brute_force(spark, odd):
     rng = random.Random(9)
     pool = ["".join(rng.choice("abcdehinorst") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
