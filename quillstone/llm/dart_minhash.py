@@ -14,11 +14,13 @@ Steps of :func:`near_duplicates`, each table written to the shared folder:
 1. one pass over the texts: a 128-bit hash of the words, the signature, the number of shingles;
 2. exact copies meet by hash (a map-side combined minimum), one representative each goes on;
 3. bands of the signature; in each bucket every member is paired with a few leaders (lowest ids under several
-   orders, again plain aggregates), never with all others; pairs whose signatures agree too little are dropped
-   (``floor`` lies over four standard deviations below the threshold);
+   orders, again plain aggregates); pairs whose signatures agree too little are dropped (``floor`` lies over four
+   standard deviations below the threshold);
 4. exact Jaccard similarity of the shingle sets: first each text with its best leader, then, components
    known, every remaining pair between different components;
-5. connected components by hooking and pointer jumping, in written tables.
+5. buckets with pairs beside those of the leaders, whose members lie in different components: every pair of such
+   members at the threshold shares a shingle among the rarest of both (:func:`rare_pairs`), and is verified too;
+6. connected components by hooking and pointer jumping, in written tables.
 
 Defined cases: null and empty texts, and texts without any word, are alone in their class; a text of one to four words
 has one shingle of all its words; rows are told apart by their words, so different texts that share an id, or have none,
@@ -32,7 +34,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
@@ -189,6 +191,39 @@ def _jaccard(a, b):
     return pd.Series(out, dtype=float)
 
 
+def _token_task(batches):
+    for batch in batches:
+        for node, root, elems in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "elems"))):
+            tokens = np.frombuffer(elems, np.uint32).astype(np.int64)
+            same = lambda x, t: pa.array(np.full(len(tokens), x), t)  # noqa: B023, E731
+            yield pa.record_batch({"node": same(node, pa.int64()), "root": same(root, pa.int64()), "n": same(len(tokens), pa.int32()), "token": pa.array(tokens)})
+
+
+def rare_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b), a < b: of the sets (node, root, elems), a superset of the pairs of different roots at the threshold.
+
+    Prefix filtering: with elements in one order for all sets, the rarest first, the smaller set of such a pair has one
+    of its first ``n - 2t / (1 + t) n + 1`` elements in common with the first ``n - t n + 1`` of the larger one. What a
+    family below the threshold shares lies behind its smaller prefix. Elements under one root only make no pair, and
+    the most common root of an element is not paired with itself.
+    """
+    tokens = materialize(sets.mapInArrow(_token_task, "node long, root long, n int, token long"), "crowd-tokens")
+    order = Window.partitionBy("node").orderBy("c", "token")
+    counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("c")), "token").withColumn("pos", F.row_number().over(order))
+    within = lambda share: F.col("pos") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1
+    prefix = counted.filter(within(threshold)).select("token", "node", "root", "n", "pos", within(2 * threshold / (1 + threshold)).alias("short"))
+    prefix = materialize(prefix, "crowd-prefixes")
+    by_root = prefix.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token")
+    main = by_root.agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("token", "main")
+    met = prefix.join(main, "token")
+    x, y = met.filter("root <> main").alias("x"), met.alias("y")
+    smaller = "struct(x.n, x.node) < struct(y.n, y.node)"
+    both = f"x.token = y.token and x.root <> y.root and if({smaller}, x.short, y.short) and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-6"
+    enough = f"1 + least(x.n - x.pos, y.n - y.pos) >= {threshold / (1 + threshold)} * (x.n + y.n) - 1e-6"
+    found = x.join(y, F.expr(f"{both} and {enough}"))
+    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): the lowest id of its connected component.
 
@@ -225,7 +260,9 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float = THRESHO
     bands = nodes.select("node", F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])).alias("band", "key"))
     bands = bands.select("node", "key")
     leaders = [F.min("node"), F.max("node"), F.min_by("node", F.xxhash64("node", F.lit(1))), F.min_by("node", F.xxhash64("node", F.lit(2)))]
-    buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*leaders)).alias("leaders")).filter("n > 1").select("key", "leaders")
+    buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*leaders)).alias("leaders")).filter("n > 1")
+    # members that are no leaders are paired with leaders only; rare_pairs covers them
+    crowd = materialize(bands.join(buckets.filter(F.col("n") >= F.size("leaders") + 2).select("key"), "key").select("key", "node"), "crowd")
     pairs = bands.join(buckets, "key").select("node", F.explode("leaders").alias("leader")).filter("node <> leader")
     pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     agree = F.pandas_udf(_agree, "double")
@@ -236,7 +273,7 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float = THRESHO
         .filter(F.col("est") >= floor)
     )
     pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
     needed = first.select("node", F.col("doc_id").alias("of"), "x1", "x2").join(needed, "node", "left_semi")
     rows = docs.select(*[c.alias(k) for k, c in _keys(docs, id_col, text).items()], text_of(docs, text).alias("text"))
     # merge at every size: the ids grow with the input, and plans that turn with the size would hide how they grow
@@ -256,8 +293,16 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float = THRESHO
     apart = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
     apart = apart.select("a", "b", F.coalesce("root_a", "a").alias("ra"), F.coalesce("root_b", "b").alias("rb")).filter("ra <> rb")
     more = materialize(verified(apart.join(best, ["a", "b"], "left_anti").select("a", "b")), "more-links")
+    links = links.union(more)
     if more.limit(1).count():
-        roots = components(links.union(more), "all-roots")
+        roots = components(links, "all-roots")
+    rooted = crowd.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    loose = materialize(rooted.join(mixed, "key", "left_semi").select("node", "root").distinct(), "crowd-apart")
+    if loose.limit(1).count():
+        rest = materialize(verified(rare_pairs(loose.join(sets, "node"), threshold)), "crowd-links")
+        if rest.limit(1).count():
+            roots = components(links.union(rest), "crowd-roots")
     rep = first.drop("sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rep.groupBy("root").agg(F.min(F.struct("doc_id", "x1", "x2")).alias("low"))
     out = signed.drop("sig").join(rep.join(lowest, "root").select("h1", "h2", "low"), ["h1", "h2"], "left")

@@ -133,6 +133,15 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert dart_minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_pairs_inside_a_large_family_below_the_threshold(spark):
+    shared = " ".join(f"s{i}" for i in range(176))
+    tail = lambda i, k: " ".join(f"t{i}x{j}" for j in range(k))
+    texts = [f"{shared} {tail(i, 24)}" for i in range(2000)]  # similarity 0.78
+    twins = [f"{shared} {tail(i, 4)} {tail(9000 + i, 20)}" for i in range(40)]  # 0.81 to the text of the same number
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(frame(spark, texts + twins)).collect()}
+    assert got == {i: i - 2000 if i >= 2000 else i for i in range(2040)}
+
+
 def test_texts_with_null_and_shared_ids_stay(spark):
     rng = random.Random(12)
     pool = [f"w{i}" for i in range(500)]
