@@ -90,13 +90,12 @@ def _ratios(a, b):
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)], dtype=float)
 
 
-def output_similarity(outputs: DataFrame, key: str = "run_id", text: str = "text", limit: float = 0.7, most_outputs: int = 500) -> DataFrame:
-    """(average, maximum, over_limit) of the ratios of all pairs of a stated set of outputs, ``most_outputs`` at most."""
-    rows = outputs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    n = rows.limit(most_outputs + 1).count()
-    if n > most_outputs:
-        raise ValueError(f"a report compares {most_outputs} outputs at most")
-    pairs = rows.select(F.col("k").alias("a"), F.col("t").alias("ta")).crossJoin(F.broadcast(rows.select(F.col("k").alias("b"), F.col("t").alias("tb")))).filter("a < b")
+def output_similarity(outputs: DataFrame, run: str = "run_id", order: str = "item_idx", text: str = "text", limit: float = 0.7) -> DataFrame:
+    """(run_id, average, maximum, over_limit) of the ratios of all pairs of each run's outputs; a run of one has no average."""
+    first = outputs.select(F.col(run).alias("run_id"), F.col(order).alias("a"), F.col(text).alias("ta"))
+    second = outputs.select(F.col(run).alias("run"), F.col(order).alias("b"), F.col(text).alias("tb"))
+    pairs = first.join(second, F.col("run_id").eqNullSafe(F.col("run")) & (F.col("a") < F.col("b")), "left")
 
     similar = F.pandas_udf(_ratios, "double")
-    return pairs.select(similar("ta", "tb").alias("r")).agg(F.avg("r").alias("average"), F.max("r").alias("maximum"), F.count_if(F.col("r") > limit).alias("over_limit"))
+    ratios = pairs.select("run_id", F.when(F.col("b").isNotNull(), similar("ta", "tb")).alias("r"))
+    return ratios.groupBy("run_id").agg(F.avg("r").alias("average"), F.max("r").alias("maximum"), F.count_if(F.col("r") > limit).alias("over_limit"))

@@ -250,10 +250,10 @@ def score_degeneracy(t: Tables):
 
 @query()
 def output_similarity(t: Tables):
-    """Q7: similarity of all pairs of a report's outputs (first turns of the twenty first conversations)."""
-    rows = t.conversations.filter("turn = 0").orderBy("conv_id").limit(20).select(F.col("conv_id").alias("run_id"), "text")
+    """Q7: similarity of all pairs of a run's outputs (the turns of a conversation), for every run."""
+    rows = t.conversations.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("item_idx"), "text")
     out = D.output_similarity(rows)
-    return out.select(F.round("average", 6).alias("average"), F.round("maximum", 6).alias("maximum"), "over_limit")
+    return out.select("run_id", F.round("average", 6).alias("average"), F.round("maximum", 6).alias("maximum"), "over_limit")
 
 
 @query(r"""

@@ -228,3 +228,28 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
     assert spark.table("admitted").filter("admitted").count() == 5
     assert spark.table("paused").count() == 1
+
+
+def test_output_similarity_equals_brute_force_for_every_run(spark):
+    from collections import defaultdict
+    from itertools import combinations
+    from types import SimpleNamespace
+
+    from quillstone.operators.dedup import ratio
+    from quillstone.plans import quality
+
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    extra = [(10**9, i, "user", f"text number {i % 7} of {i}") for i in range(60)] + [(10**9 + 1, 0, "user", "alone")]
+    turns = turns.select("conv_id", "turn", "role", "text").union(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
+    runs = defaultdict(list)
+    for r in turns.collect():
+        runs[r.conv_id].append((r.turn, r.text or ""))
+    got = {r.run_id: r for r in quality.output_similarity(SimpleNamespace(conversations=turns)).collect()}
+    assert len(runs) > 20 and set(got) == set(runs)
+    for run, outputs in runs.items():
+        want = [ratio(x[1], y[1]) for x, y in combinations(sorted(outputs), 2)]
+        assert got[run].over_limit == sum(w > 0.7 for w in want)
+        if want:
+            assert abs(got[run].average - sum(want) / len(want)) < 1e-5 and abs(got[run].maximum - max(want)) < 1e-5
+        else:
+            assert got[run].average is None
