@@ -81,3 +81,28 @@ def bounded_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+
+
+def _release() -> None:
+    """Give memory that a task has freed back to the system; reused Python workers would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(task):
+    """A task over batches that leaves no freed memory behind in its Python worker."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            _release()
+
+    return run

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import bounded_batches, materialize, text_of
+from .common import bounded_batches, materialize, text_of, trimmed
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -155,7 +155,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """(doc_id, x1, x2, h1, h2, n_words, sig) of every document: hashes of its text and of its words, and its signature."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(*[c.alias(k) for k, c in _keys(docs, id_col, text).items()], text_of(docs, text).alias("text"))
-    return rows.mapInArrow(_sign_task, "doc_id long, x1 long, x2 long, h1 long, h2 long, n_words long, sig binary")
+    return rows.mapInArrow(trimmed(_sign_task), "doc_id long, x1 long, x2 long, h1 long, h2 long, n_words long, sig binary")
 
 
 def _agree(a, b):
@@ -207,7 +207,7 @@ def rare_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     family below the threshold shares lies behind its smaller prefix. Elements under one root only make no pair, and
     the most common root of an element is not paired with itself.
     """
-    tokens = materialize(sets.mapInArrow(_token_task, "node long, root long, n int, token long"), "crowd-tokens")
+    tokens = materialize(sets.mapInArrow(trimmed(_token_task), "node long, root long, n int, token long"), "crowd-tokens")
     order = Window.partitionBy("node").orderBy("c", "token")
     counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("c")), "token").withColumn("pos", F.row_number().over(order))
     within = lambda share: F.col("pos") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1
@@ -278,7 +278,7 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float = THRESHO
     rows = docs.select(*[c.alias(k) for k, c in _keys(docs, id_col, text).items()], text_of(docs, text).alias("text"))
     # merge at every size: the ids grow with the input, and plans that turn with the size would hide how they grow
     rows = rows.alias("r").join(needed.alias("n").hint("merge"), F.expr("r.x1 = n.x1 and r.x2 = n.x2 and r.doc_id <=> n.of")).select("node", "text")
-    sets = materialize(rows.mapInArrow(_set_task, "node long, elems binary"), "shingle-sets")
+    sets = materialize(rows.mapInArrow(trimmed(_set_task), "node long, elems binary"), "shingle-sets")
     sets = sets.groupBy("node").agg(F.min("elems").alias("elems"))
     jaccard = F.pandas_udf(_jaccard, "double")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import bounded_batches, text_of
+from .common import bounded_batches, text_of, trimmed
 
 WIDTH, THRESHOLD, K = 5, 0.8, 64
 SMALLEST = 4
@@ -185,7 +185,7 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, tex
     schema = rows.select("row").schema.add("item_id", "long").add("n_shared", "long").add("n_item", "long")
     out = None
     for block in _blocks(items, item_id, item_text):
-        part = rows.mapInArrow(_search_task(docs.sparkSession.sparkContext.broadcast(_index(block)), threshold), schema)
+        part = rows.mapInArrow(trimmed(_search_task(docs.sparkSession.sparkContext.broadcast(_index(block)), threshold)), schema)
         out = part if out is None else out.union(part)
     return out
 
@@ -194,7 +194,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     """The documents that contain no item, with their columns."""
     rows = _rows(docs, text, None)
     for block in _blocks(items, item_id, item_text):
-        rows = rows.mapInArrow(_clean_task(docs.sparkSession.sparkContext.broadcast(_index(block)), threshold), rows.schema)
+        rows = rows.mapInArrow(trimmed(_clean_task(docs.sparkSession.sparkContext.broadcast(_index(block)), threshold)), rows.schema)
     return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

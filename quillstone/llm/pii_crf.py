@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import bounded_batches, text_of
+from .common import bounded_batches, text_of, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -408,4 +408,4 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, fie
     for k in KINDS:
         schema = schema.add(f"n_{k}", "long")
     schema = schema.add("base_sha256", "string").add("spans", "string")
-    return rows.mapInArrow(_find_task(docs.sparkSession.sparkContext.broadcast(field or train())), schema)
+    return rows.mapInArrow(trimmed(_find_task(docs.sparkSession.sparkContext.broadcast(field or train()))), schema)

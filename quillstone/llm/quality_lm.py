@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import bounded_batches, materialize, text_of
+from .common import bounded_batches, materialize, text_of, trimmed
 
 ORDER, BITS = 4, 6
 MASK = [(1 << (BITS * n)) - 1 for n in range(ORDER + 1)]
@@ -98,7 +98,7 @@ def _count_task(batches):
 def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang_id, gram, n) over all documents."""
     rows = docs.select(text_of(docs, text).alias("text"), language_id(F.col(f"`{lang}`").cast("string")).alias("lang_id"))
-    found = rows.mapInArrow(_count_task, "lang_id int, gram int, n long")
+    found = rows.mapInArrow(trimmed(_count_task), "lang_id int, gram int, n long")
     return found.groupBy("lang_id", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -264,7 +264,7 @@ def score(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[st
         mine = rows
         if len(groups) > 1:
             mine = rows.filter(F.col("lang_id").isin(group) if i else ~F.col("lang_id").isin([g for x in groups[1:] for g in x]))
-        part = mine.mapInArrow(_score_task(spark.sparkContext.broadcast(models), text), schema)
+        part = mine.mapInArrow(trimmed(_score_task(spark.sparkContext.broadcast(models), text)), schema)
         out = part if out is None else out.union(part)
     return out
 

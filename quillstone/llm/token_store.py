@@ -17,8 +17,8 @@ pack 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2 or 1 ids of 1, 2, 3, 4, 5, 6, 7
 Selector 15 is the escape: the whole next word is one id of more than 60 bits. Selector 0 with payload n stands for
 n zeros in a row.
 
-Ordering. Shard bounds are quantiles of doc_id over all rows (only that column is read); documents are tokenised where
-they are read, and only ids move to the shards. Positions of documents over the whole store need one number per shard.
+Ordering. Shard bounds are quantiles of doc_id over all rows, merged to shards of about equal bytes of text; documents are tokenised
+where they are read, and only ids move to the shards. Positions of documents over the whole store need one number per shard.
 
 Defined cases: a null text counts as empty and yields the end id alone; null ids come first and come back as null;
 repeated rows are stored as often as they come; special-token strings in a text are left to the tokenizer;
@@ -30,11 +30,14 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_root, text_of
+from .common import bounded_batches, shared_root, text_of, trimmed
+from .textarrays import slices
 
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 COUNTS = 60 // WIDTHS
@@ -42,6 +45,8 @@ STEP, BLOCK_IDS = 4096, 1 << 18
 END_ID = 2
 ZERO_RUN, ESCAPE = 0, 15
 LEAST_RUN = 61
+#: Bytes of text encoded at a time, and of the texts whose ids a task sorts.
+SLICE, SHARD_BYTES = 4_000_000, 32_000_000
 
 
 _small: list[np.ndarray] = []
@@ -170,117 +175,182 @@ def decode_range(words: np.ndarray, offsets: np.ndarray, begin: int, end: int) -
     return decode(words[word:stop])[begin - before : end - before]
 
 
-_tokenizers: dict[str, object] = {}
+_encoders: dict[str, Encoder] = {}
+#: Signs that end a stretch and form a token run of their own behind a word.
+TAILS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+WORD = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 
 
 class Encoder:
     """Token ids of texts by the tokenizers library.
 
-    White space only separates for these tokenizers, so every stretch between white space is tokenised on its own and
-    its ids are remembered; a text's ids are those of its stretches, one after the other. The memory has two generations of
-    ``most`` stretches each: what is met again moves to the young one, and when that is full the old one is forgotten.
+    White space only separates for these tokenizers, so a text's ids are those of its stretches between ASCII white space,
+    one after the other. A batch's distinct stretches are found by Arrow and each is encoded once. Most are a word of Latin
+    letters and some signs behind it; for these tokenizers the two are encoded apart, and case does not count, so such
+    words are looked up in lower case without their signs. What was encoded is remembered, in two generations of ``most`` words:
+    what is met again moves to the young one, and when that is full the old one is forgotten.
+
+    The constructor looks for these properties (normalizer, pre-tokenizer, word ends) in the tokenizer's own description; a tokenizer
+    without them gets whole texts.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 150_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
+        self.most = most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.most = most
-        self.free = self._free_of_space()
-        one = lambda w: self.tok.encode(w, add_special_tokens=False).ids
-        self.apart = all(one("Word" + c) == one("word") + one(c) for c in ".,;:!?")
-
-    def _free_of_space(self) -> bool:
-        probe = ["a b", "a  b", "a\tb\n c", " a", "b "]
-        whole = self.tok.encode_batch(probe, add_special_tokens=False)
-        parts = {x: self.tok.encode(x, add_special_tokens=False).ids for x in "abc"}
-        return all(e.ids == [i for x in p.split() for i in parts[x]] for e, p in zip(whole, probe))
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of each text."""
-        if not self.free:
-            return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        vocabulary = self.tok.get_vocab()
+        self.wide = max(vocabulary.values(), default=0) >= 1 << 16
+        self.apart = _words_apart(self.tok)
+        # words alone need neither the normalizer nor the expressions of the whole tokenizer
+        self.plain = Tokenizer(self.tok.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of Latin letters: encoded in one go, cut at the tokens that end a word."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or (len(ids) and ends[-1] != len(ids)):
+            return self._one_by_one(words)
+        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    def _known(self, pieces: list[str], encode) -> list[bytes]:
+        found = list(map(self.young.get, pieces))
+        lack = [i for i, v in enumerate(found) if v is None]
+        fresh = []
+        for i in lack:
+            value = self.old.get(pieces[i])
+            if value is None:
+                fresh.append(i)
+            else:
+                found[i] = self.young[pieces[i]] = value
+        for a in range(0, len(fresh), 20_000):
+            part = fresh[a : a + 20_000]
+            for i, value in zip(part, encode([pieces[i] for i in part])):
+                found[i] = self.young[pieces[i]] = value
+        return found
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """uint32 ids of all texts, end to end, and the bounds of each text's ids."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.apart:
+            coded = self._one_by_one(texts.to_pylist())
+            return np.frombuffer(b"".join(coded), np.uint32), np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int64)
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        # str.split takes four control characters for white space that the tokenizers don't: such texts go whole
-        whole = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        split = [[] if w else t.split() for t, w in zip(texts, whole)]
-        coded: list[bytes | None] = []
-        for words in split:
-            try:
-                coded.append(b"".join(map(young.get, words)))
-            except TypeError:  # a stretch that isn't there
-                coded.append(None)
-        lacking = [i for i, value in enumerate(coded) if value is None]
-        fresh = set().union(*[split[i] for i in lacking]).difference(young)
-        young.update((w, old[w]) for w in fresh.intersection(old))
-        fresh.difference_update(young)
-        if fresh:
-            # a word and the sign behind it are tokens apart, and these tokenizers lower-case: fewer stems than stretches
-            stems = {w: self._parts(w) for w in fresh}
-            missing = list({p for parts in stems.values() for p in parts if p not in young})
-            for a in range(0, len(missing), 50_000):
-                part = missing[a : a + 50_000]
-                for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                    young[w] = np.array(e.ids, np.uint32).tobytes()
-            for w, parts in stems.items():
-                if parts != (w,):
-                    young[w] = b"".join([young[p] for p in parts])
-        for i in lacking:
-            coded[i] = b"".join([young[w] for w in split[i]])
-        out = [np.frombuffer(value, np.uint32) for value in coded]
-        for i in np.flatnonzero(whole):
-            out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-        return out
-
-    def _parts(self, w: str) -> tuple[str, ...]:
-        tail = w[-1] if w[-1] in ".,;:!?" else ""
-        stem = w[:-1] if tail else w
-        if not (self.apart and stem.isalpha()):
-            return (w,)
-        if stem.isascii():
-            stem = stem.lower()
-        return (stem, tail) if tail else (stem,)
+        # leading and trailing white space gives empty stretches, which have no ids
+        stretches = pc.ascii_split_whitespace(texts)
+        words = np.asarray(stretches.offsets) - stretches.offsets[0].as_py()
+        coded = stretches.flatten().dictionary_encode()
+        index, whole = np.asarray(coded.indices), coded.dictionary
+        stem = pc.ascii_rtrim(whole, TAILS)
+        is_word = pc.match_substring_regex(stem, WORD)
+        stems = pc.utf8_lower(stem.filter(is_word)).dictionary_encode()
+        tails = _behind(whole.filter(is_word), stem.filter(is_word)).dictionary_encode()
+        rest = whole.filter(pc.invert(is_word))
+        pieces = [*self._known(stems.dictionary.to_pylist(), self._words), *self._known(tails.dictionary.to_pylist(), self._one_by_one), *self._known(rest.to_pylist(), self._one_by_one)]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        flat = np.frombuffer(b"".join(pieces), np.uint32)
+        starts = np.cumsum(sizes) - sizes
+        # each distinct stretch is one piece, or a word and the signs behind it
+        n, n_stems, n_tails = len(whole), len(stems.dictionary), len(tails.dictionary)
+        first, second = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        mask = np.asarray(is_word)
+        first[mask], second[mask] = np.asarray(stems.indices), n_stems + np.asarray(tails.indices)
+        first[~mask] = n_stems + n_tails + np.arange(len(rest))
+        both = np.stack([first, second], 1).ravel()
+        both = both[both >= 0]
+        entry = sizes[first] + np.where(second >= 0, sizes[second], 0)
+        flat = flat[_runs(starts[both], sizes[both])]
+        entry_start = np.cumsum(entry) - entry
+        lengths = entry[index]
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[words]
+        return flat[_runs(entry_start[index], lengths)], bounds
+
+
+def _behind(whole: pa.Array, stem: pa.Array) -> pa.Array:
+    """What follows each stem, a prefix in bytes of its stretch."""
+    w, s = (np.frombuffer(x.cast(pa.large_binary()).buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1] for x in (whole, stem))
+    size = np.diff(w) - np.diff(s)
+    data = whole.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    out = raw[_runs(w[1:] - size, size)]
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start .. start + size - 1 of each run, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _words_apart(tok) -> bool:
+    """Whether white space only separates, case does not count, and letters, digits and signs are encoded apart."""
+    import json
+
+    told = json.loads(tok.to_str())
+    steps = ((told.get("normalizer") or {}).get("normalizers")) or []
+    splits = ((told.get("pre_tokenizer") or {}).get("pretokenizers")) or []
+    kinds = [s["type"] for s in steps], [s["type"] for s in splits]
+    if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+        return False
+    split, level = splits
+    own = split["pattern"].get("Regex", "").split("|")
+    known = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d", r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"}
+    parts = split["invert"] and split["behavior"] == "Removed" and set(own) == known and not level["use_regex"] and not level["add_prefix_space"]
+    blank = steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+    return parts and blank and told["model"].get("end_of_word_suffix") == "</w>" and not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in told["added_tokens"])
+
 
 def encoder(path: str) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _tokenizers:
-        _tokenizers[path] = Encoder(path)
-    return _tokenizers[path]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
-def _tokens_task(path: str, end_id: int):
-    def task(batches):
-        from .textarrays import slices
+def _tokens_task(path: str, end_id: int, bounds, parts):
+    """Shard, id and ids of each document; ids are little-endian, of 16 bits if the tokenizer's all fit."""
 
+    def task(batches):
         enc = encoder(path)
+        kind, width = ("<u4", 4) if enc.wide or end_id >= 1 << 16 else ("<u2", 2)
+        limits, dealt, first = bounds.value, *parts.value
         for batch in batches:
-            text = batch.column("text")
-            for a, b in slices(text, 1_000_000):
-                coded = []
-                for ids in enc(text.slice(a, b - a).to_pylist()):
-                    ids = np.append(ids, np.uint32(end_id))
-                    coded.append(ids.astype("<u2").tobytes() if ids.max() < 65536 else b"\x01" + ids.astype("<u4").tobytes())
-                cols = {c: batch.column(c).slice(a, b - a) for c in ("shard", "doc_id")}
-                yield pa.record_batch({**cols, "ids": pa.array(coded, pa.binary())})
+            text, doc_id, key = (batch.column(c) for c in ("text", "doc_id", "key"))
+            shard = np.searchsorted(limits, np.asarray(pc.fill_null(doc_id, -(1 << 63))))
+            shard = (first[shard] + np.asarray(key).view(np.uint64) % dealt[shard].astype(np.uint64)).astype(np.int32)
+            for a, b in slices(text, SLICE):
+                ids, at = enc(text.slice(a, b - a))
+                out = np.full(len(ids) + b - a, end_id, np.uint32)
+                out[np.arange(len(ids)) + np.repeat(np.arange(b - a), np.diff(at))] = ids
+                ends = np.concatenate([[0], at[1:] + np.arange(1, b - a + 1)]) * width
+                coded = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out.astype(kind))])
+                yield pa.record_batch({"shard": pa.array(shard[a:b]), "doc_id": doc_id.slice(a, b - a), "ids": coded.cast(pa.binary())})
 
-    return task
+    return trimmed(task)
 
 
-def _plain_ids(value: bytes) -> np.ndarray:
-    return np.frombuffer(value, "<u4", offset=1) if len(value) % 2 else np.frombuffer(value, "<u2")
+_BLOCK = "shard int, block int, doc_ids array<bigint>, lengths array<bigint>, n_ids long, words binary, offsets binary, crc32 long"
 
 
-_BLOCK = "shard int, block int, doc_ids array<bigint>, lengths array<bigint>, n_ids long, words binary, offsets binary, crc32 long"
+def _write_task(kind: str):
+    return trimmed(lambda batches: _write_blocks(batches, kind))
 
 
-def _write_task(batches):
+def _write_blocks(batches, kind: str):
     shard, block, ids, docs, n = None, 0, [], [], 0
 
     def out():
@@ -306,41 +376,79 @@ def _write_task(batches):
                 block = block + 1 if s == shard else 0
                 ids, docs, n = [], [], 0
             shard = s
-            ids.append(_plain_ids(v))
+            ids.append(np.frombuffer(v, kind))
             docs.append(d)
             n += len(ids[-1])
     if ids:
         yield out()
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text", rows_per_shard: int = 4000) -> None:
-    """Tokenise ``docs`` and write the store; ``rows_per_shard`` bounds what a task sorts."""
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
+    """Tokenise ``docs`` and write the store; a task sorts the ids of about ``shard_bytes`` bytes of texts."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
-    bounded_batches(docs.sparkSession)
-    n = rows.count()
-    shards = max(1, min(10_000, -(-n // rows_per_shard)))
-    quantiles = [i / shards for i in range(1, shards)]
-    bounds = rows.select(F.percentile_approx("doc_id", quantiles, max(10_000, 20 * shards))).collect()[0][0] if quantiles and n else []
-    bounds = sorted(set(bounds or []))
-    found = rows.withColumn("shard", _shard_of(F.col("doc_id"), bounds).cast("int")).mapInArrow(_tokens_task(tokenizer, end_id), "shard int, doc_id long, ids binary")
-    dealt = found.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    dealt.mapInArrow(_write_task, _BLOCK).write.parquet(path)
-
-
-def _shard_of(value, bounds: list[int]):
-    """The number of bounds below the value, by a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value <= F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return F.when(value.isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    bounded_batches(spark)
+    bounds, parts = _shards(rows, shard_bytes)
+    share = spark.sparkContext.broadcast
+    first = np.concatenate([[0], np.cumsum(parts)])
+    enc = encoder(tokenizer)
+    kind = "<u4" if enc.wide or end_id >= 1 << 16 else "<u2"
+    told = [share(bounds), share((parts, first[:-1]))]
+    found = rows.mapInArrow(_tokens_task(tokenizer, end_id, *told), "shard int, doc_id long, ids binary")
+    dealt = found.repartitionById(int(first[-1]), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    dealt.mapInArrow(_write_task(kind), _BLOCK).write.parquet(path)
+    for b in told:
+        b.destroy()
+
+
+def _shards(rows: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Upper bounds of the ids of all shards but the last, and into how many parts each shard is dealt.
+
+    The bounds are quantiles of doc_id over all rows, eight for each shard wanted, of which those are kept that end about
+    ``shard_bytes`` of text; only sizes are read. A shard of one id alone is dealt by hash of the text if it is larger.
+    """
+    size = rows.select("doc_id", (F.octet_length("text") + 16).alias("b"))
+    n, total = size.agg(F.count("*"), F.sum("b")).collect()[0]
+    wanted = min(n, 8 * (-(-(total or 0) // shard_bytes)))
+    if wanted <= 1:
+        return np.zeros(0, np.int64), np.ones(1, np.int64)
+    cuts = size.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], max(10_000, 10 * wanted))).collect()[0][0]
+    cuts = np.unique(np.array([-(1 << 63), *(cuts or [])], np.int64))  # null ids come first, as a span of their own
+    spans = rows.sparkSession.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("int")
+    def span(i: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(spans.value, i.fillna(-(1 << 63)).to_numpy(np.int64)))
+
+    found = size.groupBy(span("doc_id").alias("s")).agg(
+        F.sum("b").alias("b"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), F.count("doc_id").alias("with_id")
+    )
+    held = {r["s"]: r for r in found.collect()}  # eight rows a shard at most
+    spans.destroy()
+    bounds, parts, rows_in, bytes_in = [], [], 0, 0
+    for s in sorted(held):
+        r = held[s]
+        alone = r["with_id"] == 0 or r["with_id"] == r["n"] and r["low"] == r["high"]
+        large = alone and r["b"] > shard_bytes
+        if rows_in and (large or bytes_in + r["b"] > shard_bytes):
+            bounds.append(cuts[s - 1])
+            parts.append(1)
+            rows_in = bytes_in = 0
+        if large:
+            parts.append(-(-r["b"] // shard_bytes))
+            if s == len(cuts):
+                break
+            bounds.append(cuts[s])
+        else:
+            rows_in, bytes_in = rows_in + r["n"], bytes_in + r["b"]
+    if len(parts) == len(bounds):
+        parts.append(1)
+    return np.array(bounds, np.int64), np.array(parts, np.int64)
 
 
 def _read_task(with_ids: bool):
-    return lambda batches: _read_blocks(batches, with_ids)
+    return trimmed(lambda batches: _read_blocks(batches, with_ids))
 
 
 def _read_blocks(batches, with_ids: bool):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import bounded_batches, text_of
+from .common import bounded_batches, text_of, trimmed
 
 CATEGORIES = ("low_quality", "toxic", "severe_toxic")
 MOST_ROWS, MOST_WORDS, FOLDS = 5_000, 400, 5
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     sample = sample.withColumn("place", place).orderBy("place", "id").limit(most_rows)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(docs, text).alias("text"))
     joined = rows.join(F.broadcast(sample), "id").select((F.col("q") == 0).alias("low_quality"), (F.col("x") == 1).alias("toxic"), "place", "text")  # most_rows rows at most
-    table = joined.mapInArrow(_train_task, "low_quality boolean, toxic boolean, place long, words binary").toArrow()
+    table = joined.mapInArrow(trimmed(_train_task), "low_quality boolean, toxic boolean, place long, words binary").toArrow()
     order = np.argsort(np.asarray(table.column("place")), kind="stable") if table.num_rows else []
     words = table.column("words").to_pylist()
     hashes = [np.frombuffer(words[i], np.uint64) for i in order]
@@ -219,5 +219,5 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str] | N
     schema = rows.select("row").schema
     for c in CATEGORIES:
         schema = schema.add(f"p_{c}", "double")
-    out = rows.mapInArrow(_score_task(docs.sparkSession.sparkContext.broadcast(chain)), schema)
+    out = rows.mapInArrow(trimmed(_score_task(docs.sparkSession.sparkContext.broadcast(chain))), schema)
     return out.select("*", *[(F.col(f"p_{c}") >= t).alias(f"is_{c}") for c, t in zip(CATEGORIES, chain.threshold)])
