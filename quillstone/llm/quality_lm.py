@@ -1,164 +1,203 @@
 """Quality rules: n-gram perplexity under a modified Kneser-Ney model counted by Spark, with bands per language.
 
-The model is over characters, order 4, one per language. Characters fall into 64 classes, so an n-gram is a number
-below 2**24 and a language's model can never hold more entries than that, whatever the corpus: this is the proven
-bound under which it is broadcast (word n-grams grow with the corpus and could be neither broadcast nor bounded).
-Counts cover every document; each task counts its own n-grams and Spark adds them up. The smoothed
-log-probabilities lie in arrays sorted by n-gram code, one array per order, and are looked up by binary search.
-
-A document goes if the base rules fail it or if its log-perplexity lies outside its language's band
-``[q1 - spread * (q2 - q1), q3 + spread * (q3 - q2)]`` of the quartiles over all documents of that language that
-pass the base rules (no narrower than ``least_width`` to each side of the median).
-
-Defined cases: a null text counts as empty (no words, ``base_failed``); a null language is a language of its own;
-languages share 256 models by a hash of their name; texts too short for one n-gram have no perplexity and are judged
-by the base rules alone; repeated rows are judged alike and each stays; an empty table gives an empty result; other
-columns of any name pass through untouched inside ``row``.
+The model is over characters as they stand (code points, case kept), of order 5, one for each language by its name. Tasks count the
+n-grams of every document, Spark adds the counts up and computes the interpolated model in joins and windows over
+(language, n-gram) tables, which grow with the corpus. Counts of lower orders are those of distinct left neighbours. An n-gram
+that stands in one distinct text only is left to its lower order: a text does not vouch for itself, so what no other text
+has is improbable however often the text repeats it.
+
+The result, a log-probability for each n-gram of the corpus, lies in arrays sorted by a 64-bit hash of language and n-gram. With
+at most ``most_entries`` n-grams (counted first) the arrays are broadcast. Beyond, documents stay where they are in a table of
+parts, every part asks for the n-grams that stand in it, and meets their probabilities and its documents in one task, the
+probabilities first (:func:`_score_in_parts`). Both ways give the same figures.
+
+A document's log-perplexity is the negative log-probability of all its characters after the fourth, by word: junk in words
+(signs, fused words, tables) costs more a word than prose does, while by character it would hide among cheap repetitions.
+
+A document goes if the base rules fail it or if its log-perplexity lies outside its language's band ``[q2 - spread * (q2 - q1),
+q2 + spread * (q3 - q2)]`` around the median, of the quartiles over all documents of that language that pass the base rules (no
+narrower than ``least_width`` to each side).
+
+Defined cases: a null text counts as empty (no words, ``base_failed``); a null language is a language of its own; texts without
+words or shorter than one n-gram have no perplexity and are judged by the base rules alone; repeated rows are judged alike and each
+stays; an empty table gives an empty result; other columns of any name pass through untouched inside ``row``.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .common import bounded_batches, materialize, text_of, trimmed
 
-ORDER, BITS = 4, 6
-MASK = [(1 << (BITS * n)) - 1 for n in range(ORDER + 1)]
+ORDER = 5
+#: N-grams that are broadcast at most: 12 bytes each.
+MOST_ENTRIES = 1 << 21
+#: Distinct n-grams that a counting task holds before it hands them on.
+MOST_HELD = 400_000
+#: Code points of texts that are grouped at once; their places fit into 22 bits.
+AT_ONCE = 2_000_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _class_table() -> np.ndarray:
-    """Class of each code point below 65536: letters a-z 0-25; capitals 26-35 by hash; digits 36; then spaces and
-    line ends, common punctuation, rarer signs, and 16 classes for letters beyond ASCII."""
-    cp = np.arange(65536)
-    out = 48 + (cp * 2654435761 >> 7) % 16
-    out[:128] = 44 + cp[:128] % 4
-    out[97:123] = np.arange(26)
-    out[65:91] = 26 + np.arange(26) % 10
-    out[48:58] = 36
-    out[[9, 32]], out[[10, 13]] = 37, 38
-    for i, c in enumerate(".,'-\""):
-        out[ord(c)] = 39 + i
-    return out.astype(np.uint8)
+def language_key(name):
+    """Languages by name; null is one of its own."""
+    return F.coalesce(F.concat(F.lit("="), name), F.lit(""))
 
 
-CLASSES = _class_table()
+def _seeds(keys: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each language."""
+    coded = keys.dictionary_encode()
+    seeds = [int.from_bytes(hashlib.blake2b(k.encode(), digest_size=8).digest(), "little") for k in coded.dictionary.to_pylist()]
+    return np.array(seeds, np.uint64)[np.asarray(coded.indices)] if len(keys) else np.zeros(0, np.uint64)
 
 
-def language_id(name):
-    """256 models; a language's name decides which."""
-    return F.coalesce(F.pmod(F.crc32(F.concat(F.lit("lang:"), name)), F.lit(255)) + 1, F.lit(0)).cast("int")
-
-
-def gram_codes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all n-grams of the highest order, text by text, and their bounds."""
-    lead = (raw & 0xC0) != 0x80
-    at = np.concatenate([[0], np.cumsum(lead)])[bounds]
-    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    cls = CLASSES[np.where(points < 65536, points, 0x8000 + (points & 0x7FFF))].astype(np.int32)
-    n = max(len(cls) - ORDER + 1, 0)
-    code = np.zeros(n, np.int32)
+def _hashes(points: np.ndarray, starts: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Hashes of language and n-gram for the n-grams that begin at ``starts`` of ``points``."""
+    rolled = np.zeros(max(len(points) - ORDER + 1, 0), np.uint64)
     for j in range(ORDER):
-        code = (code << BITS) | cls[j : j + n]
-    full = np.maximum(np.diff(at) - ORDER + 1, 0)
-    out = np.concatenate([[0], np.cumsum(full)]).astype(np.int64)
-    return code[np.arange(out[-1]) + np.repeat(at[:-1] - out[:-1], full)], out
+        rolled *= _STEP
+        rolled += points[j : j + len(rolled)]
+    return ta.mix64(rolled[starts] + seeds)
+
+
+class Grams:
+    """All n-grams of some texts, text by text: their hashes, sorted; ``order`` says where each stands."""
+
+    def __init__(self, text: pa.Array, seeds: np.ndarray):
+        raw, bounds = ta.flat_bytes(text)
+        lead = (raw & 0xC0) != 0x80
+        at = np.concatenate([[0], np.cumsum(lead)])[bounds]
+        self.points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        full = np.maximum(np.diff(at) - ORDER + 1, 0)
+        self.bounds = np.concatenate([[0], np.cumsum(full)]).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(full), dtype=np.int32), full)
+        self.starts = np.arange(self.bounds[-1]) + np.repeat(at[:-1] - self.bounds[:-1], full)
+        h = _hashes(self.points, self.starts, seeds[self.owner])
+        if len(h) <= 1 << 22:  # a plain sort of shortened hashes with their places; n-grams that it mixes up fall into more groups
+            short = np.sort(h >> np.uint64(22) << np.uint64(22) | np.arange(len(h), dtype=np.uint64))
+            self.order = (short & np.uint64((1 << 22) - 1)).astype(np.int64)
+        else:
+            self.order = np.argsort(h)
+        h = h[self.order]
+        self.first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        self.hash = h[self.first]
+        self.count = np.diff(np.append(self.first, len(h)))
+
+    def spell(self) -> np.ndarray:
+        """Code points of each distinct n-gram."""
+        return self.points[self.starts[self.order[self.first]][:, None] + np.arange(ORDER)]
+
+
+def _strings(points: np.ndarray) -> pa.Array:
+    """Rows of code points as strings."""
+    size = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)).sum(1)
+    data = points.astype("<u4").tobytes().decode("utf-32-le", "replace").encode()
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(points), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+_COUNTS = "lang_key string, gram string, n long, multi boolean, who long"
 
 
 def _count_task(batches):
-    """N-gram counts of one task: sorted codes with counts for each language met, 2**24 entries at most."""
-    have: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    """Counts of distinct n-grams; ``who`` is a hash of the one text that has it, ``multi`` says that there are more."""
+    held: list[tuple] = []
+    names: list[str] = []
+    number: dict[str, int] = {}
+
+    def merged():
+        h, lang, points, n, multi, who = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+        low, high = np.minimum.reduceat(who[order], first), np.maximum.reduceat(who[order], first)
+        many = np.logical_or.reduceat(multi[order], first) | (low != high)
+        one = order[first]
+        return h[one], lang[one], points[one], np.add.reduceat(n[order], first), many, low
+
+    def out():
+        _, lang, points, n, multi, who = merged()
+        for i in range(0, len(n), 50_000):
+            part = slice(i, i + 50_000)
+            keys = pa.DictionaryArray.from_arrays(pa.array(lang[part]), pa.array(names)).cast(pa.string())
+            yield pa.record_batch({"lang_key": keys, "gram": _strings(points[part]), "n": pa.array(n[part]), "multi": pa.array(multi[part]), "who": pa.array(np.where(multi[part], 0, who[part]))})
+
     for batch in batches:
-        text, lang = batch.column("text"), np.asarray(batch.column("lang_id"))
-        for a, b in ta.slices(text):
-            codes, bounds = gram_codes(*ta.flat_bytes(text.slice(a, b - a)))
-            who = lang[a:b][ta.owners(bounds)]
-            for g in np.unique(who):
-                found, n = np.unique(codes[who == g], return_counts=True)
-                if g in have:
-                    old, m = have[g]
-                    merged, at = np.unique(np.concatenate([old, found]), return_inverse=True)
-                    have[g] = merged, np.bincount(at, np.concatenate([m, n]), len(merged)).astype(np.int64)
-                else:
-                    have[g] = found, n.astype(np.int64)
-    for g, (codes, n) in have.items():
-        for i in range(0, len(codes), 50_000):
-            part = codes[i : i + 50_000]
-            yield pa.record_batch({"lang_id": pa.array(np.full(len(part), g, np.int32)), "gram": pa.array(part), "n": pa.array(n[i : i + 50_000])})
+        text, keys, texts = batch.column("text"), batch.column("lang_key"), np.asarray(batch.column("x"))
+        coded = keys.dictionary_encode()
+        for k in coded.dictionary.to_pylist():
+            if k not in number:
+                number[k] = len(names)
+                names.append(k)
+        lang = np.array([number[k] for k in coded.dictionary.to_pylist()], np.int32)[np.asarray(coded.indices)]
+        seeds = _seeds(keys)
+        for a, b in ta.slices(text, AT_ONCE):
+            g = Grams(text.slice(a, b - a), seeds[a:b])
+            if not len(g.hash):
+                continue
+            owner = g.owner[g.order]
+            who = texts[a:b][owner]
+            low, high = np.minimum.reduceat(who, g.first), np.maximum.reduceat(who, g.first)
+            held.append((g.hash, lang[a:b][owner[g.first]], g.spell(), g.count, low != high, low))
+            if sum(len(x[0]) for x in held) > MOST_HELD:
+                held = [merged()]
+                if len(held[0][0]) > MOST_HELD // 2:
+                    yield from out()
+                    held = []
+    if held:
+        yield from out()
 
 
 def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang_id, gram, n) over all documents."""
-    rows = docs.select(text_of(docs, text).alias("text"), language_id(F.col(f"`{lang}`").cast("string")).alias("lang_id"))
-    found = rows.mapInArrow(trimmed(_count_task), "lang_id int, gram int, n long")
-    return found.groupBy("lang_id", "gram").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Level:
-    """One order of a model: sorted n-gram codes with natural log-probabilities, and for the n-grams as
-    contexts the log of the weight passed down."""
-
-    keys: np.ndarray
-    logp: np.ndarray
-    contexts: np.ndarray
-    logw: np.ndarray
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    n1, n2, n3, n4 = (int((counts == i).sum()) for i in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    plain = (0.5, 1.0, 1.5)
-    d = [1 - 2 * y * n2 / n1 if n1 else plain[0], 2 - 3 * y * n3 / n2 if n2 else plain[1], 3 - 4 * y * n4 / n3 if n3 else plain[2]]
-    return np.array([0.0, *(min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1))])
-
-
-def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> list[Level]:
-    """Interpolated modified Kneser-Ney from counts of the highest order; lower orders count distinct left neighbours."""
-    tables = [(grams, counts.astype(np.float64))]
-    for n in range(ORDER - 1, 0, -1):
-        keys, left = np.unique(tables[0][0] & MASK[n], return_counts=True)
-        tables.insert(0, (keys, left.astype(np.float64)))
-    levels: list[Level] = []
+    """(lang_key, gram, n, multi, who) over all documents: ``multi``, whether more than one distinct text has the n-gram."""
+    t = text_of(docs, text)
+    rows = docs.select(t.alias("text"), language_key(F.col(f"`{lang}`").cast("string")).alias("lang_key"), F.xxhash64(t).alias("x"))
+    found = rows.mapInArrow(trimmed(_count_task), _COUNTS)
+    return found.groupBy("lang_key", "gram").agg(F.sum("n").alias("n"), *_apart())
+
+
+def _apart():
+    single = F.when(~F.col("multi"), F.col("who"))
+    return (F.max("multi") | F.coalesce(F.min(single) != F.max(single), F.lit(False))).alias("multi"), F.coalesce(F.min(single), F.lit(0)).alias("who")
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang_key, gram, p) for every n-gram in ``counts``: interpolated modified Kneser-Ney probabilities of its last character.
+
+    ``counts`` is read several times: pass a written table.
+    """
+    tables = [counts.select("lang_key", "gram", "n", "multi", "who")]
+    for _ in range(ORDER - 1):
+        upper = tables[0].select("lang_key", F.substring("gram", 2, ORDER).alias("gram"), "multi", "who")
+        tables.insert(0, upper.groupBy("lang_key", "gram").agg(F.count("*").alias("n"), *_apart()))
     below = None
-    for n, (keys, c) in enumerate(tables, 1):
-        order = np.argsort(keys)
-        keys, c = keys[order], c[order]
-        cut = _discounts(c)[np.minimum(c, 3).astype(int)]
-        ctx, at = np.unique(keys >> BITS, return_inverse=True)
-        total = np.bincount(at, c, len(ctx))
-        weight = np.bincount(at, cut, len(ctx)) / total
-        lower = np.full(len(keys), 1 / (1 << BITS)) if below is None else below[1][np.searchsorted(below[0], keys & MASK[n - 1])]
-        p = (c - cut) / total[at] + weight[at] * lower
-        below = keys, p
-        levels.append(Level(keys, np.log(p), ctx, np.log(weight)))
-    return levels
-
-
-def log_probs(levels: list[Level], codes: np.ndarray) -> np.ndarray:
-    """Natural log-probability of the last character of each n-gram, given those before."""
-    out = np.zeros(len(codes))
-    rest = np.arange(len(codes))
-    for n in range(ORDER, 0, -1):
-        level, q = levels[n - 1], codes[rest] & MASK[n]
-        if not len(q):
-            return out
-        i = np.minimum(np.searchsorted(level.keys, q), len(level.keys) - 1)
-        hit = level.keys[i] == q
-        out[rest[hit]] += level.logp[i[hit]]
-        rest, q = rest[~hit], q[~hit]
-        i = np.minimum(np.searchsorted(level.contexts, q >> BITS), len(level.contexts) - 1)
-        out[rest] += np.where(level.contexts[i] == q >> BITS, level.logw[i], 0)
-    out[rest] += math.log(1 / (1 << BITS))
-    return out
+    for order, table in enumerate(tables, 1):
+        of = F.least("n", F.lit(4))
+        seen = table.groupBy("lang_key").agg(*[F.count_if(of == i).cast("double").alias(f"n{i}") if i < 4 else F.count_if(F.col("n") == 4).cast("double").alias("n4") for i in range(1, 5)])
+        y = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
+        cuts = [
+            F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), F.when(F.col(f"n{i}") > 0, i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).otherwise(F.lit(0.5 * i))))
+            for i in (1, 2, 3)
+        ]
+        discounts = seen.select("lang_key", F.array(*cuts).alias("cut"))
+        kept = F.when(F.col("multi"), F.col("n") - F.get("cut", (F.least("n", F.lit(3)) - 1).cast("int"))).otherwise(F.lit(0.0))
+        context = Window.partitionBy("lang_key", F.substring("gram", 1, order - 1))
+        rows = table.join(discounts, "lang_key").withColumn("own", kept)
+        rows = rows.withColumn("total", F.sum("n").over(context)).withColumn("left", 1 - F.sum("own").over(context) / F.col("total"))
+        if below is None:
+            letters = table.groupBy("lang_key").agg((F.count("*") + 1).alias("letters"))  # and one for all others
+            rows = rows.join(letters, "lang_key").withColumn("lower", 1 / F.col("letters"))
+        else:
+            rows = rows.withColumn("suffix", F.substring("gram", 2, ORDER)).join(below.select("lang_key", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang_key", "suffix"])
+        below = rows.select("lang_key", "gram", (F.col("own") / F.col("total") + F.col("left") * F.col("lower")).alias("p"))
+    return below
 
 
 def text_stats(raw: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
@@ -199,98 +238,148 @@ def text_stats(raw: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _score_task(models, text_name):
+def _hash_task(batches):
+    for batch in batches:
+        grams = batch.column("gram")
+        points = np.frombuffer("".join(grams.to_pylist()).encode("utf-32-le"), np.uint32)
+        h = _hashes(points, ORDER * np.arange(len(grams)), _seeds(batch.column("lang_key")))
+        cols = {c: batch.column(c) for c in batch.schema.names if c in ("part",)}
+        yield pa.record_batch({**cols, "h": pa.array(h.view(np.int64)), "logp": pa.array(np.log(np.asarray(batch.column("p"))).astype(np.float32))})
+
+
+def _sorted_arrays(h: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = h.view(np.uint64)
+    order = np.argsort(h)
+    return h[order], logp[order]
+
+
+def _scored(batch, keys: np.ndarray, logp: np.ndarray, text_name: str):
+    """Rows of a batch with counts and log-perplexity, under a model in sorted arrays."""
+    text = batch.column("text") if "text" in batch.schema.names else batch.column("row").field(text_name).cast(pa.string())
+    seeds = _seeds(batch.column("lang_key"))
+    for a, b in ta.slices(text, AT_ONCE):
+        stats = text_stats(*ta.flat_bytes(text.slice(a, b - a)))
+        g = Grams(text.slice(a, b - a), seeds[a:b])
+        value = np.zeros(len(g.order), np.float64)
+        if len(g.hash):
+            at = np.searchsorted(keys, g.hash)
+            if not (keys[np.minimum(at, len(keys) - 1)] == g.hash).all():
+                raise ValueError("the documents are not those that were counted")
+            value[g.order] = np.repeat(logp[at].astype(np.float64), g.count)
+        none = (np.diff(g.bounds) == 0) | (stats["n_words"] == 0)
+        mean = -ta.per_text(value, g.bounds) / np.maximum(stats["n_words"], 1)
+        cols = {"row": batch.column("row").slice(a, b - a), "lang_key": batch.column("lang_key").slice(a, b - a)}
+        cols |= {k: pa.array(stats[k]) for k in STATS} | {"log_ppl": pa.array(mean, mask=none)}
+        yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+
+def _score_task(model, text_name):
     def task(batches):
-        by_lang = models.value
+        keys, logp = model.value
         for batch in batches:
-            lang = np.asarray(batch.column("lang_id"))
-            text = batch.column("text") if "text" in batch.schema.names else batch.column("row").field(text_name).cast(pa.string())
-            for a, b in ta.slices(text):
-                raw, bounds = ta.flat_bytes(text.slice(a, b - a))
-                stats = text_stats(raw, bounds)
-                codes, grams = gram_codes(raw, bounds)
-                logp, who = np.zeros(len(codes)), lang[a:b][ta.owners(grams)]
-                for g in np.unique(who):
-                    mine = who == g
-                    logp[mine] = log_probs(by_lang[int(g)], codes[mine])
-                n = np.diff(grams)
-                mean = -ta.per_text(logp, grams) / np.maximum(n, 1)
-                cols = {"row": batch.column("row").slice(a, b - a), "lang_id": batch.column("lang_id").slice(a, b - a)}
-                cols |= {k: pa.array(stats[k]) for k in STATS} | {"log_ppl": pa.array(mean, mask=n == 0)}
-                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-    return task
-
-
-def _model_groups(sizes: dict[int, int], most: int) -> list[list[int]]:
-    groups, total = [[]], 0
-    for lang, n in sorted(sizes.items()):
-        if groups[-1] and total + n > most:
-            groups.append([])
-            total = 0
-        groups[-1].append(lang)
-        total += n
-    return groups
-
-
-def score(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, most_entries: int = 1 << 24) -> DataFrame:
-    """``row`` (the columns in ``keep``; all of them if None), lang_id, the base counts and ``log_ppl`` of every document.
-
-    Models of several languages are broadcast together as long as they hold ``most_entries`` n-grams at most (one
-    language cannot hold more); further languages follow in further passes over their own documents.
-    """
+            yield from _scored(batch, keys, logp, text_name)
+
+    return trimmed(task)
+
+
+def _parts_task(text_name):
+    """Of rows in order of part: first its n-grams with their probabilities, then its documents."""
+
+    def task(batches):
+        part, held, model = None, [], None
+        for batch in batches:
+            parts = np.asarray(batch.column("part"))
+            cuts = np.flatnonzero(np.diff(parts)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(parts)]):
+                piece = batch.slice(a, b - a)
+                if parts[a] != part:
+                    part, held, model = parts[a], [], None
+                docs = np.asarray(piece.column("is_doc").cast(pa.int8())).astype(bool)
+                n = int((~docs).sum())
+                if n:
+                    held.append(tuple(np.array(piece.column(c).slice(0, n)) for c in ("h", "logp")))
+                if n < len(piece):
+                    if model is None:
+                        model = _sorted_arrays(*(np.concatenate(x) for x in zip(*held))) if held else (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+                        held = []
+                    yield from _scored(piece.slice(n), *model, text_name)
+
+    return trimmed(task)
+
+
+def _wanted_task(batches):
+    """(part, lang_key, gram): the distinct n-grams of each part, batch by batch."""
+    for batch in batches:
+        text, keys = batch.column("text"), batch.column("lang_key")
+        seeds = _seeds(keys)
+        for a, b in ta.slices(text, AT_ONCE):
+            g = Grams(text.slice(a, b - a), seeds[a:b])
+            if len(g.hash):
+                at = g.order[g.first]
+                yield pa.record_batch({"part": batch.column("part").slice(a, b - a).take(pa.array(g.owner[at])), "lang_key": keys.slice(a, b - a).take(pa.array(g.owner[at])), "gram": _strings(g.spell())})
+
+
+def _score_in_parts(rows: DataFrame, model: DataFrame, text: str, schema) -> DataFrame:
+    """Scores where the model is too large for a broadcast: the table of parts fixes which documents are together."""
+    stored = materialize(rows.withColumn("part", F.spark_partition_id()), "quality-parts")
+    text_in = F.col("text") if "text" in rows.columns else F.coalesce(F.col("row").getField(text).cast("string"), F.lit(""))
+    wanted = stored.select(text_in.alias("text"), "lang_key", "part").mapInArrow(trimmed(_wanted_task), "part int, lang_key string, gram string").distinct()
+    answers = wanted.join(model, ["lang_key", "gram"]).select("part", "lang_key", "gram", "p").mapInArrow(trimmed(_hash_task), "part int, h long, logp float")
+    answers = answers.withColumn("is_doc", F.lit(False))
+    both = stored.withColumn("is_doc", F.lit(True)).unionByName(answers, allowMissingColumns=True)
+    n = stored.agg(F.max("part")).collect()[0][0]
+    dealt = both.repartitionById((n or 0) + 1, "part").sortWithinPartitions("part", "is_doc")
+    return dealt.mapInArrow(_parts_task(text), schema)
+
+
+def score(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """``row`` (the columns in ``keep``; all of them if None), lang_key, the base counts and ``log_ppl`` of every document."""
     spark = docs.sparkSession
     bounded_batches(spark)
     counts = materialize(gram_counts(docs, text, lang), "gram-counts")
-    sizes = {r["lang_id"]: r["n"] for r in counts.groupBy("lang_id").agg(F.count("*").alias("n")).collect()}
+    model = materialize(kneser_ney(counts), "gram-model")
     keep = docs.columns if keep is None else keep
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         *([] if text in keep else [text_of(docs, text).alias("text")]),  # a text that is kept is sent once
-        language_id(F.col(f"`{lang}`").cast("string")).alias("lang_id"),
+        language_key(F.col(f"`{lang}`").cast("string")).alias("lang_key"),
     )
     schema = rows.drop("text").schema
     for name in STATS:
         schema = schema.add(name, "long")
     schema = schema.add("log_ppl", "double")
-    out = None
-    groups = _model_groups(sizes, most_entries)
-    for i, group in enumerate(groups):
-        models = {}
-        if group:
-            table = counts.filter(F.col("lang_id").isin(group)).toArrow()
-            ids, grams, n = (np.asarray(table.column(c)) for c in ("lang_id", "gram", "n"))
-            models = {g: kneser_ney(grams[ids == g], n[ids == g]) for g in group}
-        mine = rows
-        if len(groups) > 1:
-            mine = rows.filter(F.col("lang_id").isin(group) if i else ~F.col("lang_id").isin([g for x in groups[1:] for g in x]))
-        part = mine.mapInArrow(trimmed(_score_task(spark.sparkContext.broadcast(models), text)), schema)
-        out = part if out is None else out.union(part)
-    return out
-
-
-def judge(scored: DataFrame, spread: float = 6.0, least_width: float = 0.5) -> DataFrame:
+    if model.count() > most_entries:
+        return _score_in_parts(rows, model, text, schema)
+    table = model.mapInArrow(_hash_task, "h long, logp float").toArrow()
+    arrays = _sorted_arrays(*(table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("h", "logp")))
+    return rows.mapInArrow(_score_task(spark.sparkContext.broadcast(arrays), text), schema)
+
+
+def judge(scored: DataFrame, spread: float = 6.0, least_width: float = 0.2) -> DataFrame:
     """Add base_failed, perplexity, the language's band and kept. ``scored`` is read twice: pass a written table."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    q = F.col("q")
     bands = (
         scored.filter(~base & F.col("log_ppl").isNotNull())
-        .groupBy("lang_id")
+        .groupBy("lang_key")
         .agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10000).alias("q"))
         .select(
-            "lang_id",
-            F.least(F.col("q")[0] - spread * (F.col("q")[1] - F.col("q")[0]), F.col("q")[1] - least_width).alias("band_low"),
-            F.greatest(F.col("q")[2] + spread * (F.col("q")[2] - F.col("q")[1]), F.col("q")[1] + least_width).alias("band_high"),
+            "lang_key",
+            (q[1] - F.greatest(F.lit(least_width), spread * (q[1] - q[0]))).alias("band_low"),
+            (q[1] + F.greatest(F.lit(least_width), spread * (q[2] - q[1]))).alias("band_high"),
         )
     )
+    bands = materialize(bands, "bands")
     inside = F.coalesce(F.col("log_ppl").between(F.col("band_low"), F.col("band_high")), F.lit(True))
+    few = bands.count() <= 100_000  # one row a language
     return (
-        scored.join(F.broadcast(bands), "lang_id", "left")  # 256 rows at most
+        scored.join(F.broadcast(bands) if few else bands, "lang_key", "left")
         .withColumn("base_failed", base)
-        .withColumn("perplexity", F.exp("log_ppl"))
+        .withColumn("perplexity", F.exp(F.least("log_ppl", F.lit(700.0))))
         .withColumn("kept", ~base & inside)
     )
 
 
-def quality(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, **bands) -> DataFrame:
+def quality(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, most_entries: int = MOST_ENTRIES, **bands) -> DataFrame:
     """Every document's ``row``, counts, perplexity and verdict."""
-    return judge(materialize(score(docs, text, lang, keep), "quality-scores"), **bands)
+    return judge(materialize(score(docs, text, lang, keep, most_entries), "quality-scores"), **bands)

@@ -55,4 +55,4 @@ def test_shards_hold_about_equal_bytes_and_split_a_hot_id(spark, tmp_path):
         order.append(-1 if r.doc_id is None else r.doc_id)
     assert order == sorted(order)
     held = spark.read.parquet(path).groupBy("shard").sum("n_ids").collect()
-    assert len(held) > 20 and max(r[1] for r in held) < 15_000
+    assert len(held) >= 20 and max(r[1] for r in held) < 15_000
