@@ -168,6 +168,11 @@ def _apart():
     return (F.max("multi") | F.coalesce(F.min(single) != F.max(single), F.lit(False))).alias("multi"), F.coalesce(F.min(single), F.lit(0)).alias("who")
 
 
+def _by_language(rows: DataFrame):
+    """How to join tables of one row a language: broadcast, so that a large language is not dealt to one task, if languages are few."""
+    return F.broadcast if rows.select("lang_key").distinct().count() <= 100_000 else lambda table: table
+
+
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """(lang_key, gram, p) for every n-gram in ``counts``: interpolated modified Kneser-Ney probabilities of its last character.
 
@@ -177,6 +182,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     for _ in range(ORDER - 1):
         upper = tables[0].select("lang_key", F.substring("gram", 2, ORDER).alias("gram"), "multi", "who")
         tables.insert(0, upper.groupBy("lang_key", "gram").agg(F.count("*").alias("n"), *_apart()))
+    small = _by_language(counts)
     below = None
     for order, table in enumerate(tables, 1):
         of = F.least("n", F.lit(4))
@@ -189,11 +195,11 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         discounts = seen.select("lang_key", F.array(*cuts).alias("cut"))
         kept = F.when(F.col("multi"), F.col("n") - F.get("cut", (F.least("n", F.lit(3)) - 1).cast("int"))).otherwise(F.lit(0.0))
         context = Window.partitionBy("lang_key", F.substring("gram", 1, order - 1))
-        rows = table.join(discounts, "lang_key").withColumn("own", kept)
+        rows = table.join(small(discounts), "lang_key").withColumn("own", kept)
         rows = rows.withColumn("total", F.sum("n").over(context)).withColumn("left", 1 - F.sum("own").over(context) / F.col("total"))
         if below is None:
             letters = table.groupBy("lang_key").agg((F.count("*") + 1).alias("letters"))  # and one for all others
-            rows = rows.join(letters, "lang_key").withColumn("lower", 1 / F.col("letters"))
+            rows = rows.join(small(letters), "lang_key").withColumn("lower", 1 / F.col("letters"))
         else:
             rows = rows.withColumn("suffix", F.substring("gram", 2, ORDER)).join(below.select("lang_key", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang_key", "suffix"])
         below = rows.select("lang_key", "gram", (F.col("own") / F.col("total") + F.col("left") * F.col("lower")).alias("p"))
@@ -371,9 +377,8 @@ def judge(scored: DataFrame, spread: float = 6.0, least_width: float = 0.2) -> D
     )
     bands = materialize(bands, "bands")
     inside = F.coalesce(F.col("log_ppl").between(F.col("band_low"), F.col("band_high")), F.lit(True))
-    few = bands.count() <= 100_000  # one row a language
     return (
-        scored.join(F.broadcast(bands) if few else bands, "lang_key", "left")
+        scored.join(_by_language(bands)(bands), "lang_key", "left")
         .withColumn("base_failed", base)
         .withColumn("perplexity", F.exp(F.least("log_ppl", F.lit(700.0))))
         .withColumn("kept", ~base & inside)

@@ -46,7 +46,7 @@ END_ID = 2
 ZERO_RUN, ESCAPE = 0, 15
 LEAST_RUN = 61
 #: Bytes of text encoded at a time, and of the texts whose ids a task sorts.
-SLICE, SHARD_BYTES = 4_000_000, 32_000_000
+SLICE, SHARD_BYTES = 2_000_000, 32_000_000
 
 
 _small: list[np.ndarray] = []
