@@ -2,12 +2,12 @@
 
 The index holds, for every word of the license templates, its postings (template, position) and its inverse document
 frequency over the templates. A template has postings for its own ``RAREST`` words of highest IDF, and a file is looked up by all
-of these words that it holds, at all their places, so no notice crowds out another one. Each place meets the word's
-postings in the templates of which a key phrase stands in the file; the difference of the two positions says where the
-template would begin in the file. Sorted by template and difference,
-matches whose differences lie within ``DRIFT`` words of each other belong to one alignment, and its weight is the sum of
-the IDF of its matched posting positions. A template is found if its best alignment carries ``SHARE`` of the weight that
-the template's own ``RAREST`` words carry, and if one of its mandatory key phrases stands in the file, word by word.
+of these words that it holds, at all their places, so no notice crowds out another one. Each place meets the word's postings; the
+difference of the two positions says where the template would begin in the file. Sorted by template and difference, matches whose
+differences lie within ``DRIFT`` words of each other belong to one alignment, and its weight is the sum of
+the IDF of its matched posting positions. A template whose best alignment carries ``SHARE`` of the weight of all its postings is a
+candidate, and is found if one of its mandatory key phrases stands in the file, word by word; phrases are looked for last, and only
+those of candidates.
 
 Base labels come from exact phrases, at all their places; the method adds labels of its own.
 
@@ -28,6 +28,8 @@ from .common import text_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAREST, DRIFT, SHARE = 24, 3, 0.6
+#: Postings of one template at most: a bit each in a long.
+MOST_POSTINGS = 62
 
 FUNCTION_WORDS = "a an and any are as at be by for from in is it may not of on or so that the this to was were will with you".split()
 
@@ -108,14 +110,14 @@ class PositionalIndex:
         self.idf = {w: round(math.log(1 + len(words) / len(h)), 6) for w, h in holders.items()}
         for w in FUNCTION_WORDS:  # stand everywhere in files: no way to find a license by them
             self.idf.pop(w, None)
-        self.postings: dict[str, list[tuple[int, int]]] = {}
+        self.postings: dict[str, list[tuple[int, int, int]]] = {}  # template, position, number of the posting in its template
         self.weight = []
         for t, ws in enumerate(words):
             own = sorted(set(ws) & set(self.idf), key=lambda w: (-self.idf[w], w))[:rarest]
-            for p, w in enumerate(ws):
-                if w in own:
-                    self.postings.setdefault(w, []).append((t, p))
-            self.weight.append(sum(self.idf[w] * ws.count(w) for w in own))
+            places = [(w, p) for p, w in enumerate(ws) if w in own][:MOST_POSTINGS]
+            for n, (w, p) in enumerate(places):
+                self.postings.setdefault(w, []).append((t, p, n))
+            self.weight.append(sum(self.idf[w] for w, _ in places))
         self.phrases = [templates[t][1] for t in self.labels]
 
 
@@ -129,135 +131,106 @@ def lowered(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _starts(words: Column, phrase: str) -> Column:
-    """Positions where the words of a phrase stand one after the other."""
+def _anchor(phrase: str, index: PositionalIndex) -> int:
+    """The number of the phrase's rarest word."""
+    return max(range(len(parts := phrase.split())), key=lambda j: (index.idf.get(parts[j], 0.0), -j))
+
+
+def _starts(words: Column, hits: Column, phrase: str, at: int) -> Column:
+    """Positions where the words of a phrase stand one after the other, from the places of its word number ``at``."""
     parts = phrase.split()
 
     def here(i):
-        out = F.get(words, i) == parts[0]
-        for j, w in enumerate(parts[1:], 1):
+        out = i >= 0
+        for j, w in enumerate(parts):
             out = out & (F.get(words, i + j) == w)
         return out
 
-    return F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
-
-
-def _any_held(joined: Column, phrases: list[str]) -> Column:
-    out = _holds(joined, phrases[0])
-    for p in phrases[1:]:
-        out = out | _holds(joined, p)
-    return out
-
+    return F.filter(F.transform(F.filter(hits, lambda h: h["w"] == parts[at]), lambda h: h["i"] - at), here)
 
-def _holds(joined: Column, phrase: str) -> Column:
-    """Whether a text's words, joined and edged by single spaces, hold a phrase."""
-    return joined.contains(f" {phrase} ")
 
-
-#: Words as in WORD, found in a text whose A-Z have not been lowered.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-
-def _may_hold(text: Column, phrases: list[str]) -> Column:
-    """Whether a text can hold a phrase: the two longest words of one occur in it, as plain substrings."""
-    needs = {tuple(sorted(sorted(set(p.split()), key=lambda w: (-len(w), w))[:2])) for p in phrases}
-    # a need that includes another one is no need of its own
-    needs = sorted(n for n in needs if not any(set(o) < set(n) for o in needs))
-    out = F.lit(False)
-    for words in needs:
-        one = F.lit(True)
-        for w in words:
-            one = one & text.contains(w)
-        out = out | one
-    return out
+def _behind_a_barrier(rows: DataFrame, *names: str, **columns: Column) -> DataFrame:
+    """Named columns and new ones, as rows of a generator: later filters and projections don't copy the expressions."""
+    return rows.select(*names, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, index: PositionalIndex | None = None) -> DataFrame:
     """``row`` (the columns in ``keep``; all if None), n_words, n_base, first_word, last_word, base_labels, labels, score."""
     index = index or default_index()
     keep = docs.columns if keep is None else keep
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_of(docs, text).alias("t"))
-    phrases = [p for ps in index.phrases for p in ps] + list(BASE.values())
-    # every label needs a phrase: only texts that can hold one are lowered and split into words
-    rows = rows.withColumns({"low": F.lower("t"), "n_words": F.regexp_count("t", F.lit(RAW_WORD)).cast("long")})
-    rows = rows.select("row", "n_words", "t", _may_hold(F.col("low"), phrases).alias("maybe"))
-    none = F.array().cast("array<string>")
-    words = F.regexp_extract_all(lowered(F.col("t")), F.lit(f"({WORD})"), F.lit(1))
-    rows = rows.select("row", "n_words", F.when(F.col("maybe"), words).otherwise(none).alias("w"))
-    rows = rows.withColumn("joined", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
-    held = F.lit(False)
-    for p in dict.fromkeys(phrases):
-        held = held | _holds(F.col("joined"), p)
-    rows = rows.withColumn("maybe", (F.size("w") > 0) & held)
-    # only texts that hold a phrase go on; the others' words are dropped here
-    rows = rows.withColumn("w", F.when(F.col("maybe"), F.col("w")).otherwise(none))
-
-    bases = [(label, _starts(F.col("w"), p)) for label, p in BASE.items()]
-    found = F.when(F.col("maybe"), F.array(*[F.struct(F.lit(label).alias("label"), s.alias("at")) for label, s in bases]))
-    rows = rows.withColumn("base", F.when(F.size("w") > 0, found))
-
-    entry = "struct<idf:double,posts:array<struct<t:int,p:int>>>"
-    literal = F.from_json(F.lit(_as_json(index)), f"map<string,{entry}>")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.regexp_extract_all(lowered(text_of(docs, text)), F.lit(f"({WORD})"), F.lit(1)).alias("w"))
+
+    # the places of rare words
+    anchors = {label: _anchor(p, index) for label, p in BASE.items()}
+    rare = sorted({*index.postings, *[BASE[label].split()[j] for label, j in anchors.items()]})
+    no_hits = F.array().cast("array<struct<w:string,i:int>>")
+    places = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(rare))
+    rows = rows.withColumn("hits", F.when(F.arrays_overlap("w", F.array(*map(F.lit, rare))), places).otherwise(no_hits))
+    rows = _behind_a_barrier(rows, "row", w=F.col("w"), hits=F.coalesce("hits", no_hits))
+
+    # base places, and the postings of all places in order of template and difference
+    literal = F.from_json(F.lit(_as_json(index)), "map<string,struct<idf:double,posts:array<struct<t:int,p:int,n:int>>>>")
     rows = rows.withColumn("index", literal)
-    places = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(list(index.postings)))
-    rows = rows.withColumn("hits", F.transform(places, lambda h: F.struct(h["w"].alias("w"), h["i"].alias("i"), F.try_element_at("index", h["w"]).alias("e"))))
-    # a template without a key phrase in the file cannot be found: its postings are left out
-    open_ = F.array(*[F.when(_any_held(F.col("joined"), ps), F.lit(t)) for t, ps in enumerate(index.phrases)])
-    rows = rows.withColumn("open", F.when(F.col("maybe"), F.array_compact(open_)))
+    found = F.transform("hits", lambda h: F.struct(h["i"].alias("i"), F.try_element_at("index", h["w"]).alias("e")))
+    none = F.array().cast("array<struct<t:int,o:int,n:int,idf:double>>")
     matches = F.flatten(
-        F.transform("hits", lambda h: F.transform(F.filter(h["e"]["posts"], lambda p: F.array_contains("open", p["t"])), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("o"), p["p"].alias("p"), h["e"]["idf"].alias("idf"))))
+        F.transform(found, lambda h: F.coalesce(F.transform(h["e"]["posts"], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("o"), p["n"].alias("n"), h["e"]["idf"].alias("idf"))), none))
     )
-    rows = rows.withColumn("m", F.array_sort(F.array_distinct(matches)))
-
-    # one fold over the sorted matches: alignments end where template or difference changes
-    rows = rows.withColumn("best", _alignments(F.col("m")))
-    verified = F.array(
-        *[
-            F.when(
-                (F.coalesce(F.try_element_at("best", F.lit(t)), F.lit(0.0)) >= SHARE * index.weight[t]) & _any_held(F.col("joined"), index.phrases[t]),
-                F.struct(F.lit(label.split(":")[0]).alias("label"), F.least(F.lit(1.0), F.try_element_at("best", F.lit(t)) / F.lit(index.weight[t])).alias("s")),
-            )
-            for t, label in enumerate(index.labels)
-        ]
+    rows = rows.withColumn("best", F.when(F.size("hits") > 0, _alignments(F.array_sort(matches))))
+    weights = F.array(*map(F.lit, index.weight))
+    strong = F.filter("best", lambda b: b["top"] >= SHARE * F.get(weights, b["t"]))
+    bases = [F.struct(F.lit(label).alias("label"), _starts(F.col("w"), F.col("hits"), p, anchors[label]).alias("at")) for label, p in BASE.items()]
+    rows = _behind_a_barrier(rows, "row", w=F.col("w"), strong=strong, base=F.when(F.size("hits") > 0, F.filter(F.array(*bases), lambda b: F.size(b["at"]) > 0)))
+
+    # key phrases of the candidates
+    joined = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    rows = rows.withColumn("joined", F.when(F.size("strong") > 0, joined))
+    phrases = F.array(*[F.array(*[F.lit(f" {p} ") for p in ps]) for ps in index.phrases])
+    verified = F.filter("strong", lambda b: F.exists(F.get(phrases, b["t"]), lambda p: F.col("joined").contains(p)))
+    labels = F.array(*[F.lit(label.split(":")[0]) for label in index.labels])
+    extra = F.transform(verified, lambda b: F.struct(F.get(labels, b["t"]).alias("label"), F.least(F.lit(1.0), b["top"] / F.get(weights, b["t"])).alias("s")))
+    rows = _behind_a_barrier(
+        rows, "row", n_words=F.size("w").cast("long"), places=F.flatten(F.transform("base", lambda b: b["at"])), names=F.transform("base", lambda b: b["label"]), extra=F.when(F.size("strong") > 0, extra)
     )
-    rows = rows.withColumn("extra", F.when(F.size("m") > 0, F.filter(verified, lambda v: v.isNotNull())))
-    places = F.flatten(F.transform("base", lambda b: b["at"]))
-    names = F.transform(F.filter("base", lambda b: F.size(b["at"]) > 0), lambda b: b["label"])
-    names, extra = F.coalesce(names, none), F.coalesce(F.transform("extra", lambda v: v["label"]), none)
+    no_names = F.array().cast("array<string>")
+    names, more = F.coalesce("names", no_names), F.coalesce(F.transform("extra", lambda v: v["label"]), no_names)
     best = F.coalesce(F.array_max(F.transform("extra", lambda v: v["s"])), F.lit(0.0))
-    return rows.select(
+    return _behind_a_barrier(
+        rows,
         "row",
-        "n_words",
-        F.when(places.isNotNull(), F.size(places)).otherwise(0).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"),
-        F.array_max(places).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(names)), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(names, extra))), ",").alias("labels"),
-        F.when(F.size(names) > 0, F.lit(1.0)).otherwise(best).alias("score"),
+        n_words=F.col("n_words"),
+        n_base=F.coalesce(F.size("places"), F.lit(0)).cast("long"),
+        first_word=F.array_min("places").cast("long"),
+        last_word=F.array_max("places").cast("long"),
+        base_labels=F.array_join(F.array_sort(F.array_distinct(names)), ","),
+        labels=F.array_join(F.array_sort(F.array_distinct(F.concat(names, more))), ","),
+        score=F.when(F.size(names) > 0, F.lit(1.0)).otherwise(best),
     )
 
 
 def _as_json(index: PositionalIndex) -> str:
     import json
 
-    return json.dumps({w: {"idf": index.idf[w], "posts": [{"t": t, "p": p} for t, p in ps]} for w, ps in index.postings.items()})
+    return json.dumps({w: {"idf": index.idf[w], "posts": [{"t": t, "p": p, "n": n} for t, p, n in ps]} for w, ps in index.postings.items()})
 
 
 def _alignments(matches: Column) -> Column:
-    """template -> weight of its best alignment, from matches sorted by template and difference."""
-    start = F.struct(
-        F.lit(-1).alias("t"), F.lit(0).alias("o"), F.array().cast("array<int>").alias("seen"), F.lit(0.0).alias("sum"), F.create_map().cast("map<int,double>").alias("best")
-    )
+    """(t, top): each template met, with the weight of its best alignment; from matches sorted by template and difference.
 
-    def better(best, t, value):
-        grown = F.greatest(F.coalesce(F.try_element_at(best, t), F.lit(0.0)), value)
-        return F.map_concat(F.map_filter(best, lambda k, _: k != t), F.create_map(t, grown))
+    One fold: an alignment ends where the template changes or the difference jumps, and only then is anything appended.
+    """
+    template = "struct<t:int,top:double>"
+    start = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("o"), F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("top"), F.array().cast(f"array<{template}>").alias("done"))
+    closed = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["t"].alias("t"), acc["top"].alias("top"))))
 
     def step(acc, m):
-        same = (acc["t"] == m["t"]) & (m["o"] - acc["o"] <= DRIFT)
-        again = same & F.array_contains(acc["seen"], m["p"])
-        total = F.when(same, acc["sum"]).otherwise(F.lit(0.0)) + F.when(again, F.lit(0.0)).otherwise(m["idf"])
-        seen = F.when(same, F.array_union(acc["seen"], F.array(m["p"]))).otherwise(F.array(m["p"]))
-        return F.struct(m["t"].alias("t"), m["o"].alias("o"), seen.alias("seen"), total.alias("sum"), better(acc["best"], m["t"], total).alias("best"))
-
-    return F.aggregate(matches, start, step, lambda acc: acc["best"])
+        new = acc["t"] != m["t"]
+        joins = ~new & (m["o"] - acc["o"] <= DRIFT)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), m["n"])
+        again = joins & (acc["seen"].bitwiseAND(bit) != 0)
+        total = F.when(again, acc["sum"]).when(joins, acc["sum"] + m["idf"]).otherwise(m["idf"])
+        seen = F.when(joins, acc["seen"].bitwiseOR(bit)).otherwise(bit)
+        top = F.when(new, total).otherwise(F.greatest(acc["top"], total))
+        return F.struct(m["t"].alias("t"), m["o"].alias("o"), seen.alias("seen"), total.alias("sum"), top.alias("top"), F.when(new & (acc["t"] >= 0), closed(acc)).otherwise(acc["done"]).alias("done"))
+
+    return F.aggregate(matches, start, step, lambda acc: F.when(acc["t"] < 0, acc["done"]).otherwise(closed(acc)))
