@@ -17,7 +17,9 @@ empty result; other columns pass through inside ``row``.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
 from dataclasses import dataclass
@@ -360,12 +362,10 @@ def added_spans(field: Field, raw: np.ndarray, bounds: np.ndarray, texts: list[s
         return out
     doc = np.searchsorted(words.bounds, at, side="right") - 1
     cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(labels[at]) != 0) | (np.diff(doc) != 0)) + 1
-    lead = (raw & 0xC0) != 0x80
+    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     for part in np.split(np.arange(len(at)), cut):
         first, last, d = at[part[0]], at[part[-1]], int(doc[part[0]])
-        begin = int(bounds[d])
-        a = int(lead[begin : words.starts[first]].sum())
-        b = a + int(lead[words.starts[first] : words.ends[last]].sum())
+        a, b = (int(chars[x] - chars[bounds[d]]) for x in (words.starts[first], words.ends[last]))
         text, kind = texts[d], int(labels[first]) - 1
         while a < b and not (text[a].isalnum() or text[a] in "(+"):
             a += 1
@@ -376,6 +376,16 @@ def added_spans(field: Field, raw: np.ndarray, bounds: np.ndarray, texts: list[s
     return out
 
 
+def free_of(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of ``more`` that overlap no span of ``base``, both (start, kind, end) in order of start."""
+    starts, reach, out = [s[0] for s in base], list(itertools.accumulate((s[2] for s in base), max)), []
+    for s in more:
+        before = bisect.bisect_left(starts, s[2])  # spans that begin before this one ends
+        if not before or reach[before - 1] <= s[0]:
+            out.append(s)
+    return out
+
+
 def _find_task(field):
     def task(batches):
         for batch in batches:
@@ -390,8 +400,7 @@ def _find_task(field):
                     for k in range(len(KINDS)):
                         counts[k].append(sum(s[1] == k for s in base))
                     shas.append(hashlib.sha256(spell(base).encode()).hexdigest())
-                    free = [s for s in more.get(i, ()) if all(s[2] <= o[0] or o[2] <= s[0] for o in base)]
-                    spans.append(spell(sorted(base + free)))
+                    spans.append(spell(sorted(base + free_of(base, more.get(i, [])))))
                 cols = {"row": batch.column("row").slice(a, b - a)} | {f"n_{k}": pa.array(c, pa.int64()) for k, c in zip(KINDS, counts)}
                 cols |= {"base_sha256": pa.array(shas, pa.string()), "spans": pa.array(spans, pa.string())}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
