@@ -6,8 +6,9 @@ each integer boundary that its stretch crosses. All documents of a source expect
 document's rank times that ratio; documents stand in order of size classes, so that words, not only documents, come near
 the target.
 
-The rank is built in two levels: a source is dealt into blocks by size class and by ``doc_id`` modulo ``SPREAD``; a
-block's rows are ranked inside it, and the numbers of rows of the blocks before it are added. No task holds a source.
+The rank is built in two levels: a source is dealt into blocks by size class, and a class of many rows by a hash of id and text into
+parts of about ``PART_ROWS`` rows; a block's rows are ranked inside it, and the numbers of rows of the blocks before it are added. No
+task holds a source or a class.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a source without words
 has target 0 and takes nothing; null ids rank first; equal rows are interchangeable, so that reruns agree; an
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialize, text_of, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
-SPREAD = 16
+PART_ROWS = 10_000
 WEIGHTS = (1, 2, 3)
 MOST = 3
 
@@ -74,16 +75,20 @@ def mix(
 ) -> DataFrame:
     """``row`` (the columns in ``keep``; all if None), size, source_size, target and ``copies`` of every document."""
     keep = docs.columns if keep is None else keep
+    t = text_of(docs, text)
     sized = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         F.col(f"`{id_col}`").cast("long").alias("id"),
         F.col(f"`{source}`").cast("string").alias("source"),
-        F.regexp_count(text_of(docs, text), F.lit(WORD)).cast("long").alias("size"),
+        F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"),
+        F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("")), F.lit(":"), t)), 1, 15), 16, 10).cast("long").alias("digest"),
     )
-    sized = sized.withColumns({"class": size_class(F.col("size")), "part": F.coalesce(F.pmod("id", F.lit(SPREAD)), F.lit(0))})
     # the source as keys that are never null: join and window below then deal the rows out once, alike
-    sized = sized.withColumns({"key": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()})
+    sized = sized.withColumns({"class": size_class(F.col("size")), "key": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()})
     sized = materialize(sized, "mix-sizes")
+    parts = materialize(sized.groupBy("key", "none", "class").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).alias("parts")), "mix-parts")
+    few = parts.count() <= 1_000_000  # a source has some hundreds of size classes
+    sized = sized.join(F.broadcast(parts) if few else parts, ["key", "none", "class"]).withColumn("part", F.pmod("digest", "parts"))
     place = ["key", "none", "class", "part"]
     blocks = sized.groupBy("source", *place).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,7 +97,7 @@ def mix(
     blocks = blocks.join(sources, blocks["source"].eqNullSafe(sources["source"])).select(
         *place, "before", "source_size", "target"
     )
-    inside = Window.partitionBy(*place).orderBy("size", F.col("id").asc_nulls_first())
+    inside = Window.partitionBy(*place).orderBy("size", F.col("id").asc_nulls_first(), "digest")
     ranked = sized.join(blocks, place).withColumn("nth", F.row_number().over(inside))
     ranked = ranked.select("row", "source", "size", "source_size", "target", (F.col("before") + F.col("nth")).alias("rank"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -111,11 +116,12 @@ def oracle_sql(seed: str = "mix") -> str:
     """The same mix as DuckDB SQL."""
     return rf"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS digest FROM documents
+), sorted AS (
+  SELECT *, (length(bin(size)) * 256 + floor(size / pow(2.0, greatest(length(bin(size)) - 8, 0))))::BIGINT AS class FROM sized
 ), classed AS (
-  SELECT *, (length(bin(size)) * 256 + floor(size / pow(2.0, greatest(length(bin(size)) - 8, 0))))::BIGINT AS class,
-         coalesce(((doc_id % {SPREAD}) + {SPREAD}) % {SPREAD}, 0) AS part
-  FROM sized
+  SELECT *, digest % ceil(count(*) OVER (PARTITION BY source, class) / {PART_ROWS})::BIGINT AS part FROM sorted
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM classed GROUP BY source
 ), numbered AS (
@@ -132,7 +138,7 @@ WITH sized AS (
   SELECT w.source, w.source_size, coalesce(least(f.share * w.weight, (3 * w.source_size)::DOUBLE), (3 * w.source_size)::DOUBLE) AS target
   FROM weighed w CROSS JOIN fit f
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, part, size, doc_id NULLS FIRST) AS rank FROM classed
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, part, size, doc_id NULLS FIRST, digest) AS rank FROM classed
 ), offsets AS (
   SELECT source AS s, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS ratio,
          (('0x' || substr(md5('{seed}:' || coalesce(source, chr(0) || 'null')), 1, 8))::BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS o
