@@ -2,8 +2,8 @@
 
 Categories are predicted one after the other; the model of a category also sees the probabilities of those before it.
 In training these are out-of-fold predictions, so that a later model meets them as imprecise as they will be. The
-categories are ``low_quality`` and ``toxic`` from the labels, then ``severe_toxic``: toxic rows that hold at least
-the median number of the words that speak most for toxicity.
+categories come from the two labels of a row alone, not from its words: ``toxic``; ``toxic_spam``, toxic and of low quality; and
+``toxic_prose``, toxic and of good quality.
 
 The models are trained on the driver from a sample of labelled rows of at most ``most_rows``, the lowest by a hash of the
 id, a documented bound. Words are chosen by a chi-square test, at most ``most_words``. Every document's whole text is
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 from .common import bounded_batches, text_of, trimmed
 
-CATEGORIES = ("low_quality", "toxic", "severe_toxic")
+CATEGORIES = ("toxic", "toxic_spam", "toxic_prose")
 MOST_ROWS, MOST_WORDS, FOLDS = 5_000, 400, 5
 LEAST_CHI2, LEAST_DOCS = 30.0, 5
 
@@ -126,10 +126,7 @@ def train_chain(hashes: list[np.ndarray], labels: dict[str, np.ndarray], most_wo
         i = np.minimum(np.searchsorted(words, word_of), len(words) - 1)
         hit = words[i] == word_of
         x[row_of[hit], i[hit]] = 1
-    # severe: at least the median number of the words that toxic rows hold far more often
-    strong = x[:, (x[toxic == 1].mean(0) > 5 * x[toxic == 0].mean(0) + 1e-9)].sum(1) if 0 < toxic.sum() < n and len(words) else np.zeros(n)
-    severe = (toxic == 1) & (strong >= (np.median(strong[toxic == 1]) if toxic.any() else 0)) & (strong > 0)
-    targets = [low, toxic, severe.astype(float)]
+    targets = [toxic, toxic * low, toxic * (1 - low)]
     chain = Chain(words)
     before = np.zeros((n, 0))
     fold = np.arange(n) % folds
