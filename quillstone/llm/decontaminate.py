@@ -12,7 +12,7 @@ Every candidate is verified: the share of the item's distinct shingles that occu
 A document's windows of all classes come from one table of block minima; windows of larger classes are minima of
 smaller ones. Items are taken in blocks of bounded size, each broadcast for one pass over the documents.
 
-Defined cases: null and empty texts match nothing; items of fewer than five words have no shingle and match nothing;
+Defined cases: null and empty texts match nothing; items of one to four words are one run of all their words, and match where it stands whole;
 equal items and equal documents are each reported; a null id is reported as null; empty tables give an empty result;
 other columns do not matter.
 """
@@ -34,15 +34,28 @@ BLOCK_WORDS = 2_000_000
 _MULTIPLIERS = (ta.mix64(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return ta.shingle_hashes(*ta.word_hashes(*ta.flat_bytes(column, lower=True)), WIDTH)
+def _runs_of(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs of fewer words than a shingle has, and their bounds."""
+    h, at = ta.shingle_hashes(words, bounds, width)
+    return ta.mix64(h ^ np.uint64(width)), at
 
 
 class ItemIndex:
-    """The items of one block: shingle sets, and per size class and coordinate the sorted minima."""
+    """The items of one block: shingle sets, and per size class and coordinate the sorted minima.
+
+    Items of fewer words than a shingle has are kept apart, by their number of words, as one run each.
+    """
 
     def __init__(self, ids: list, texts: pa.Array):
-        sets, at = ta.distinct(*_shingles(texts))
+        words, bounds = ta.word_hashes(*ta.flat_bytes(texts, lower=True))
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width in range(1, WIDTH):
+            items = np.flatnonzero(np.diff(bounds) == width)
+            if len(items):
+                h, at = _runs_of(words, bounds, width)
+                order = np.argsort(h[at[items]], kind="stable")
+                self.short[width] = h[at[items]][order], items[order]
+        sets, at = ta.distinct(*ta.shingle_hashes(words, bounds, WIDTH))
         self.ids, self.sets, self.at = ids, sets, at
         n = np.diff(at)
         size = np.maximum(SMALLEST, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(int))
@@ -101,9 +114,27 @@ def _candidates(index: ItemIndex, sh: np.ndarray, bounds: np.ndarray) -> np.ndar
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
+def _short_pairs(index: ItemIndex, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Distinct (document, item) pairs, as document * items + item, of short items that stand in a document whole."""
+    found = [np.zeros(0, np.int64)]
+    for width, (keys, items) in index.short.items():
+        h, at = _runs_of(words, bounds, width)
+        first, last = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
+        some = np.flatnonzero(first < last)
+        w, p = _expand(first[some], last[some])
+        found.append(np.unique(ta.owners(at)[some[w]] * len(index.ids) + items[p]))
+    return np.concatenate(found)
+
+
 def contained(index: ItemIndex, texts: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, item, shared distinct shingles) of the verified pairs of one batch."""
-    sh, bounds = _shingles(texts)
+    words, bounds = ta.word_hashes(*ta.flat_bytes(texts, lower=True))
+    short = _short_pairs(index, words, bounds)
+    doc, item, n = _long_pairs(index, *ta.shingle_hashes(words, bounds, WIDTH), threshold)
+    return np.append(short // max(1, len(index.ids)), doc), np.append(short % max(1, len(index.ids)), item), np.append(np.ones(len(short), np.int64), n)
+
+
+def _long_pairs(index: ItemIndex, sh: np.ndarray, bounds: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if not index.classes or not len(sh):
         return none, none, none
@@ -133,7 +164,7 @@ def _index(items: DataFrame) -> ItemIndex:
 def _search_task(index, threshold):
     def task(batches):
         idx = index.value
-        sizes = np.diff(idx.at)
+        sizes = np.maximum(np.diff(idx.at), 1)  # a short item is one run
         for batch in batches:
             text = batch.column("text")
             for a, b in ta.slices(text, 1_000_000):
@@ -201,6 +232,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 def oracle_sql(threshold: float = THRESHOLD) -> str:
     """The same matches as DuckDB SQL, by a join of all shingles."""
     words = r"regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10ffff}]+')"
+    whole = "' ' || array_to_string(w, ' ') || ' '"
     grams = f"unnest(list_transform(range(0, greatest(len(w) - {WIDTH - 1}, 0)), lambda i: array_to_string(w[i + 1 : i + {WIDTH}], ' ')))"
     return f"""
 WITH d AS (SELECT DISTINCT doc_id, {grams} AS g FROM (SELECT doc_id, {words} AS w FROM documents)),
@@ -208,4 +240,8 @@ b AS (SELECT DISTINCT item_id, {grams} AS g FROM (SELECT item_id, {words} AS w F
 n AS (SELECT item_id, count(*)::BIGINT AS n_item FROM b GROUP BY item_id)
 SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, n_item FROM d JOIN b USING (g) JOIN n USING (item_id)
 GROUP BY ALL HAVING count(*) >= {threshold} * n_item - 1e-9
+UNION ALL
+SELECT doc_id, item_id, 1::BIGINT, 1::BIGINT
+FROM (SELECT doc_id, {whole} AS t FROM (SELECT doc_id, {words} AS w FROM documents))
+JOIN (SELECT item_id, {whole} AS s FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) BETWEEN 1 AND {WIDTH - 1}) ON contains(t, s)
 """
