@@ -18,6 +18,8 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = getattr(shared_root, "_local", None)
         if root is None:
             root = shared_root._local = tempfile.mkdtemp(prefix="quillstone-")

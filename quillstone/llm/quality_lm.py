@@ -41,7 +41,7 @@ MOST_ENTRIES = 1 << 21
 #: Distinct n-grams that a counting task holds before it hands them on.
 MOST_HELD = 400_000
 #: Code points of texts that are grouped at once; their places fit into 22 bits.
-AT_ONCE = 2_000_000
+AT_ONCE = 700_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -83,7 +83,7 @@ class Grams:
         h = _hashes(self.points, self.starts, seeds[self.owner])
         if len(h) <= 1 << 22:  # a plain sort of shortened hashes with their places; n-grams that it mixes up fall into more groups
             short = np.sort(h >> np.uint64(22) << np.uint64(22) | np.arange(len(h), dtype=np.uint64))
-            self.order = (short & np.uint64((1 << 22) - 1)).astype(np.int64)
+            self.order = (short & np.uint64((1 << 22) - 1)).astype(np.int32)
         else:
             self.order = np.argsort(h)
         h = h[self.order]
