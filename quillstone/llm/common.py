@@ -85,8 +85,8 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def _release() -> None:
-    """Give memory that a task has freed back to the system; reused Python workers would keep it."""
+def release() -> None:
+    """Give freed memory back to the system; the driver and reused Python workers would keep it."""
     import ctypes
 
     import pyarrow as pa
@@ -105,6 +105,6 @@ def trimmed(task):
         try:
             yield from task(batches)
         finally:
-            _release()
+            release()
 
     return run

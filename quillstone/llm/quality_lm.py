@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import bounded_batches, materialize, text_of, trimmed
+from .common import bounded_batches, materialize, release, text_of, trimmed
 
 ORDER = 5
 #: N-grams that are broadcast at most: 12 bytes each.
@@ -176,12 +176,13 @@ def _by_language(rows: DataFrame):
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """(lang_key, gram, p) for every n-gram in ``counts``: interpolated modified Kneser-Ney probabilities of its last character.
 
-    ``counts`` is read several times: pass a written table.
+    ``counts`` is read several times: pass a written table. Each order is written, too.
     """
     tables = [counts.select("lang_key", "gram", "n", "multi", "who")]
     for _ in range(ORDER - 1):
         upper = tables[0].select("lang_key", F.substring("gram", 2, ORDER).alias("gram"), "multi", "who")
-        tables.insert(0, upper.groupBy("lang_key", "gram").agg(F.count("*").alias("n"), *_apart()))
+        lower = upper.groupBy("lang_key", "gram").agg(F.count("*").alias("n"), *_apart())
+        tables.insert(0, materialize(lower, "gram-counts-below"))
     small = _by_language(counts)
     below = None
     for order, table in enumerate(tables, 1):
@@ -203,6 +204,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         else:
             rows = rows.withColumn("suffix", F.substring("gram", 2, ORDER)).join(below.select("lang_key", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang_key", "suffix"])
         below = rows.select("lang_key", "gram", (F.col("own") / F.col("total") + F.col("left") * F.col("lower")).alias("p"))
+        below = materialize(below, "gram-model")  # an order at a time: small plans
     return below
 
 
@@ -343,7 +345,7 @@ def score(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[st
     spark = docs.sparkSession
     bounded_batches(spark)
     counts = materialize(gram_counts(docs, text, lang), "gram-counts")
-    model = materialize(kneser_ney(counts), "gram-model")
+    model = kneser_ney(counts)
     keep = docs.columns if keep is None else keep
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
@@ -358,7 +360,10 @@ def score(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[st
         return _score_in_parts(rows, model, text, schema)
     table = model.mapInArrow(_hash_task, "h long, logp float").toArrow()
     arrays = _sorted_arrays(*(table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("h", "logp")))
-    return rows.mapInArrow(_score_task(spark.sparkContext.broadcast(arrays), text), schema)
+    told = spark.sparkContext.broadcast(arrays)
+    del table, arrays
+    release()
+    return rows.mapInArrow(_score_task(told, text), schema)
 
 
 def judge(scored: DataFrame, spread: float = 6.0, least_width: float = 0.2) -> DataFrame:
