@@ -56,12 +56,34 @@ def format_key(c: Column) -> Column:
 
 
 def level_quantity(fmt: Column, level: Column) -> Column:
-    """The number of items of a format at a level of detail; the standard one for unknown levels."""
-    nth = F.coalesce(F.try_element_at(_map(LEVELS), F.lower(F.btrim(level))), F.lit(1))
+    """The number of items of a format at a level of detail; 20 for unknown formats or levels."""
+    nth = F.try_element_at(_map(LEVELS), F.lower(F.btrim(level)))
     out = F.lit(None).cast("int")
     for key, row in QUANTITIES.items():
         out = F.when(fmt == key, F.get(F.array(*map(F.lit, row)), nth)).otherwise(out)
-    return out
+    return F.coalesce(out, F.lit(20))
+
+
+def clamped_quantity(asked: Column, least: Column | int = 1, most: Column | int = 100) -> Column:
+    """A number of items of one's own within the range of its format."""
+    low, high = (x if isinstance(x, Column) else F.lit(x) for x in (least, most))
+    return F.greatest(low, F.least(high, asked))
+
+
+def accepted_quantity(asked: Column) -> Column:
+    """Whether a request may ask for so many items; none asked is accepted."""
+    return F.coalesce(asked <= 100, F.lit(True))
+
+
+def is_uuid(c: Column) -> Column:
+    """32 hexadecimal digits, with any dashes, in braces or behind ``urn:uuid:``."""
+    bare = F.btrim(F.replace(F.replace(F.lower(c), F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit("")), F.lit("{}"))
+    return F.coalesce(F.replace(bare, F.lit("-"), F.lit("")).rlike("^[0-9a-f]{32}$"), F.lit(False))
+
+
+def storage_backend(preferred: Column, oci: Column, supabase: Column) -> Column:
+    """The backend that is used, by what is available: a preference never forces a broken one."""
+    return F.when((preferred == "supabase") & supabase, "supabase").when(oci, "oci").when(supabase, "supabase").otherwise("local")
 
 
 def min_chars_per_item(fmt: Column) -> Column:
@@ -91,14 +113,24 @@ def embedding_batch_size(provider: Column, total: Column) -> Column:
     return F.when(provider == "gemini", 20).when(provider == "jina", 50).otherwise(total)
 
 
-def retry_wait(message: Column) -> Column:
-    """Seconds to wait that an error suggests, one more, between 5 and 90; 30 without a hint."""
-    hint = F.regexp_extract(F.lower(message), r"(?:retry|wait|try again)[^0-9]{0,30}(\d+(?:\.\d+)?)\s*s", 1)
-    return F.when(hint == "", F.lit(30.0)).otherwise(F.least(F.lit(90.0), F.greatest(F.lit(5.0), F.try_to_number(hint, F.lit("999999.999")).cast("double") + 1)))
+def is_rate_limit(message: Column, code: Column | None = None) -> Column:
+    """Quota errors: status 429 as a code or a word of the message, or an exhausted resource."""
+    told = message.contains("RESOURCE_EXHAUSTED") | message.rlike(r"\b429\b")
+    return told if code is None else F.coalesce(code == 429, F.lit(False)) | told
+
+
+def is_splittable(provider: Column, message: Column, code: Column) -> Column:
+    """Whether a smaller batch can mend an error: payload errors, never quota errors."""
+    payload = F.coalesce(code == 400, F.lit(False)) | message.contains("INVALID_ARGUMENT")
+    return ~is_rate_limit(message, code) & F.when(provider == "gemini", payload).otherwise(provider == "jina")
 
 
-def is_rate_limit(message: Column) -> Column:
-    return F.lower(message).rlike("429|rate.?limit|quota|resource.?exhausted|too many requests")
+def retry_wait(message: Column, code: Column | None = None) -> Column:
+    """Seconds to wait after an error: for quota errors the delay that the message suggests and one more, between 5 and 90, or 60
+    without a hint; 5 for other errors."""
+    hint = F.regexp_extract(message, r"(?i)retry(?:Delay|\s+in)\D{0,5}(\d+(?:\.\d+)?)\s*s", 1)
+    suggested = F.least(F.lit(90.0), F.greatest(F.lit(5.0), F.try_to_number(F.nullif(hint, F.lit("")), F.lit("999999.999")).cast("double") + 1))
+    return F.when(~is_rate_limit(message, code), F.lit(5.0)).when(hint == "", F.lit(60.0)).otherwise(suggested)
 
 
 def study_minutes(items: Column) -> Column:

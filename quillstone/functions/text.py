@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"}
 SPACES = "\u00a0\u202f\u2007\u2009"
 INVISIBLE = "\u00ad\u200b\u2060\ufeff"
+BROKEN_LIGATURES = {
+    r"con[gq]uración": "configuración", r"con[gq]uraciones": "configuraciones", r"con[gq]urar": "configurar", r"con[gq]urado": "configurado",
+    r"con[gq]urada": "configurada", r"de[gq]nición": "definición", r"de[gq]nir": "definir", r"de[gq]nido": "definido", r"signi[gq]cado": "significado",
+    r"signi[gq]ca": "significa", r"especi[gq]car": "especificar", r"especi[gq]cación": "especificación", r"[gq]gura": "figura",
+}
 PAGE_NUMBER_LINE = r"^(?:(?:p[áa]gina|p[áa]g\.?|page)\s*\d+(?:\s*(?:de|of|/)\s*\d+)?|\d+\s*(?:de|of|/)\s*\d+|[-–—]\s*\d+\s*[-–—])$"
 MARKDOWN_STRUCTURE = r"^(#{1,6}\s|\||[-*+]\s|>|```|\d+[.)]\s)"
 ENGLISH_STOPWORDS = (
@@ -32,9 +37,12 @@ def strip(c: Column) -> Column:
 
 
 def normalize_characters(c: Column) -> Column:
-    """Ligatures become letters, special spaces a space, invisible characters nothing."""
+    """Ligatures become letters, special spaces a space, invisible characters nothing; words that lost a ligature are repaired."""
     c = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), LIGATURES.items(), c)
-    return F.translate(c, SPACES + INVISIBLE, " " * len(SPACES))
+    c = F.translate(c, SPACES + INVISIBLE, " " * len(SPACES))
+    mended = reduce(lambda x, kv: F.regexp_replace(x, rf"(?iu)\b{kv[0]}\b", kv[1]), BROKEN_LIGATURES.items(), c)
+    broken = F.lower(c).rlike(r"(?u)\b(?:" + "|".join(BROKEN_LIGATURES) + r")\b")
+    return F.when(broken, mended).otherwise(c)
 
 
 def normalized_count(c: Column) -> Column:
@@ -179,20 +187,38 @@ def slug(c: Column, separator: str = "-", most: int | None = None) -> Column:
     return F.rtrim(F.substring(out, 1, most), F.lit(separator)) if most else out
 
 
+def label_slug(c: Column, most: int = 40) -> Column:
+    """Part of an object key: letters without accents, other characters beyond ASCII dropped, dashes between words."""
+    plain = F.regexp_replace(unaccent(F.coalesce(c, F.lit(""))), r"[^\x00-\x7F]", "")
+    out = F.lower(F.btrim(F.regexp_replace(plain, "[^a-zA-Z0-9]+", "-"), F.lit("-")))
+    return F.btrim(F.substring(out, 1, most), F.lit("-"))
+
+
 def safe_filename(c: Column) -> Column:
-    return F.regexp_replace(unaccent(c), r"[^A-Za-z0-9._-]+", "_")
+    """The last part of a path, with underscores for what is not a letter, digit, dot, dash or underscore."""
+    base = F.regexp_replace(F.regexp_replace(c, r"(?s)^.*[/\\]", ""), r"[^a-zA-Z0-9_.-]", "_")
+    clean = F.btrim(F.regexp_replace(base, r"\.{2,}", "."), F.lit("._"))
+    return F.when(clean == "", "documento_fuente").otherwise(clean)
+
+
+def safe_user(c: Column) -> Column:
+    clean = F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^a-zA-Z0-9_-]", "_"), F.lit("_"))
+    return F.when(clean == "", "anonimo").otherwise(clean)
 
 
 def document_key(user: Column, text: Column, name: Column) -> Column:
     """Object key of a source document, by the hash of its content."""
-    return F.concat_ws("/", F.lit("usuarios"), slug(user), F.lit("documentos"), F.sha2(text, 256), safe_filename(name))
+    return F.concat_ws("/", F.lit("usuarios"), safe_user(user), F.lit("documentos"), F.sha2(text, 256), safe_filename(name))
 
 
-def content_key(user: Column, title: Column, fmt: Column, profile: Column, day: Column, version: Column) -> Column:
-    """Object key of generated content: title, format, profile, day, and the version beyond the first."""
-    label = F.concat_ws("-", slug(title, most=60), slug(fmt), slug(profile), F.date_format(day, "yyyyMMdd"))
-    label = F.when(version > 1, F.concat(label, F.lit("-v"), version.cast("string"))).otherwise(label)
-    return F.concat(F.lit("usuarios/"), slug(user), F.lit("/contenidos/"), label, F.lit(".json"))
+def content_key(user: Column, content_id: Column, title: Column, fmt: Column, profile: Column, day: Column, version: Column) -> Column:
+    """Object key of generated content below its id: title, format, profile, day, and the version beyond the first; without any
+    of the three names the version alone."""
+    parts = F.filter(F.array(label_slug(title, 40), label_slug(fmt, 20), label_slug(profile, 20)), lambda x: x != "")
+    named = F.concat(F.array_join(parts, "-"), F.lit("-"), F.date_format(day, "yyyyMMdd"), F.when(version > 1, F.concat(F.lit("-v"), version.cast("string"))).otherwise(""))
+    plain = F.concat(F.lit("v"), version.cast("string"))
+    own = F.btrim(F.regexp_replace(content_id, r"[^a-zA-Z0-9_-]", "_"), F.lit("_"))
+    return F.concat(F.lit("usuarios/"), safe_user(user), F.lit("/contenidos/"), own, F.lit("/"), F.when(F.size(parts) == 0, plain).otherwise(named), F.lit(".json"))
 
 
 def document_title(name: Column, text: Column) -> Column:
@@ -212,12 +238,17 @@ def strip_step_prefix(c: Column) -> Column:
 
 
 def finish_sentence(c: Column) -> Column:
-    """First letter in upper case, a full stop at the end."""
+    """Without white space around it, a full stop at the end if it lacks a sign."""
     body = F.btrim(c)
-    body = F.concat(F.upper(F.substring(body, 1, 1)), F.substring(body, 2, 1 << 30))
     return F.when(body == "", body).when(body.rlike(r"[.!?…]$"), body).otherwise(F.concat(body, F.lit(".")))
 
 
+def key_sentence(c: Column) -> Column:
+    """A key point as a sentence: first letter in upper case, one full stop at the end."""
+    body = F.rtrim(F.btrim(c), F.lit("."))
+    return finish_sentence(F.concat(F.upper(F.substring(body, 1, 1)), F.substring(body, 2, 1 << 30)))
+
+
 def context_window(text: Column, budget: int, focus: Column | None = None) -> Column:
     """At most ``budget`` characters (200 at least), cut after a sentence or at a word, around ``focus`` if it occurs."""
     budget = max(budget, 200)

@@ -18,7 +18,8 @@ _BLANK = re.compile(r"\n\s*\n")
 def split_characters(text: str, size: int, overlap: int) -> list[str]:
     """Windows of at most ``size`` characters that end before white space and overlap by about ``overlap``.
 
-    A window that reaches the end is followed by one of the overlap alone, as long as that makes progress.
+    A window also begins behind white space. One that reaches the end is followed by one of the overlap alone, as long as that
+    makes progress.
     """
     gaps = [i for i, c in enumerate(text) if c in " \n"]
     out, start, n = [], 0, len(text)
@@ -30,16 +31,10 @@ def split_characters(text: str, size: int, overlap: int) -> list[str]:
                 end = gaps[before]
         if piece := text[start:end].strip():
             out.append(piece)
-        back = end - overlap
-        if back <= start:
-            start = end
-        else:
-            start = back
-            inside = bisect.bisect_left(gaps, back)
-            if inside < len(gaps) and gaps[inside] < end:
-                start = gaps[inside] + 1
-        if end == n and start >= n:
-            break
+        start = end - overlap if end - overlap > start else end
+        inside = bisect.bisect_left(gaps, start)
+        if start < n and inside < len(gaps):  # begin behind white space
+            start = gaps[inside] + 1
     return out
 
 
@@ -57,30 +52,45 @@ def paragraphs(text: str) -> list[str]:
     return [p for p in (x.strip() for x in _BLANK.split(text)) if p]
 
 
+def _joined(head: str, body: str) -> str:
+    return f"{head}\n\n{body}".strip() if head else body
+
+
+def _fitting_tail(last: str, body: str, size: int, overlap: int) -> str:
+    """The tail of the last chunk that leaves room for the body, cut by words from its front."""
+    tail = overlap_tail(last, min(overlap, max(0, size - len(body) - 2)))
+    while tail and len(_joined(tail, body)) > size:
+        tail = (tail.split(maxsplit=1)[1:] or [""])[0]
+    return tail
+
+
 def chunk_text(text: str, size: int, overlap: int) -> list[str]:
-    """Paragraphs packed into chunks of at most ``size`` characters, each begun with the tail of the one before."""
+    """Paragraphs packed into chunks of at most ``size`` characters, each begun with the tail of the one before.
+
+    A paragraph over ``size`` is cut by its own window, with the same size and overlap, and every window is a chunk.
+    """
     out: list[str] = []
     held = ""
-
-    def opened(body: str) -> str:
-        """The body after as many whole words of the last chunk's tail as fit."""
-        words = overlap_tail(out[-1], overlap).split() if out and overlap else []
-        room = size - len(body) - 2
-        while words and len(" ".join(words)) > room:
-            words.pop(0)
-        return f"{' '.join(words)}\n\n{body}" if words else body
-
     for p in paragraphs(text):
-        pieces = [p] if len(p) <= size else split_characters(p, max(1, size - overlap), 0)
-        for piece in pieces:
-            if held and len(held) + 2 + len(piece) <= size and len(p) <= size:
-                held = f"{held}\n\n{piece}"
-            else:
-                if held:
-                    out.append(held)
-                held = opened(piece)
+        if len(p) > size:
+            if held:
+                out.append(held.strip())
+                held = ""
+            windows = split_characters(p, size, overlap)
+            if windows and out and overlap > 0 and overlap_tail(out[-1], overlap):
+                windows[0] = _joined(_fitting_tail(out[-1], windows[0], size, overlap), windows[0])
+            out += windows
+            continue
+        head = held or (overlap_tail(out[-1], overlap) if out else "")
+        if len(_joined(head, p)) > size:
+            if held:
+                out.append(held.strip())
+            head = overlap_tail(out[-1], overlap) if out else ""
+            if len(_joined(head, p)) > size:
+                head = _fitting_tail(out[-1], p, size, overlap)
+        held = _joined(head, p)
     if held:
-        out.append(held)
+        out.append(held.strip())
     return out
 
 

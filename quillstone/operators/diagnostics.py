@@ -98,3 +98,47 @@ def sample_positions(df: DataFrame, group: str, order: str) -> DataFrame:
     w = Window.partitionBy(group)
     rows = df.withColumns({"position": F.row_number().over(w.orderBy(order)), "total": F.count("*").over(w)})
     return rows.filter(F.col("position").isin(1, 2) | (F.col("position") >= F.col("total") - 1))
+
+
+def models_used(calls: DataFrame, short: dict[str, str] | None = None, run: str = "run_id", provider: str = "provider", model: str = "model") -> DataFrame:
+    """(run, models, detail): ``name(n)`` for each provider with its number of distinct models, and all of them as ``name/model``."""
+    names = F.create_map(*[F.lit(x) for kv in (short or {"": ""}).items() for x in kv])
+    per = calls.filter(F.coalesce(F.col(model), F.lit("")) != "").groupBy(run, provider).agg(F.array_sort(F.collect_set(model)).alias("ms"))
+    label = F.coalesce(F.try_element_at(names, F.col(provider)), F.col(provider))
+    rows = per.withColumn("s", F.struct(provider, F.concat(label, F.lit("("), F.size("ms"), F.lit(")")).alias("m"), F.array_join(F.transform("ms", lambda x: F.concat(label, F.lit("/"), x)), ",").alias("d")))
+    out = rows.groupBy(run).agg(F.array_sort(F.collect_list("s")).alias("s"))  # one row a provider
+    return out.select(run, F.array_join("s.m", ", ").alias("models"), F.array_join("s.d", ",").alias("detail"))
+
+
+def item_text(items: DataFrame, item: str = "item", without: str = "fuentes") -> DataFrame:
+    """Items with ``item_text``: all their string fields and lists of strings, joined by spaces, but for the citations."""
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema[item].dataType.fields if f.name != without}
+    parts = [F.col(f"{item}.`{k}`") if v == "string" else F.array_join(f"{item}.`{k}`", " ") for k, v in kinds.items() if v in ("string", "array<string>")]
+    return items.withColumn("item_text", F.concat_ws(" ", *parts))
+
+
+#: Paths of the fields of a stored output that notices appear in; fixed values.
+NOTICE_FIELDS = {
+    "aviso_cantidad": "$.metadatos.aviso_cantidad",
+    "observaciones": "$.evaluacion_calidad.observaciones",
+    "intro": "$.contenido_adaptado.introduccion_contextualizada",
+}
+
+
+def number_signals(stored: DataFrame, key: str, number: str, json: str = "response_json") -> DataFrame:
+    """(key, field, value) of the fields of stored outputs that hold a number by itself."""
+    fields = F.array(*[F.struct(F.lit(k).alias("field"), F.get_json_object(json, p).alias("value")) for k, p in NOTICE_FIELDS.items()])
+    return stored.select(key, F.inline(fields)).filter(F.col("value").rlike(rf"\b{number}\b"))
+
+
+def projects(rows: DataFrame) -> DataFrame:
+    """Stored rows as projects: metadata first, then the row, then defaults; a score only where there is one."""
+    clarity = F.when(F.col("claridad") == "High", "Alta").when(F.col("claridad") == "Medium", "Media").when(F.col("claridad") == "Low", "Baja").otherwise(F.col("claridad"))
+    return rows.withColumns(
+        {
+            "profile": F.coalesce("perfil_aplicado", "recipient_profile", F.lit("General")),
+            "format": F.coalesce("formato_generado", "output_format", F.lit("Tutorial")),
+            "minutes": F.coalesce("tiempo", F.greatest(F.lit(1), 3 * F.col("n_items"))).cast("long"),
+            "clarity": F.coalesce(clarity, F.lit("Alta")),
+        }
+    )

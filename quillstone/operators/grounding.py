@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 # --- fixed values -----------------------------------------------------------------------------------------------
-NEGATIONS = ["no", "nunca", "jamás", "sin", "excepto", "neither", "nor", "not", "never", "without", "except"]
+NEGATIONS = ["no", "nunca", "jamás", "jamas", "sin", "excepto", "neither", "nor", "not", "never", "without", "except"]
 MIN_RESOLVE, MIN_EXTRACT, MIN_CLAIM = 0.25, 0.45, 0.25
 # ----------------------------------------------------------------------------------------------------------------
 
@@ -48,41 +48,50 @@ def verdict(extract: Column, claim: Column, grounding: Column, passage: Column,
     return (p != "") & (verbatim | (gates & (by_extract | by_claim)))
 
 
-def aliases(passages: DataFrame, chunk: str = "chunk_id", text: str = "content", run: str = "run_id") -> DataFrame:
-    """(run, alias, content): a passage by its id (later ones win) and by its id without child or number suffix
-    (earlier ones win); full ids go before shortened ones."""
-    nth = F.row_number().over(Window.partitionBy(run).orderBy(chunk))
-    rows = passages.select(run, F.col(chunk).alias("alias"), F.col(text).alias("content"), nth.alias("n"))
-    short = rows.select(run, F.explode(F.array(F.regexp_replace("alias", r"_child_\d+$", ""), F.regexp_replace("alias", r"[-_]\d+$", ""))).alias("alias"), "content", "n")
-    both = rows.select(run, "alias", "content", F.lit(0).alias("kind"), (-F.col("n")).alias("o")).union(short.select(run, "alias", "content", F.lit(1), F.col("n")))
-    return both.groupBy(run, "alias").agg(F.min_by("content", F.struct("kind", "o")).alias("content"))
+def aliases(passages: DataFrame, chunk: str = "chunk_id", text: str = "content", run: str = "run_id", order: str = "chunk_id") -> DataFrame:
+    """(run, alias, content): a passage by its id and by what stands before ``_child_`` in it, later passages winning; and by its id
+    without a number at the end, if nothing else has that name, earlier ones winning. ``order``: the order of passages."""
+    rows = passages.select(run, F.col(chunk).alias("alias"), F.col(text).alias("content"), F.col(order).alias("n"))
+    parent = F.when(F.col("alias").contains("_child_"), F.regexp_replace("alias", r"(?s)^(.*)_child_.*$", "$1"))
+    short = F.nullif(F.regexp_replace("alias", r"[-_]\d+$", ""), F.col("alias"))
+    named = rows.select(run, F.explode(F.array_compact(F.array("alias", parent))).alias("alias"), "content", "n")
+    late = named.groupBy(run, "alias").agg(F.max_by("content", "n").alias("late"))
+    early = rows.select(run, short.alias("alias"), "content", "n").filter("alias <> ''").groupBy(run, "alias").agg(F.min_by("content", "n").alias("early"))
+    return late.join(early, [run, "alias"], "full").select(run, "alias", F.coalesce("late", "early").alias("content"))
 
 
-def best_overlap(items: DataFrame, passages: DataFrame, run: str = "run_id", key: str = "gid", text: str = "grounding_text") -> DataFrame:
-    """(run, key, content): for each item its run's passage that holds most of its words, if a quarter; ties: the first.
+def best_overlap(items: DataFrame, passages: DataFrame, run: str = "run_id", key: str = "gid", text: str = "grounding_text", order: str = "chunk_id") -> DataFrame:
+    """(run, key, content): for each item its run's passage that holds most of its words, if a quarter; ties: the first in ``order``.
 
-    Joined by run on the words themselves (an equi-join on word and run), so only passages that share a word meet.
+    Of an item's n words a passage must hold a quarter, so it holds one of the n - n / 4 + 1 that are rarest in the run: only those
+    are joined, by run and word, and what the run's passages have in common meets nothing.
     """
-    item_words = items.select(run, key, words(F.col(text)).alias("ws")).withColumn("n", F.size("ws"))
-    left = item_words.select(run, key, "n", F.explode("ws").alias("w"))
-    right = passages.select(run, "chunk_id", F.explode(words(F.col("content"))).alias("w"))
-    scores = left.join(right, [run, "w"]).groupBy(run, key, "n", "chunk_id").agg(F.count("*").alias("hits"))
-    best = scores.filter(F.col("hits") / F.col("n") >= MIN_RESOLVE).groupBy(run, key).agg(F.min_by("chunk_id", F.struct(-F.col("hits"), "chunk_id")).alias("chunk_id"))
-    return best.join(passages.select(run, "chunk_id", "content"), [run, "chunk_id"]).select(run, key, "content")
-
-
-def verify(items: DataFrame, sources: DataFrame, passages: DataFrame, run: str = "run_id", key: str = "gid", language: str | None = "Spanish", strict: bool = False) -> DataFrame:
+    item_words = items.select(run, key, words(F.col(text)).alias("ws")).filter(F.size("ws") > 0)
+    passage_words = passages.select(run, F.col(order).alias("n"), F.explode(words(F.col("content"))).alias("w"))
+    rarity = passage_words.groupBy(run, "w").agg(F.count("*").alias("df"))
+    each = item_words.select(run, key, F.size("ws").alias("of"), F.explode("ws").alias("w")).join(rarity, [run, "w"], "left")
+    place = F.row_number().over(Window.partitionBy(run, key).orderBy(F.coalesce("df", F.lit(0)), "w"))
+    rare = each.withColumn("place", place).filter(F.col("place") <= F.col("of") - F.ceil(F.col("of") * MIN_RESOLVE - 1e-9) + 1)
+    met = rare.select(run, key, "w").join(passage_words, [run, "w"]).select(run, key, "n").distinct()
+    full = met.join(item_words, [run, key]).join(passages.select(run, F.col(order).alias("n"), "content"), [run, "n"])
+    hits = F.size(F.array_intersect("ws", words(F.col("content"))))
+    scored = full.select(run, key, "n", "content", hits.alias("hits"), F.size("ws").alias("of")).filter(F.col("hits") / F.col("of") >= MIN_RESOLVE)
+    return scored.groupBy(run, key).agg(F.min_by("content", F.struct(-F.col("hits"), "n")).alias("content"))
+
+
+def verify(items: DataFrame, sources: DataFrame, passages: DataFrame, run: str = "run_id", key: str = "gid", language: str | None = "Spanish", strict: bool = False, order: str = "chunk_id") -> DataFrame:
     """(run, key, chunk_id, verified) for every source of every item.
 
-    items: run, key, claim_text, grounding_text, full_text. sources: run, key, chunk_id, extracto. passages: run, chunk_id,
-    content. A source that names no passage is tried with the passage that shares most words.
+    items: run, key, claim_text, grounding_text. sources: run, key, chunk_id, extracto. passages: run, chunk_id,
+    content and ``order``. A source that names no passage is tried with the passage that shares most words.
     """
-    known = aliases(passages, run=run).withColumnsRenamed({"alias": "chunk_id", "content": "named"})
-    fallback = best_overlap(items, passages, run, key).withColumnRenamed("content", "nearest")
-    rows = sources.join(items.select(run, key, "claim_text", "grounding_text", "full_text"), [run, key])
-    rows = rows.join(known, [run, "chunk_id"], "left").join(fallback, [run, key], "left")
+    known = aliases(passages, run=run, order=order).withColumnsRenamed({"alias": "chunk_id", "content": "named"})
+    rows = sources.join(items.select(run, key, "claim_text", "grounding_text"), [run, key]).join(known, [run, "chunk_id"], "left")
+    lost = rows.filter(F.coalesce("named", F.lit("")) == "").select(run, key, "grounding_text").distinct()
+    fallback = best_overlap(lost, passages, run, key, order=order).withColumnRenamed("content", "nearest")
+    rows = rows.join(fallback, [run, key], "left")
     ok = verdict(F.col("extracto"), F.col("claim_text"), F.col("grounding_text"), F.coalesce(F.nullif("named", F.lit("")), "nearest"), strict)
-    ok = F.coalesce(ok, F.lit(False)) & T.is_language_pure(F.col("full_text"), language)
+    ok = F.coalesce(ok, F.lit(False)) & T.is_language_pure(F.col("grounding_text"), language)
     return rows.select(run, key, "chunk_id", ok.alias("verified"))
 
 

@@ -81,7 +81,7 @@ def fallback_items(topics: DataFrame, fmt: str, topic: str = "topic", context: s
 def shuffled_options(items: DataFrame, options: str = "opciones", answer: str = "respuesta_correcta", key: str = "gid") -> DataFrame:
     """Options in an order drawn from the item's key; items whose options lack the answer, or that have under two, stay."""
     o = F.col(options)
-    mixed = F.transform(F.array_sort(F.transform(o, lambda x: F.struct(F.xxhash64(F.col(key), x).alias("h"), x.alias("x")))), lambda s: s["x"])
+    mixed = F.transform(F.array_sort(F.transform(o, lambda x: F.struct(F.md5(F.concat(F.col(key), F.lit(":"), x)).alias("h"), x.alias("x")))), lambda s: s["x"])
     return items.withColumn(options, F.when((F.size(o) >= 2) & F.array_contains(o, F.col(answer)), mixed).otherwise(o))
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
-_NUMBERED = re.compile(r"^(\d+(?:\.\d+)*)\.?\s+\S")
-_LABEL = re.compile(r"^(?:cap[ií]tulo|secci[oó]n|chapter|section)\b", re.IGNORECASE)
+# fixed values
+_NUMBERED = re.compile(r"^(\d+(?:\.\d+)*)[.)]?\s+\S")
+_LABEL = re.compile(r"^(?:cap[ií]tulo|secci[oó]n|chapter|section)\s+\w+", re.IGNORECASE)
 
 SECTION = "section_index int, title string, level int, content string, page_number int"
 
@@ -50,7 +51,11 @@ def _text_level(line: str) -> int:
 
 
 def text_sections(text: str) -> Iterator[tuple]:
-    """Sections by short lines that are numbered, labelled or in capitals; those without content go; one at least."""
+    """Sections by short lines that are numbered, labelled or in capitals; those without content go; one at least.
+
+    A title is the path of the headings above, as in Markdown.
+    """
+    path: dict[int, str] = {}
     title, level, body, out = None, 0, [], []
     for line in [*text.split("\n"), None]:
         found = _text_level(line) if line is not None else 0
@@ -59,10 +64,11 @@ def text_sections(text: str) -> Iterator[tuple]:
             if content:
                 out.append((title, level, content))
             if line is not None:
-                title, level, body = line.strip(), found, []
+                path = {k: v for k, v in path.items() if k < found} | {found: line.strip()}
+                title, level, body = " > ".join(path[k] for k in sorted(path)), found, []
         else:
             body.append(line)
-    if not out and text.strip():
+    if not out:
         out.append((None, 0, text.strip()))
     for n, (title, level, content) in enumerate(out):
         yield n, title, level, content, None
@@ -97,13 +103,19 @@ PAGE_MARK = r"\[PÁGINA (\d+)\]"
 
 
 def parse_pages(df: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
-    """Sections by ``[PÁGINA n]`` marks; empty pages go. Built-in functions only."""
+    """Sections by ``[PÁGINA n]`` marks, without title and of level 0; empty pages go. A text without marks is one section.
+
+    Built-in functions only.
+    """
     numbers = F.regexp_extract_all(F.col(text), F.lit(PAGE_MARK), F.lit(1))
     bodies = F.slice(F.split(text, PAGE_MARK, -1), 2, 1 << 30)
     pages = df.select(key, F.posexplode(F.arrays_zip(numbers.alias("n"), bodies.alias("body"))).alias("at", "p"))
     pages = pages.select(key, "at", F.col("p.n").cast("int").alias("page_number"), F.btrim("p.body", F.lit(" \t\r\n")).alias("content")).filter("content <> ''")
     index = F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1
-    return pages.select(key, index.cast("int").alias("section_index"), F.concat(F.lit("Página "), "page_number").alias("title"), F.lit(1).alias("level"), "content", "page_number")
+    none = F.lit(None)
+    pages = pages.select(key, index.cast("int").alias("section_index"), none.cast("string").alias("title"), F.lit(0).alias("level"), "content", "page_number")
+    whole = df.filter(F.size(F.regexp_extract_all(F.col(text), F.lit(PAGE_MARK), F.lit(1))) == 0)
+    return pages.union(whole.select(key, F.lit(0), none.cast("string"), F.lit(0), F.btrim(text, F.lit(" \t\r\n")), none.cast("int")))
 
 
 def is_markdown(name: Column, text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import finish_sentence
+from ..functions.text import finish_sentence, key_sentence
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 REFERENCE_HEADERS = {"es": "Referencias", "en": "References", "pt": "Referências"}
@@ -47,7 +47,7 @@ def composed(points: DataFrame, sources: DataFrame, language: str = "es", run: s
 
 def paragraph(points: DataFrame) -> Column:
     """A point as one block: its key sentence, then its effect."""
-    parts = [finish_sentence(F.col("punto_clave"))]
+    parts = [F.nullif(key_sentence(F.coalesce("punto_clave", F.lit(""))), F.lit(""))]
     if "impacto_negocio" in points.columns:
         parts.append(F.nullif(finish_sentence(F.coalesce("impacto_negocio", F.lit(""))), F.lit("")))
     return F.concat_ws(" ", *parts)

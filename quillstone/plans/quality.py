@@ -14,7 +14,7 @@ from ..operators import summary as S
 from .registry import Tables, query
 
 _WORDS = r"list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]{{4,}}'))"
-_NEG = r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'), lambda x: x IN ('no','nunca','jamás','sin','excepto','neither','nor','not','never','without','except')))"
+_NEG = r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'), lambda x: x IN ('no','nunca','jamás','jamas','sin','excepto','neither','nor','not','never','without','except')))"
 
 
 def _cards(t: Tables):
@@ -81,18 +81,34 @@ def ground_numeric(t: Tables):
 def _grounding_tables(t: Tables):
     """Runs are sources: items are the openings of documents, passages the documents; every third cites another one."""
     d = t.documents.select(F.col("source").alias("run_id"), "doc_id", "text")
-    items = d.select("run_id", F.concat(F.lit("ground_"), "doc_id").alias("gid"), F.substring("text", 1, 120).alias("claim_text"), F.substring("text", 1, 200).alias("grounding_text"), F.substring("text", 1, 200).alias("full_text"))
+    items = d.select("run_id", F.concat(F.lit("ground_"), "doc_id").alias("gid"), F.substring("text", 1, 120).alias("claim_text"), F.substring("text", 1, 200).alias("grounding_text"))
     cited = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("nowhere "), "doc_id")).otherwise(F.concat(F.lit("chunk "), "doc_id"))
     sources = d.select("run_id", F.concat(F.lit("ground_"), "doc_id").alias("gid"), cited.alias("chunk_id"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.substring("text", 20, 60)).alias("extracto"))
-    passages = d.select("run_id", F.concat(F.lit("chunk "), "doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    passages = d.select("run_id", F.concat(F.lit("chunk "), "doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("doc_id").alias("nth"))
     return items, sources, passages
 
 
-@query()
+_P, _E, _C = "lower(trim(passage))", "lower(trim(extracto))", "claim"
+_MARKS = r"list_distinct(list_transform(regexp_extract_all(coalesce({}, ''), '\b\d+([.,]\d+)?\b', 1), lambda x: coalesce(x, '')))"
+
+
+@query(rf"""
+WITH i AS (SELECT source AS run_id, doc_id, substr(text, 1, 120) AS claim, substr(text, 1, 200) AS g, CASE WHEN doc_id % 5 = 0 THEN '' ELSE substr(text, 20, 60) END AS extracto, text FROM documents),
+w AS (SELECT *, {_WORDS.format('g')} AS gw FROM i),
+n AS (SELECT w.run_id, w.doc_id, p.doc_id AS pid, len(list_intersect(w.gw, {_WORDS.format('p.text')})) AS hits, len(w.gw) AS total
+      FROM w JOIN documents p ON p.source = w.run_id WHERE w.doc_id % 3 = 0 AND len(w.gw) > 0),
+b AS (SELECT run_id, doc_id, pid FROM n WHERE hits / total::DOUBLE >= 0.25 QUALIFY row_number() OVER (PARTITION BY run_id, doc_id ORDER BY hits DESC, pid) = 1),
+r AS (SELECT w.*, CASE WHEN w.doc_id % 3 = 0 THEN d.text ELSE w.text END AS passage FROM w LEFT JOIN b USING (run_id, doc_id) LEFT JOIN documents d ON d.doc_id = b.pid)
+SELECT run_id, 'ground_' || doc_id AS gid, coalesce({_P} <> '' AND (
+  {_E} <> '' AND (contains({_P}, {_E}) OR contains({_E}, {_P}))
+  OR len(list_filter({_NEG.format(_C)}, lambda x: NOT list_contains({_NEG.format(_P)}, x))) = 0 AND len(list_filter({_MARKS.format(_C)}, lambda x: NOT list_contains({_MARKS.format(_P)}, x))) = 0
+     AND (len({_WORDS.format(_E)}) > 0 AND len(list_intersect({_WORDS.format(_E)}, {_WORDS.format(_P)})) / len({_WORDS.format(_E)})::DOUBLE >= 0.45
+          OR {_E} = '' AND len(gw) > 0 AND len(list_intersect(gw, {_WORDS.format(_P)})) / len(gw)::DOUBLE >= 0.25)), false) AS grounded FROM r
+""")
 def grounding_verifier(t: Tables):
     """Sources resolved to passages and judged; items with any verified source."""
     items, sources, passages = _grounding_tables(t)
-    return G.grounded(items, G.verify(items, sources, passages, language=None)).select("run_id", "gid", "grounded")
+    return G.grounded(items, G.verify(items, sources, passages, language="English", order="nth")).select("run_id", "gid", "grounded")
 
 
 @query("""
@@ -149,7 +165,11 @@ def refiner_completion(t: Tables):
     return G.completion(items, topics, targets).select("run_id", F.col("item_idx").cast("long"), "topic_no")
 
 
-@query()
+@query("""
+WITH w AS (SELECT doc_id, w, min(i) AS i FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents) GROUP BY ALL),
+o AS (SELECT doc_id, w, i, count(*) OVER (PARTITION BY doc_id) AS n FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 4)
+SELECT 'ground_' || doc_id AS gid, string_agg(w, '|' ORDER BY CASE WHEN n >= 2 THEN md5('ground_' || doc_id || ':' || w) END, i) AS opciones FROM o GROUP BY doc_id
+""")
 def quiz_shuffle(t: Tables):
     """Options in an order drawn from the item."""
     rows = t.documents.select(F.concat(F.lit("ground_"), "doc_id").alias("gid"), F.slice(F.array_distinct(F.split("text", " ")), 1, 4).alias("opciones"), F.get(F.split("text", " "), F.lit(0)).alias("respuesta_correcta"))
@@ -207,7 +227,15 @@ def summary_references(t: Tables):
     return S.reference_lines(S.numbered_references(_points(t)[1])).select("run_id", "ref_no", "line")
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT source AS run_id, doc_id AS item_idx, 'Sección ' || lang AS section, CASE WHEN doc_id % 2 = 0 THEN '3' END AS pages, rtrim(trim(regexp_extract(text, '^([^\n.]{1,60})', 1)), '.') AS p FROM documents),
+k AS (SELECT *, lower(trim(section)) || '|' || coalesce(pages, '') AS ref_key FROM d),
+r AS (SELECT run_id, ref_key, row_number() OVER (PARTITION BY run_id ORDER BY min(item_idx)) AS ref_no, min_by(section, item_idx) AS section, min_by(pages, item_idx) AS pages FROM k GROUP BY run_id, ref_key),
+b AS (SELECT run_id, item_idx, ref_no, CASE WHEN p = '' THEN NULL ELSE (CASE WHEN p[1] = 'ß' THEN 'SS' ELSE upper(p[1]) END) || substr(p, 2) || CASE WHEN regexp_matches(p, '[.!?…]$') THEN '' ELSE '.' END END AS p FROM k JOIN r USING (run_id, ref_key)),
+body AS (SELECT run_id, string_agg(coalesce(p || ' ', ' ') || '[' || ref_no || ']', chr(10) || chr(10) ORDER BY item_idx) AS t FROM b GROUP BY run_id),
+lines AS (SELECT run_id, string_agg('[' || ref_no || '] ' || section || CASE WHEN coalesce(pages, '') <> '' THEN ', pág. ' || pages ELSE '' END, chr(10) ORDER BY ref_no) AS l FROM r GROUP BY run_id)
+SELECT run_id, length(t || chr(10) || chr(10) || 'Referencias' || chr(10) || l)::INTEGER AS chars, md5(t || chr(10) || chr(10) || 'Referencias' || chr(10) || l) AS md5 FROM body JOIN lines USING (run_id)
+""")
 def summary_composed(t: Tables):
     """Summaries with markers and references."""
     points, sources = _points(t)

@@ -109,7 +109,7 @@ def token_estimate(t: Tables):
 
 @query(f"""
 SELECT doc_id, {_SLUG.format("substr(text, 1, 80)")} AS slug, sha256(text) AS sha256,
-  'usuarios/' || {_SLUG.format("source")} || '/documentos/' || sha256(text) || '/' || regexp_replace(translate(lang || ' file.txt', '{_ACC[0]}', '{_ACC[1]}'), '[^A-Za-z0-9._-]+', '_', 'g') AS document_key
+  'usuarios/' || coalesce(nullif(trim(regexp_replace(coalesce(source, ''), '[^a-zA-Z0-9_-]', '_', 'g'), '_'), ''), 'anonimo') || '/documentos/' || sha256(text) || '/' || regexp_replace(lang || ' file.txt', '[^a-zA-Z0-9_.-]', '_', 'g') AS document_key
 FROM documents
 """)
 def slug_keys(t: Tables):
@@ -143,7 +143,24 @@ def batches(t: Tables):
     return cleaning.batches(t.conversations, "conv_id", ["turn", "role", "text"], 3).select("conv_id", "turn", "batch_no")
 
 
-@query()
+@query(r"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents),
+l AS (SELECT doc_id, unnest(w) AS line, generate_subscripts(w, 1) AS i FROM t),
+s AS (SELECT *, regexp_replace(regexp_replace(line, '^[\s\x{00a0}\x{1c}-\x{1f}]+', ''), '[\s\x{00a0}\x{1c}-\x{1f}]+$', '') AS x FROM l),
+h AS (SELECT *, CASE WHEN x = '' OR length(x) >= 80 THEN 0
+    WHEN regexp_matches(x, '^(\d+(?:\.\d+)*)[.)]?\s+\S') THEN len(string_split(regexp_extract(x, '^(\d+(?:\.\d+)*)', 1), '.'))
+    WHEN regexp_matches(x, '(?i)^(?:cap[ií]tulo|secci[oó]n|chapter|section)\s+[\p{L}\p{N}_]+') THEN 1
+    WHEN length(x) > 3 AND x = upper(x) AND x <> lower(x) AND NOT contains(x, 'ß') THEN 1 ELSE 0 END AS level FROM s),
+n AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM h),
+heads AS (SELECT doc_id, part, x AS title, level FROM n WHERE level > 0),
+above AS (SELECT b.doc_id, b.part, string_agg(a.title, ' > ' ORDER BY a.level) AS title FROM heads b JOIN heads a ON a.doc_id = b.doc_id AND (a.part = b.part OR a.part < b.part AND a.level < b.level
+    AND NOT EXISTS (SELECT 1 FROM heads m WHERE m.doc_id = a.doc_id AND m.part > a.part AND m.part < b.part AND m.level <= a.level)) GROUP BY ALL),
+body AS (SELECT doc_id, part, max(level) AS level, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), '') AS raw FROM n GROUP BY ALL),
+c AS (SELECT *, regexp_replace(regexp_replace(raw, '^[\s\x{00a0}\x{1c}-\x{1f}]+', ''), '[\s\x{00a0}\x{1c}-\x{1f}]+$', '') AS content FROM body),
+kept AS (SELECT c.doc_id, c.part, above.title, c.level, c.content FROM c LEFT JOIN above ON above.doc_id = c.doc_id AND above.part = c.part WHERE content <> ''
+    UNION ALL SELECT doc_id, 0, NULL, 0, '' FROM c GROUP BY doc_id HAVING bool_and(content = ''))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INTEGER AS section_index, title, level::INTEGER AS level, length(content)::INTEGER AS chars FROM kept
+""")
 def text_sections(t: Tables):
     """Sections by text headings."""
     return sections.parse_text(t.documents, "doc_id").select("doc_id", "section_index", "title", "level", F.length("content").alias("chars"))

@@ -157,7 +157,7 @@ def test_headings():
     got = list(sections.markdown_sections("intro\n# A\ntext\n## B\n### C\nmore\n# D"))
     assert [(s[1], s[2], s[3]) for s in got] == [(None, 0, "intro"), ("A", 1, "text"), ("A > B", 2, ""), ("A > B > C", 3, "more"), ("D", 1, "")]
     got = list(sections.text_sections("1. First\nbody one\n1.2 Second\nbody two\nEMPTY HEADING\nCAPITALS\nbody three"))
-    assert [(s[1], s[2]) for s in got] == [("1. First", 1), ("1.2 Second", 2), ("CAPITALS", 1)]
+    assert [(s[1], s[2]) for s in got] == [("1. First", 1), ("1. First > 1.2 Second", 2), ("CAPITALS", 1)]
 
 
 def test_references_are_numbered_by_first_appearance(spark):
