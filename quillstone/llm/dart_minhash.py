@@ -13,13 +13,14 @@ Steps of :func:`near_duplicates`, each table written to the shared folder:
 
 1. one pass over the texts: a 128-bit hash of the words, the signature, the number of shingles;
 2. exact copies meet by hash (a map-side combined minimum), one representative each goes on;
-3. bands of the signature; in each bucket every member is paired with a few leaders (lowest ids under several
-   orders, again plain aggregates); pairs whose signatures agree too little are dropped (``floor`` lies over four
+3. bands of the signature; in each bucket every member is paired with the leaders (the lowest and the highest number,
+   again plain aggregates); pairs whose signatures agree too little are dropped (``floor`` lies over four
    standard deviations below the threshold);
 4. exact Jaccard similarity of the shingle sets: first each text with its best leader, then, components
    known, every remaining pair between different components;
 5. buckets with pairs beside those of the leaders, whose members lie in different components: every pair of such
-   members at the threshold shares a shingle among the rarest of both (:func:`rare_pairs`), and is verified too;
+   members at the threshold shares a shingle among the rarest of both (:func:`rare_pairs`); each text's nearest is verified
+   first, then all pairs that these links leave in different components;
 6. connected components by hooking and pointer jumping, in written tables.
 
 Defined cases: null and empty texts, and texts without any word, are alone in their class; a text of one to four words
@@ -200,12 +201,12 @@ def _token_task(batches):
 
 
 def rare_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b), a < b: of the sets (node, root, elems), a superset of the pairs of different roots at the threshold.
+    """(a, b, shared), a < b: of the sets (node, root, elems), a superset of the pairs of different roots at the threshold.
 
     Prefix filtering: with elements in one order for all sets, the rarest first, the smaller set of such a pair has one
     of its first ``n - 2t / (1 + t) n + 1`` elements in common with the first ``n - t n + 1`` of the larger one. What a
     family below the threshold shares lies behind its smaller prefix. Elements under one root only make no pair, and
-    the most common root of an element is not paired with itself.
+    the most common root of an element is not paired with itself. ``shared`` counts the elements by which a pair was found.
     """
     tokens = materialize(sets.mapInArrow(trimmed(_token_task), "node long, root long, n int, token long"), "crowd-tokens")
     order = Window.partitionBy("node").orderBy("c", "token")
@@ -221,7 +222,7 @@ def rare_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     both = f"x.token = y.token and x.root <> y.root and if({smaller}, x.short, y.short) and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-6"
     enough = f"1 + least(x.n - x.pos, y.n - y.pos) >= {threshold / (1 + threshold)} * (x.n + y.n) - 1e-6"
     found = x.join(y, F.expr(f"{both} and {enough}"))
-    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return found.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("shared"))
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -259,7 +260,7 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float = THRESHO
     nodes = first.select("node", "sig")
     bands = nodes.select("node", F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])).alias("band", "key"))
     bands = bands.select("node", "key")
-    leaders = [F.min("node"), F.max("node"), F.min_by("node", F.xxhash64("node", F.lit(1))), F.min_by("node", F.xxhash64("node", F.lit(2)))]
+    leaders = [F.min("node"), F.max("node")]
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*leaders)).alias("leaders")).filter("n > 1")
     # members that are no leaders are paired with leaders only; rare_pairs covers them
     crowd = materialize(bands.join(buckets.filter(F.col("n") >= F.size("leaders") + 2).select("key"), "key").select("key", "node"), "crowd")
@@ -300,9 +301,17 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float = THRESHO
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     loose = materialize(rooted.join(mixed, "key", "left_semi").select("node", "root").distinct(), "crowd-apart")
     if loose.limit(1).count():
-        rest = materialize(verified(rare_pairs(loose.join(sets, "node"), threshold)), "crowd-links")
+        found = materialize(rare_pairs(loose.join(sets, "node"), threshold), "crowd-pairs")
+        # first each text with the one that shares most; what these links join needs no further pairs
+        nearest = [found.groupBy(x).agg(F.max_by(y, F.struct("shared", y)).alias(y)).select("a", "b") for x, y in (("a", "b"), ("b", "a"))]
+        nearest = materialize(nearest[0].union(nearest[1]).distinct(), "crowd-nearest")
+        links = links.union(materialize(verified(nearest), "crowd-links"))
+        roots = components(links, "crowd-roots")
+        apart = found.join(nearest, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
+        apart = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        rest = materialize(verified(apart), "crowd-more-links")
         if rest.limit(1).count():
-            roots = components(links.union(rest), "crowd-roots")
+            roots = components(links.union(rest), "last-roots")
     rep = first.drop("sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rep.groupBy("root").agg(F.min(F.struct("doc_id", "x1", "x2")).alias("low"))
     out = signed.drop("sig").join(rep.join(lowest, "root").select("h1", "h2", "low"), ["h1", "h2"], "left")
