@@ -19,8 +19,8 @@ Steps of :func:`near_duplicates`, each table written to the shared folder:
 4. exact Jaccard similarity of the shingle sets: first each text with its best leader, then, components
    known, every remaining pair between different components;
 5. buckets with pairs beside those of the leaders, whose members lie in different components: every pair of such
-   members at the threshold shares a shingle among the rarest of both (:func:`rare_pairs`); each text's nearest is verified
-   first, then all pairs that these links leave in different components;
+   members at the threshold shares a shingle among the rarest of both, and parity maps end most of the others
+   (:func:`rare_pairs`); each text's nearest is verified first, then all pairs that these links leave in different components;
 6. connected components by hooking and pointer jumping, in written tables.
 
 Defined cases: null and empty texts, and texts without any word, are alone in their class; a text of one to four words
@@ -46,6 +46,8 @@ BANDS, ROWS = 24, 5
 K = BANDS * ROWS
 FLOOR = 0.62
 BASE_SLICE = 1 / 64
+#: 64-bit words of a set's parity map.
+MAP_WORDS = 16
 
 
 def _slices():
@@ -200,6 +202,15 @@ def _token_task(batches):
             yield pa.record_batch({"node": same(node, pa.int64()), "root": same(root, pa.int64()), "n": same(len(tokens), pa.int32()), "token": pa.array(tokens)})
 
 
+def _map_task(batches):
+    for batch in batches:
+        maps = np.zeros((batch.num_rows, 64 * MAP_WORDS), np.uint8)
+        for row, elems in enumerate(batch.column("elems").to_pylist()):
+            maps[row] = np.bincount(np.frombuffer(elems, np.uint32) % (64 * MAP_WORDS), minlength=64 * MAP_WORDS) & 1
+        words = np.packbits(maps, axis=1).view(np.int64)
+        yield pa.record_batch({"node": batch.column("node"), **{f"w{i}": pa.array(words[:, i]) for i in range(MAP_WORDS)}})
+
+
 def rare_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, shared), a < b: of the sets (node, root, elems), a superset of the pairs of different roots at the threshold.
 
@@ -207,6 +218,10 @@ def rare_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     of its first ``n - 2t / (1 + t) n + 1`` elements in common with the first ``n - t n + 1`` of the larger one. What a
     family below the threshold shares lies behind its smaller prefix. Elements under one root only make no pair, and
     the most common root of an element is not paired with itself. ``shared`` counts the elements by which a pair was found.
+
+    A map of a set has in each bit the parity of the elements hashed to it. What two sets share cancels out, so the bits
+    in which their maps differ are at most the elements in which the sets differ; pairs with more than
+    ``(1 - t) / (1 + t)`` of both sizes are below the threshold and end in the join itself.
     """
     tokens = materialize(sets.mapInArrow(trimmed(_token_task), "node long, root long, n int, token long"), "crowd-tokens")
     order = Window.partitionBy("node").orderBy("c", "token")
@@ -216,12 +231,16 @@ def rare_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     prefix = materialize(prefix, "crowd-prefixes")
     by_root = prefix.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token")
     main = by_root.agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("token", "main")
-    met = prefix.join(main, "token")
+    maps = sets.select("node", "elems").mapInArrow(trimmed(_map_task), ", ".join(["node long", *(f"w{i} long" for i in range(MAP_WORDS))]))
+    met = materialize(prefix.join(main, "token").join(maps, "node"), "crowd-met")
     x, y = met.filter("root <> main").alias("x"), met.alias("y")
     smaller = "struct(x.n, x.node) < struct(y.n, y.node)"
     both = f"x.token = y.token and x.root <> y.root and if({smaller}, x.short, y.short) and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-6"
+    once = "(y.root = y.main or x.node < y.node)"
     enough = f"1 + least(x.n - x.pos, y.n - y.pos) >= {threshold / (1 + threshold)} * (x.n + y.n) - 1e-6"
-    found = x.join(y, F.expr(f"{both} and {enough}"))
+    differ = " + ".join(f"bit_count(x.w{i} ^ y.w{i})" for i in range(MAP_WORDS))
+    near = f"{differ} <= {(1 - threshold) / (1 + threshold)} * (x.n + y.n) + 1e-6"
+    found = x.join(y, F.expr(f"{both} and {once} and {enough} and {near}"))
     return found.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("shared"))
 
 
