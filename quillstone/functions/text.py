@@ -249,19 +249,40 @@ def key_sentence(c: Column) -> Column:
     return finish_sentence(F.concat(F.upper(F.substring(body, 1, 1)), F.substring(body, 2, 1 << 30)))
 
 
-def context_window(text: Column, budget: int, focus: Column | None = None) -> Column:
-    """At most ``budget`` characters (200 at least), cut after a sentence or at a word, around ``focus`` if it occurs."""
-    budget = max(budget, 200)
-    at = F.locate(F.lower(focus), F.lower(text)) - 1 if focus is not None else F.lit(-1)
-    first = F.when(at > 0, F.greatest(F.lit(0), at - budget // 3)).otherwise(F.lit(0))
-    head = F.substr(text, first + 1, F.lit(budget))
-    head = F.when(first > 0, F.regexp_replace(head, r"^\S*\s+", "")).otherwise(head)
-    tail = F.substring(head, -200, 200)
-    sentence = F.regexp_extract(tail, r"(?s)^.*\.(?=\s)", 0)
-    by_sentence = F.substr(head, F.lit(1), F.length(head) - F.length(tail) + F.length(sentence))
-    by_word = F.regexp_replace(head, r"\s+\S*$", "")
-    cut = F.when(first + F.length(head) >= F.length(text), head).when(sentence != "", by_sentence).otherwise(by_word)
-    return F.when(F.length(text) <= budget, text).otherwise(F.btrim(cut))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def context_window(text: Column, budget: Column | int, focus: Column | None = None) -> Column:
+    """At most ``budget`` characters (200 at least) of a text, around ``focus`` (its first 200 characters) if it occurs.
+
+    The window begins at a word; it ends after the last sentence of its last 200 characters, else at a word.
+    """
+    size = F.greatest(F.lit(200), budget if isinstance(budget, Column) else F.lit(budget)).cast("int")
+    wanted = F.substring(F.lower(strip(F.coalesce(focus, F.lit("")))), 1, 200) if focus is not None else F.lit("")
+
+    def placed(v):
+        at = F.when(v["wanted"] != "", F.position(v["wanted"], F.lower(v["clean"])) - 1).otherwise(-1)
+        first = F.greatest(F.lit(0), at - F.floor(v["size"] / 3).cast("int"))
+        end = F.least(F.length(v["clean"]), F.when(at >= 0, first).otherwise(0) + v["size"])
+        start = F.when(at >= 0, F.greatest(F.lit(0), end - v["size"])).otherwise(0)
+        return F.when(F.length(v["clean"]) <= v["size"], v["clean"]).otherwise(_let(F.struct(v["clean"].alias("clean"), v["size"].alias("size"), start.alias("start"), end.alias("end")), cut))
+
+    def cut(v):
+        head = F.substr(v["clean"], F.lit(1), v["end"])
+        tail = F.substring(head, -200, 200)
+        sentence = F.length(F.regexp_extract(tail, r"(?s)^(.*\.) ", 1))
+        by_word = F.length(F.regexp_replace(head, r"\S+\z", ""))
+        stop = F.when(v["end"] >= F.length(v["clean"]), v["end"]).when(sentence > 0, v["end"] - F.length(tail) + sentence).otherwise(by_word)
+        skipped = F.when(v["start"] > 0, F.length(F.regexp_extract(F.substr(v["clean"], v["start"] + 1, v["size"]), r"^\S*\s*", 0))).otherwise(0)
+        return _let(F.struct(v["clean"].alias("clean"), v["size"].alias("size"), (v["start"] + skipped).alias("start"), stop.alias("stop")), taken)
+
+    def taken(v):
+        window = strip(F.substr(v["clean"], v["start"] + 1, F.greatest(F.lit(0), v["stop"] - v["start"])))
+        return F.when(window != "", window).otherwise(strip(F.substr(v["clean"], F.lit(1), v["size"])))
+
+    return _let(F.struct(strip(F.coalesce(text, F.lit(""))).alias("clean"), size.alias("size"), wanted.alias("wanted")), placed)
 
 
 def pdf_safe(c: Column) -> Column:

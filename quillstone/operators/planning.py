@@ -17,6 +17,15 @@ NOISE_TITLES = [
 ]
 NOISE_PARTS = ["table of content", "tabla de contenido", "list of figure", "list of table", "lista de figur", "lista de tabla", "creative common", "creative commons", "licencia", "license"]
 MIN_SUBSTANTIVE, FRAGMENT, CONTEXT = 80, 300, 1500
+CAPACITY_WARNING = {
+    "es": "El documento tiene contenido suficiente para generar %d elemento(s) con calidad verificada. Se solicitaron %d. Se generará la cantidad viable sin incluir contenido inventado.",
+    "en": "The document has enough content to generate %d verified item(s). %d were requested. Only the viable count will be generated; no fabricated content will be added.",
+}
+CAPACITY_NOTICE = {
+    "es": "Tu documento dio para %d elementos verificados. Con un documento más extenso podrás generar los %d solicitados.",
+    "en": "Your document supported %d verified items. With a longer document you can generate the %d requested items.",
+    "pt": "Seu documento suportou %d itens verificados. Com um documento mais extenso você poderá gerar os %d solicitados.",
+}
 # ----------------------------------------------------------------------------------------------------------------
 
 PAGE_TITLE = r"(?iu)^(?:(?:p[áa]gina|p[áa]g\.?|page)\s*)?\d+(?:\s*(?:de|of|/)\s*\d+)?$"
@@ -31,24 +40,28 @@ def looks_like_prose(text: Column) -> Column:
     return (F.size(lines) > 0) & (long_lines >= F.greatest(F.lit(1), F.floor(F.size(lines) / 2))) & (words >= 40)
 
 
-def substantive(chunks: DataFrame, title: str = "title", content: str = "content", keep_prose: bool = False) -> DataFrame:
-    """Chunks of some length whose title isn't that of a list, notice or index; page and roman titles become null."""
+def is_substantive(title: str, content: str, keep_prose: bool = False) -> Column:
+    """Whether a chunk has some length and a title that isn't that of a list, notice or index."""
     raw = F.lower(F.trim(F.coalesce(F.col(title), F.lit(""))))
     bare = F.trim(F.regexp_replace(raw, r"^[\d.\-)\s]+", ""))
     named = raw.isin(NOISE_TITLES) | bare.isin(NOISE_TITLES)
     if keep_prose:
-        named = named & ~looks_like_prose(F.col(content))
+        named = named & ~F.coalesce(looks_like_prose(F.col(content)), F.lit(False))
     part = F.lit(False)
     for p in NOISE_PARTS:
-        part = part | raw.contains(p)
-    body = F.coalesce(F.col(content), F.lit(""))
-    kept = chunks.filter(~named & ~part & (F.length(T.strip(body)) >= MIN_SUBSTANTIVE))
-    return kept.withColumn(title, F.when(~(raw.rlike(PAGE_TITLE) | raw.rlike(SIGN_TITLE)), F.col(title)))
+        part = part | raw.contains(p) | bare.contains(p)
+    return ~named & ~part & (F.length(T.strip(F.coalesce(F.col(content), F.lit("")))) >= MIN_SUBSTANTIVE)
+
 
+def is_page_title(title: str) -> Column:
+    """Whether a title is but a page, a roman number or signs."""
+    raw = F.lower(F.trim(F.coalesce(F.col(title), F.lit(""))))
+    return raw.rlike(PAGE_TITLE) | raw.rlike(SIGN_TITLE)
 
-def or_all(kept: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The kept chunks, or all if none is left."""
-    return kept if kept.limit(1).count() else chunks
+
+def substantive(chunks: DataFrame, title: str = "title", content: str = "content", keep_prose: bool = False) -> DataFrame:
+    """Substantive chunks; page and roman titles become null."""
+    return chunks.filter(is_substantive(title, content, keep_prose)).withColumn(title, F.when(~is_page_title(title), F.col(title)))
 
 
 def sections_of(chunks: DataFrame, doc: str = "document_id", position: str = "position", title: str = "title", content: str = "content") -> DataFrame:
@@ -113,11 +126,17 @@ def section_context(chunks: DataFrame, doc: str = "document_id", section: str =
     return rows.groupBy(doc, section).agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n\n").alias("context"), F.transform(parts, lambda p: p["chunk_id"]).alias("chunk_ids"))
 
 
-def match_concepts(topics: DataFrame, concepts: DataFrame, topic: str = "topic", position: str = "position") -> DataFrame:
-    """Each topic with the first concept that it contains or that contains it. The concepts of one document are few."""
+def match_concepts(topics: DataFrame, concepts: DataFrame, doc: str = "document_id", topic: str = "topic", position: str = "position") -> DataFrame:
+    """Each topic with the first concept of its document that it contains or that contains it; null without one.
+
+    Joined by document, each with its few topics and concepts. Equal topic rows stay apart.
+    """
+    rows = topics.withColumn("_row", F.monotonically_increasing_id())
     t, c = F.lower(F.col(topic)), F.lower(F.col("concept"))
-    hits = topics.join(F.broadcast(concepts.limit(10_000)), t.contains(c) | c.contains(t), "left")
-    return hits.groupBy(*topics.columns).agg(F.min_by("concept", position).alias("concept"))
+    hits = rows.join(concepts.select(doc, "concept", F.col(position).alias("_at")), doc).filter(t.contains(c) | c.contains(t))
+    first = hits.groupBy(doc, *[x for x in topics.columns if x != doc], "_row").agg(F.min_by("concept", "_at").alias("concept")).drop("_row")
+    missed = rows.join(hits.select(doc, "_row").distinct(), [doc, "_row"], "left_anti").drop("_row").withColumn("concept", F.lit(None).cast("string"))
+    return first.select(*topics.columns, "concept").unionByName(missed)
 
 
 def batches_of(sections: DataFrame, doc: str = "document_id", order: str = "section_no", items: str = "allocated_items", cap: int = 1 << 30, target: Column | None = None) -> DataFrame:
@@ -131,11 +150,19 @@ def batches_of(sections: DataFrame, doc: str = "document_id", order: str = "sect
     return sections.withColumn("ask", ask.cast("long"))
 
 
-def capacity_warning(effective: Column, requested: Column, language: Column) -> Column:
-    """The notice that a text bears fewer items than were asked for; languages with "es" in their name get Spanish."""
-    spanish = F.format_string("Tu documento dio para %d elementos verificados. Con un documento más extenso podrás generar los %d solicitados.", effective, requested)
-    english = F.format_string("Your document yielded %d verified items. A longer document allows the %d requested.", effective, requested)
-    return F.when(effective < requested, F.when(F.lower(language).contains("es"), spanish).otherwise(english))
+def capacity_warning(viable: Column, requested: Column, language: Column) -> Column:
+    """The plan's notice that a text bears fewer items than were asked for; languages with "es" in their name, or none, get Spanish."""
+    name = F.lower(F.coalesce(language, F.lit("")))
+    spanish = (name == "") | name.contains("es") | name.contains("span") | name.contains("castellano")
+    return F.when(viable < requested, F.when(spanish, F.format_string(CAPACITY_WARNING["es"], viable, requested)).otherwise(F.format_string(CAPACITY_WARNING["en"], viable, requested)))
+
+
+def capacity_notice(effective: Column, requested: Column, code: Column) -> Column:
+    """The platform's notice of the same in es, en or pt."""
+    out = F.format_string(CAPACITY_NOTICE["en"], effective, requested)
+    for key in ("pt", "es"):
+        out = F.when(code == key, F.format_string(CAPACITY_NOTICE[key], effective, requested)).otherwise(out)
+    return out
 
 
 def provider_for(fmt: Column, profiles: list[tuple[str, str]], default: str) -> Column:

@@ -211,35 +211,39 @@ def summary_prune(t: Tables):
 
 
 def _points(t: Tables):
-    d = t.documents.select(F.col("source").alias("run_id"), F.col("doc_id").alias("item_idx"), "lang", "text")
+    """Runs of at most a hundred points, each of one source."""
+    run = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 100).cast("string"))
+    d = t.documents.select(run.alias("run_id"), F.col("doc_id").alias("item_idx"), "lang", "text")
     points = d.select("run_id", "item_idx", F.regexp_extract("text", r"^([^\n.]{1,60})", 1).alias("punto_clave"))
-    sources = d.select("run_id", "item_idx", F.lit(1).alias("source_no"), F.concat(F.lit("Sección "), "lang").alias("section"), F.when(F.col("item_idx") % 2 == 0, F.lit("3")).alias("pages"))
+    pages = F.when(F.col("item_idx") % 2 == 0, F.array(F.lit(4), F.lit(3))).otherwise(F.array(F.lit(0)))
+    sources = d.select("run_id", "item_idx", F.lit(1).alias("source_no"), F.concat(F.lit(" Sección  "), "lang").alias("section"), pages.alias("pages"))
     return points, sources
 
 
-@query("""
-WITH s AS (SELECT source AS run_id, doc_id AS item_idx, 'Sección ' || lang AS section, CASE WHEN doc_id % 2 = 0 THEN '3' END AS pages FROM documents),
-f AS (SELECT run_id, lower(section) || '|' || coalesce(pages, '') AS k, min(item_idx) AS first, min_by(section, item_idx) AS section, min_by(pages, item_idx) AS pages FROM s GROUP BY ALL)
-SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY first)::INTEGER AS ref_no, '[' || row_number() OVER (PARTITION BY run_id ORDER BY first) || '] ' || section || CASE WHEN coalesce(pages, '') <> '' THEN ', pág. ' || pages ELSE '' END AS line FROM f
-""")
+_REFS = r"""
+WITH d AS (SELECT source || '-' || (doc_id // 100) AS run_id, doc_id AS item_idx, 'Sección ' || lang AS section, CASE WHEN doc_id % 2 = 0 THEN ' (p. 3, p. 4)' ELSE '' END AS pages, rtrim(trim(regexp_extract(text, '^([^\n.]{1,60})', 1)), '.') AS p FROM documents),
+k AS (SELECT *, lower(section) || '|' || pages AS ref_key FROM d),
+r AS (SELECT run_id, ref_key, row_number() OVER (PARTITION BY run_id ORDER BY min(item_idx)) AS ref_no, min_by(section, item_idx) AS section, min_by(pages, item_idx) AS pages FROM k WHERE __KEPT GROUP BY run_id, ref_key)
+"""
+
+
+@query(_REFS.replace("__KEPT", "true") + "SELECT run_id, ref_no::INTEGER AS ref_no, '[' || ref_no || '] ' || section || pages AS line FROM r")
 def summary_references(t: Tables):
     """Reference numbers by first appearance."""
     return S.reference_lines(S.numbered_references(_points(t)[1])).select("run_id", "ref_no", "line")
 
 
-@query(r"""
-WITH d AS (SELECT source AS run_id, doc_id AS item_idx, 'Sección ' || lang AS section, CASE WHEN doc_id % 2 = 0 THEN '3' END AS pages, rtrim(trim(regexp_extract(text, '^([^\n.]{1,60})', 1)), '.') AS p FROM documents),
-k AS (SELECT *, lower(trim(section)) || '|' || coalesce(pages, '') AS ref_key FROM d),
-r AS (SELECT run_id, ref_key, row_number() OVER (PARTITION BY run_id ORDER BY min(item_idx)) AS ref_no, min_by(section, item_idx) AS section, min_by(pages, item_idx) AS pages FROM k GROUP BY run_id, ref_key),
-b AS (SELECT run_id, item_idx, ref_no, CASE WHEN p = '' THEN NULL ELSE (CASE WHEN p[1] = 'ß' THEN 'SS' ELSE upper(p[1]) END) || substr(p, 2) || CASE WHEN regexp_matches(p, '[.!?…]$') THEN '' ELSE '.' END END AS p FROM k JOIN r USING (run_id, ref_key)),
-body AS (SELECT run_id, string_agg(coalesce(p || ' ', ' ') || '[' || ref_no || ']', chr(10) || chr(10) ORDER BY item_idx) AS t FROM b GROUP BY run_id),
-lines AS (SELECT run_id, string_agg('[' || ref_no || '] ' || section || CASE WHEN coalesce(pages, '') <> '' THEN ', pág. ' || pages ELSE '' END, chr(10) ORDER BY ref_no) AS l FROM r GROUP BY run_id)
-SELECT run_id, length(t || chr(10) || chr(10) || 'Referencias' || chr(10) || l)::INTEGER AS chars, md5(t || chr(10) || chr(10) || 'Referencias' || chr(10) || l) AS md5 FROM body JOIN lines USING (run_id)
+@query(_REFS.replace("__KEPT", "p <> ''") + r"""
+, b AS (SELECT run_id, item_idx, ref_no, (CASE WHEN p[1] = 'ß' THEN 'SS' ELSE upper(p[1]) END) || substr(p, 2) || CASE WHEN regexp_matches(p, '[.!?…]$') THEN '' ELSE '.' END AS p FROM k JOIN r USING (run_id, ref_key) WHERE p <> ''),
+body AS (SELECT run_id, string_agg(p || ' [' || ref_no || ']', chr(10) || chr(10) ORDER BY item_idx) AS t FROM b GROUP BY run_id),
+lines AS (SELECT run_id, string_agg('[' || ref_no || '] ' || section || pages, chr(10) ORDER BY ref_no) AS l FROM r GROUP BY run_id)
+SELECT run_id, length(t || chr(10) || chr(10) || 'Fuentes' || chr(10) || run_id || chr(10) || l)::INTEGER AS chars, md5(t || chr(10) || chr(10) || 'Fuentes' || chr(10) || run_id || chr(10) || l) AS md5 FROM body JOIN lines USING (run_id)
 """)
 def summary_composed(t: Tables):
-    """Summaries with markers and references."""
+    """Summaries with markers, the title and references."""
     points, sources = _points(t)
-    return S.composed(points, sources).select("run_id", F.length("summary").alias("chars"), F.md5("summary").alias("md5"))
+    titles = points.select("run_id", F.col("run_id").alias("title")).distinct()
+    return S.composed(points, sources, titles=titles).select("run_id", F.length("summary").alias("chars"), F.md5("summary").alias("md5"))
 
 
 @query(r"""

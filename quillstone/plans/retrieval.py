@@ -142,7 +142,7 @@ def generation_batches(t: Tables):
 
 @query("""
 SELECT doc_id, CASE WHEN 20 > greatest(3, length(text) // 50) AND length(text) < 800 THEN greatest(3, length(text) // 50) ELSE greatest(20, greatest(3, length(text) // 50)) END::BIGINT AS capacity,
-  CASE WHEN 20 > greatest(3, length(text) // 50) AND length(text) < 800 THEN 'Tu documento dio para ' || greatest(3, length(text) // 50) || ' elementos verificados. Con un documento más extenso podrás generar los 20 solicitados.' END AS warning
+  CASE WHEN 20 > greatest(3, length(text) // 50) AND length(text) < 800 THEN 'El documento tiene contenido suficiente para generar ' || greatest(3, length(text) // 50) || ' elemento(s) con calidad verificada. Se solicitaron 20. Se generará la cantidad viable sin incluir contenido inventado.' END AS warning
 FROM documents
 """)
 def capacity(t: Tables):

@@ -161,10 +161,10 @@ def test_headings():
 
 
 def test_references_are_numbered_by_first_appearance(spark):
-    rows = [("r", 0, 1, "Alpha", "1"), ("r", 0, 2, "Beta", "2"), ("r", 1, 1, "beta", "2")]
-    numbered = summary.numbered_references(spark.createDataFrame(rows, "run_id string, item_idx int, source_no int, section string, pages string"))
+    rows = [("r", 0, 1, "Alpha", [1]), ("r", 0, 2, "Beta", [2, 3, 2]), ("r", 1, 1, " beta. ", [3, 2]), ("r", 2, 1, "", None)]
+    numbered = summary.numbered_references(spark.createDataFrame(rows, "run_id string, item_idx int, source_no int, section string, pages array<int>"))
     assert {r.item_idx: r.markers for r in summary.markers(numbered).collect()} == {0: "[1][2]", 1: "[2]"}
-    assert summary.reference_lines(numbered, "en").count() == 2
+    assert sorted(r.line for r in summary.reference_lines(numbered, "en").collect()) == ["[1] Alpha (p. 1)", "[2] Beta (p. 2, p. 3)"]
 
 
 @pytest.mark.parametrize("days,colour", [(8, "green"), (7, "amber"), (4, "amber"), (3, "red"), (1, "red"), (0, "today")])
