@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, decontaminate, license_scan, mixing, pii_crf, quality_lm, secret_forest, token_store, toxicity_chain, url_trust
+from . import dart_minhash, decontaminate, license_scan, line_runs, mixing, pii_crf, quality_lm, secret_forest, token_store, toxicity_chain, url_trust
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,12 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those it loses, and the checksum of what is left."""
+    found = line_runs.dedup(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return _with_id(found, "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
     return {
@@ -91,10 +97,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_benchmark_leaks,
             op9_secret_scan,
             op10_token_store,
+            op11_line_dedup,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL, for the queries that SQL can express."""
-    return {"op5_source_mix": mixing.oracle_sql(), "op8_benchmark_leaks": decontaminate.oracle_sql()}
+    return {"op5_source_mix": mixing.oracle_sql(), "op8_benchmark_leaks": decontaminate.oracle_sql(), "op11_line_dedup": line_runs.oracle_sql()}
