@@ -96,9 +96,11 @@ class LineRuns:
         return [name for level in self.levels for name in level]
 
     def unsettled(self, keys: DataFrame) -> DataFrame:
-        """The rows of ``keys`` whose key no run has settled: a merge anti-join with each run."""
+        """The rows (key, n, ...) of ``keys`` whose key no run has settled: a merge anti-join with each run."""
         for name in self.runs():
-            keys = keys.join(self.spark.table(name).filter(F.col("n") >= self.least).select("key").hint("merge"), "key", "left_anti")
+            run = self.spark.table(name).filter(F.col("n") >= self.least).select(F.col("key").alias("known")).hint("merge")
+            # a condition on n keeps the join above the count of the batch: only pre-aggregated keys are shuffled
+            keys = keys.join(run, (F.col("key") == F.col("known")) & (F.col("n") > 0), "left_anti")
         return keys
 
     def add(self, held: DataFrame) -> None:
