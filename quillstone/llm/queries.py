@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, decontaminate, license_scan, line_runs, mixing, pii_crf, quality_lm, secret_forest, token_store, toxicity_chain, url_trust
+from . import dart_minhash, decontaminate, license_scan, line_runs, mixing, ngram_resample, pii_crf, quality_lm, secret_forest, token_store, toxicity_chain, url_trust
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,12 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_id(found, "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, weight, score and rank of every document, drawn towards the benchmark's texts."""
+    drawn = ngram_resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return _with_id(drawn, "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
     return {
@@ -98,10 +104,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_secret_scan,
             op10_token_store,
             op11_line_dedup,
+            op12_target_resample,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL, for the queries that SQL can express."""
-    return {"op5_source_mix": mixing.oracle_sql(), "op8_benchmark_leaks": decontaminate.oracle_sql(), "op11_line_dedup": line_runs.oracle_sql()}
+    return {"op5_source_mix": mixing.oracle_sql(), "op8_benchmark_leaks": decontaminate.oracle_sql(), "op11_line_dedup": line_runs.oracle_sql(), "op12_target_resample": ngram_resample.oracle_sql()}
