@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, decontaminate, license_scan, line_runs, mixing, ngram_resample, pii_crf, quality_lm, secret_forest, token_store, toxicity_chain, url_trust
+from . import dart_minhash, decontaminate, license_scan, line_runs, mixing, ngram_resample, pii_crf, quality_lm, secret_forest, token_alignment, token_store, toxicity_chain, url_trust
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,12 @@ def op12_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_id(drawn, "n_features", "weight", "score", "rank")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every document between a byte-level and a piece tokenizer."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align(_table(spark, sf_dir, "documents"), *paths)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
     return {
@@ -105,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_token_store,
             op11_line_dedup,
             op12_target_resample,
+            op13_token_alignment,
         )
     }
 
