@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import citations, generation, lifecycle, quality, retrieval, text  # noqa: F401  they register their queries
+from . import citations, generation, lifecycle, providers, quality, retrieval, text  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 
