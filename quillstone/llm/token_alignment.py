@@ -116,7 +116,8 @@ class PairEncoder:
         to_a, to_b = (in_a + 1).tolist(), (in_b + 1).tolist()
         groups, i, j = [], 0, 0
         for k, m in zip(to_a, to_b):
-            groups.append(",".join(told_a[i:k]) + "|" + ",".join(told_b[j:m]))
+            one = told_a[i] if k == i + 1 else ",".join(told_a[i:k])
+            groups.append(f"{one}|{told_b[j]}" if m == j + 1 else f"{one}|{','.join(told_b[j:m])}")
             i, j = k, m
         links = np.stack([b[in_b], a[in_a]], 1).astype(np.uint32)
         out, g = [], 0
@@ -179,7 +180,11 @@ class PairEncoder:
         nothing, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
         spaced = pc.binary_join_element_wise(space, pc.fill_null(texts.cast(pa.large_string()), ""), nothing)
         raw, bounds = ta.flat_bytes(spaced)
-        starts = np.union1d(_cuts(raw), bounds[:-1]) if self.cut else bounds[:-1]
+        begins = np.zeros(len(raw), bool)
+        begins[bounds[:-1]] = True
+        if self.cut:
+            begins[_cuts(raw)] = True
+        starts = np.flatnonzero(begins)
         offsets = np.append(starts, len(raw)).astype(np.int64)
         column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
         coded = column.dictionary_encode()
