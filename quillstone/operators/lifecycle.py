@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 RETENTION_DAYS, MAX_ATTEMPTS, LOCK_AFTER, LOCK_SECONDS = 15, 5, 5, 900
+LAST_NODE = "formatter"
 # ----------------------------------------------------------------------------------------------------------------
 
 
@@ -142,3 +143,19 @@ def stage_durations(events: DataFrame, run: str = "run_id", stage: str = "stage"
     micros = F.unix_micros(F.col("_end").cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))
     ms = F.bround(F.sum(micros).cast("decimal(20,3)") / 1000, 2).cast("double")
     return spans.groupBy(run, stage).agg(ms.alias("ms"), F.count("*").alias("calls"))
+
+
+def node_progress(events: DataFrame, run: str = "run_id", at: str = "ts", node: str = "node", nth: str = "event_id") -> DataFrame:
+    """(run_id, event_id, nth, stage, ms): one stage for each node that finished, in order, with the time since the stage before, and ``done``
+    behind the first last node; nothing of a run follows that. A run served from the cache has only its last node."""
+    order = Window.partitionBy(run).orderBy(at, nth)
+    last = F.col(node).eqNullSafe(F.lit(LAST_NODE))
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = events.select(
+        F.col(run).alias("run_id"), F.col(nth).alias("event_id"), F.row_number().over(order).alias("nth"), F.col(node).alias("stage"), ((us - F.lag(us).over(order)) / 1000).alias("ms"),
+        F.coalesce(F.count_if(last).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("over"), last.alias("last"),
+    )
+    rows = rows.filter("over = 0")
+    done = F.struct((F.col("nth") + 1).alias("nth"), F.lit("done").alias("stage"), F.lit(0.0).alias("ms"))
+    own = F.struct("nth", "stage", "ms")
+    return rows.select("run_id", "event_id", F.explode(F.when(F.col("last"), F.array(own, done)).otherwise(F.array(own))).alias("s")).select("run_id", "event_id", F.col("s.nth").cast("long").alias("nth"), "s.stage", "s.ms")

@@ -79,16 +79,6 @@ def simulated_waits(batches: DataFrame, key: str = "document_id", order: str = "
     return batches.groupBy(key).applyInPandas(one, f"`{key}` {kind}, wait_s double")
 
 
-def cooldowns(calls: DataFrame, key: str = "provider", at: str = "ts", ok: str = "ok", nth: str = "event_id") -> DataFrame:
-    """Failures with their number in the current run of failures, and the end of the pause from the second on."""
-    order = Window.partitionBy(key).orderBy(at, nth)
-    rows = calls.withColumn("_run", F.sum(F.col(ok).cast("int")).over(order))
-    n = F.count_if(~F.col(ok)).over(Window.partitionBy(key, "_run").orderBy(at, nth).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("consecutive", n).filter(~F.col(ok))
-    until = F.when(F.col("consecutive") >= BREAK_AFTER, F.col(at) + F.expr(f"INTERVAL {BREAK_S} SECONDS"))
-    return rows.withColumn("cool_until", until).drop("_run")
-
-
 def admitted(times: list[float], most: int = EMPTY_PER_MINUTE, span: float = WINDOW_S) -> list[bool]:
     """Which calls a limit of ``most`` in a sliding window admits; refused calls don't count."""
     kept: list[float] = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..operators import breaker as B
 from ..operators import diagnostics as Q
 from ..operators import dedup as D
 from ..operators import lifecycle as C
@@ -162,14 +163,43 @@ def sliding_usage(t: Tables):
 
 
 @query("""
-WITH e AS (SELECT event_type AS provider, event_id, ts, user_id % 3 <> 0 AS ok FROM events), r AS (SELECT *, sum(ok::INT) OVER (PARTITION BY provider ORDER BY ts, event_id) AS run FROM e),
-c AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY provider, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM r)
-SELECT provider, event_id, n::BIGINT AS consecutive, CASE WHEN n >= 2 THEN ts + INTERVAL 60 SECOND END AS cool_until FROM c WHERE NOT ok
+WITH RECURSIVE e AS (
+  SELECT event_type AS provider, user_id % 4 AS model, event_id, ts, epoch_us(ts) AS us, user_id % 3 = 0 AS fail, row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY ts, event_id) AS n FROM events
+), p AS (
+  SELECT *, CASE WHEN fail AND lag(fail, 1, false) OVER w THEN n END AS pair, count(*) OVER (PARTITION BY provider, model ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 59999999 FOLLOWING) + 1 AS behind FROM e WINDOW w AS (PARTITION BY provider, model ORDER BY n)
+), q AS (
+  SELECT *, min(pair) OVER (PARTITION BY provider, model ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM p
+), trips AS (
+  SELECT provider, model, min(pair) AS n FROM q GROUP BY ALL HAVING min(pair) IS NOT NULL
+  UNION ALL
+  SELECT t.provider, t.model, s.later FROM trips t JOIN q ON q.provider = t.provider AND q.model = t.model AND q.n = t.n JOIN q s ON s.provider = t.provider AND s.model = t.model AND s.n = q.behind WHERE s.later IS NOT NULL
+), m AS (
+  SELECT q.*, t.n IS NOT NULL AS trip, max(CASE WHEN t.n IS NOT NULL THEN us END) OVER (PARTITION BY q.provider, q.model ORDER BY q.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+  FROM q LEFT JOIN trips t ON t.provider = q.provider AND t.model = q.model AND t.n = q.n
+), a AS (
+  SELECT *, earlier IS NULL OR us >= earlier + 60000000 AS attempted, CASE WHEN trip THEN us ELSE earlier END + 60000000 AS until FROM m
+)
+SELECT provider, model::VARCHAR AS model, event_id, attempted, (fail AND attempted AND NOT trip)::BIGINT AS failures, CASE WHEN until > us THEN make_timestamp(until) END AS cool_until FROM a
 """)
 def cooldown_islands(t: Tables):
-    """ST3: failures in a row and pauses."""
-    rows = t.events.select(F.col("event_type").alias("provider"), "event_id", "ts", (F.col("user_id") % 3 != 0).alias("ok"))
-    return M.cooldowns(rows).select("provider", "event_id", "consecutive", "cool_until")
+    """ST3: calls that a breaker lets through, failures in a row and pauses, for each provider and model."""
+    rows = t.events.select(F.col("event_type").alias("provider"), (F.col("user_id") % 4).alias("model"), "event_id", "ts", (F.col("user_id") % 3 != 0).alias("ok"))
+    return B.breaker(rows)
+
+
+@query("""
+WITH e AS (
+  SELECT user_id AS run_id, event_id, ts, CASE event_type WHEN 'view' THEN 'planner' WHEN 'click' THEN 'writer' WHEN 'purchase' THEN 'formatter' ELSE 'critic' END AS stage FROM events
+), o AS (
+  SELECT *, row_number() OVER w AS nth, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1000.0::DOUBLE AS ms, count(*) FILTER (stage = 'formatter') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over
+  FROM e WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)
+)
+SELECT run_id, event_id, nth, stage, ms FROM o WHERE over = 0 UNION ALL SELECT run_id, event_id, nth + 1, 'done', 0.0::DOUBLE FROM o WHERE over = 0 AND stage = 'formatter'
+""")
+def node_progress(t: Tables):
+    """ST12: progress of runs by node, ended by the last one."""
+    kind = F.when(F.col("event_type") == "view", "planner").when(F.col("event_type") == "click", "writer").when(F.col("event_type") == "purchase", "formatter").otherwise("critic")
+    return C.node_progress(t.events.select(F.col("user_id").alias("run_id"), "event_id", "ts", kind.alias("node")))
 
 
 @query()

@@ -217,19 +217,6 @@ def test_files(spark, tmp_path):
     assert files.texts(spark, str(tmp_path)).first().text == "# T\nbody"
 
 
-def test_streams(spark, tmp_path):
-    from quillstone.streaming import limits as S
-
-    schema = "key string, event_id long, ts timestamp, ok boolean"
-    rows = spark.sql("SELECT 'u' AS key, id AS event_id, timestamp_seconds(id) AS ts, id % 4 = 3 AS ok FROM range(8)")
-    rows.write.parquet(str(tmp_path / "in"))
-    for name, function in (("admitted", S.admissions), ("paused", S.breakers)):
-        q = function(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    assert spark.table("admitted").filter("admitted").count() == 5
-    assert spark.table("paused").count() == 1
-
-
 def test_output_similarity_equals_brute_force_for_every_run(spark):
     from collections import defaultdict
     from itertools import combinations
