@@ -32,9 +32,9 @@ def greedy_unique(texts: list[str], limit: float = RATIO) -> list[bool]:
     return out
 
 
-def fuzzy_dedup(items: DataFrame, run: str = "run_id", order: str = "item_idx", text: str = "text", limit: float = RATIO) -> DataFrame:
-    """Items of each run that the greedy rule keeps. The rule is sequential, so a run is one group; runs are small (a
-    request yields a hundred items at most)."""
+def short_runs_dedup(items: DataFrame, run: str = "run_id", order: str = "item_idx", text: str = "text", limit: float = RATIO) -> DataFrame:
+    """Items of each run that the greedy rule keeps, for runs of one request (a hundred items at most): each is one group. Runs of
+    any size: :func:`quillstone.operators.similar.greedy_dedup`."""
     names = items.columns
 
     def one(frame):

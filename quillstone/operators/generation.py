@@ -318,7 +318,7 @@ def published(items: DataFrame, records: DataFrame, targets: DataFrame, fmt: str
     by = Window.partitionBy("run_id").orderBy("item_idx")
     rows = rows.join(targets.select("run_id", "target", "language", "clarity"), "run_id").withColumn("nth", F.row_number().over(by) - 1).filter("nth < target")
     if fmt == "executive_summary":
-        rows = D.fuzzy_dedup(rows, text="full_text").filter(~F.coalesce("es_fallback", F.lit(False)))
+        rows = D.short_runs_dedup(rows, text="full_text").filter(~F.coalesce("es_fallback", F.lit(False)))
         rows = rows.withColumn("nth", F.row_number().over(by) - 1)
     spanish = L.language_code(F.col("language")) == "es"
     rows = rows.withColumns({"lexical": F.col("grounded"), "reviewer": F.coalesce("vote", F.lit(True))}).withColumn("verified", F.col("lexical") & F.col("reviewer"))

@@ -11,6 +11,7 @@ from ..operators import diagnostics as Q
 from ..operators import grounding as G
 from ..operators import items as I
 from ..operators import summary as S
+from ..operators.similar import greedy_dedup
 from .registry import Tables, query
 
 _WORDS = r"list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]{{4,}}'))"
@@ -180,7 +181,7 @@ def quiz_shuffle(t: Tables):
 def fuzzy_dedup(t: Tables):
     """The greedy fuzzy rule over the turns of every conversation."""
     rows = t.conversations.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("item_idx"), "text")
-    return D.fuzzy_dedup(rows).select("run_id", "item_idx")
+    return greedy_dedup(rows).select("run_id", "item_idx")
 
 
 @query("""
