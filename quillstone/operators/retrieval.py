@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import dropped, shared_folder, written
+
 RRF_K = 60
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -75,44 +79,76 @@ def tokens(text: Column) -> Column:
 def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score) of every document for one query, Okapi weights; documents without a query word score 0.
 
-    One scan counts lengths and the query's words per document; document frequencies of the query's words and the mean
-    IDF of the vocabulary need one aggregation by word. Negative IDFs become ``EPSILON`` times that mean.
+    One aggregation counts documents, their lengths and those that hold each of the query's words, a row for the driver; the scores are
+    then a projection. Negative IDFs become ``EPSILON`` times the mean IDF of the vocabulary, which is only then counted, by word.
     """
     terms = query.lower().split()
-    rows = docs.select(F.col(id_col), tokens(F.col(text)).alias("w"))
-    sizes = rows.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean_size"))
-    df = rows.select(id_col, F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(sizes)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = idf.agg(F.avg("idf").alias("mean_idf"))
     wanted = sorted(set(terms))
-    weight = idf.filter(F.col("term").isin(wanted)).crossJoin(F.broadcast(mean))
-    weight = weight.select("term", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    weight = weight.agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))  # the query's words only
-    scored = rows.crossJoin(F.broadcast(weight)).crossJoin(F.broadcast(sizes))
+    rows = docs.select(F.col(id_col), tokens(F.col(text)).alias("w"))
+    held = [F.count_if(F.array_contains("w", t)).alias(f"df{i}") for i, t in enumerate(wanted)]
+    told = rows.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean_size"), *held).first()
+    idf = lambda n, df: math.log(n - df + 0.5) - math.log(df + 0.5)
+    weights = {t: idf(told["n"], told[f"df{i}"]) for i, t in enumerate(wanted) if told[f"df{i}"]}
+    if any(w < 0 for w in weights.values()):
+        df = rows.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        mean = df.agg(F.avg(F.log(told["n"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
+        weights = {t: EPSILON * mean if w < 0 else w for t, w in weights.items()}
     parts = F.lit(0.0)
-    for t in sorted(terms):
+    for t in sorted(t for t in terms if t in weights):
         f = F.size(F.filter("w", _equals(t))).cast("double")
-        part = F.try_element_at("idf", F.lit(t)) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.size("w") / F.col("mean_size")))
-        parts = parts + F.when(f > 0, F.coalesce(part, F.lit(0.0))).otherwise(0.0)
-    return scored.select(id_col, F.round(parts, 6).alias("score"))
+        parts = parts + F.when(f > 0, weights[t] * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.size("w") / told["mean_size"]))).otherwise(0.0)
+    return rows.select(id_col, F.round(parts, 6).alias("score"))
 
 
 def _equals(term: str):
     return lambda w: w == term
 
 
-def ranks(scores: DataFrame, id_col: str, name: str, position: str | None = None, score: str = "score") -> DataFrame:
-    """(id, name): ranks from 0 by falling score, ties by position."""
-    w = Window.orderBy(F.desc(score), position or id_col)
-    return scores.select(id_col, (F.row_number().over(w) - 1).cast("long").alias(name))
+def _beaten(score: Column, row_id: Column, wanted: list[tuple[float, int]]) -> Column:
+    """How many of ``wanted``, in order of rank, a row does not stand ahead of: a binary search as nested conditions."""
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        s, i = wanted[mid]
+        return F.when((score > s) | ((score == s) & (row_id < i)), between(low, mid)).otherwise(between(mid + 1, high))
 
+    return between(0, len(wanted))
 
-def fuse(dense: DataFrame, lexical: DataFrame, total: int, id_col: str = "doc_id", k: int = RRF_K) -> DataFrame:
-    """(id, rrf, rank from 0): reciprocal-rank fusion of two rank lists; a missing rank counts as ``total``."""
-    both = dense.join(lexical, id_col, "full")
-    part = lambda c: 1.0 / (k + F.coalesce(F.col(c), F.lit(total)))
-    both = both.withColumn("rrf", part("dense_rank") + part("lexical_rank"))
-    return both.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rrf"), id_col)) - 1)
+
+def _places(scores: DataFrame, id_col: str, wanted: list[tuple[float, int]]) -> dict[int, int]:
+    """Ranks from 0 of a few rows (score, id) among all: one aggregation to as many counts."""
+    wanted = sorted(wanted, key=lambda w: (-w[0], w[1]))
+    counts = dict(scores.groupBy(_beaten(F.col("score"), F.col(id_col), wanted).alias("b")).agg(F.count("*").alias("n")).collect())
+    out, ahead = {}, 0
+    for j, (_, i) in enumerate(wanted):
+        ahead += counts.get(j, 0)
+        out[i] = ahead
+    return out
+
+
+def fused_top(dense: DataFrame, lexical: DataFrame, top: int, id_col: str = "doc_id", k: int = RRF_K) -> DataFrame:
+    """(id, rrf, rank from 0): the first ``top`` rows by reciprocal-rank fusion of two score tables (id, score), exactly, without ranking them.
+
+    A row of rank R or more in both lists has at most 2 / (k + R), and ``top`` rows of either list have 1 / (k + top - 1) or more, so the ``R`` first
+    rows of each list, R > k + 2 (top - 1), hold the result. They come by a heap of R rows a task; where they stand in the other list is
+    counted, in one pass over it. A rank that is missing counts as the number of all rows. Ids are unique; ties go to smaller ids.
+    """
+    spark, folder = dense.sparkSession, shared_folder(dense.sparkSession, "fused")
+    lists = [written(scores.select(id_col, "score"), f"{folder}/{nth}") for nth, scores in enumerate((dense, lexical))]
+    total = lists[0].select(id_col).union(lists[1].select(id_col)).distinct().count()
+    far = k + 2 * (top - 1) + 1
+    first = [scores.orderBy(F.desc("score"), id_col).limit(far) for scores in lists]
+    ids = sorted({r[0] for rows in first for r in rows.select(id_col).collect()})  # 2 R at most
+    places = []
+    for scores in lists:
+        own = scores.filter(F.col(id_col).isin(ids)).collect() if ids else []
+        places.append(_places(scores, id_col, [(r["score"], r[id_col]) for r in own]) if own else {})
+    rrf = {i: 1.0 / (k + places[0].get(i, total)) + 1.0 / (k + places[1].get(i, total)) for i in ids}
+    best = sorted(rrf, key=lambda i: (-rrf[i], i))[:top]
+    dropped(spark, folder)
+    return spark.createDataFrame([(i, rrf[i], n) for n, i in enumerate(best)], f"{id_col} long, rrf double, rank long")
 
 
 def unique_parents(ranked: DataFrame, children: DataFrame, parents: DataFrame, pool: int = 10, child: str = "child_id", parent: str = "parent_id") -> DataFrame:

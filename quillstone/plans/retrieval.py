@@ -72,12 +72,6 @@ def bm25_scores(t: Tables):
     return R.bm25(t.documents, QUERY)
 
 
-def _fused(t: Tables):
-    dense = R.ranks(t.embeddings.select("vec_id", F.round(R.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in _query_vector(t)])), 6).alias("score")), "vec_id", "dense_rank")
-    lexical = R.ranks(R.bm25(t.documents, QUERY), "doc_id", "lexical_rank")
-    return R.fuse(dense.withColumnRenamed("vec_id", "doc_id"), lexical, t.documents.count())
-
-
 @query(f"""
 WITH {_BM25},
 lex AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS l FROM scores),
@@ -87,8 +81,9 @@ SELECT doc_id, round(rrf, 6) AS rrf, (row_number() OVER (ORDER BY rrf DESC, doc_
 """)
 def hybrid_retrieval(t: Tables):
     """Fused retrieval, the top 10. The flagship."""
-    top = _fused(t).orderBy("rank").limit(10)
-    return top.select("doc_id", F.round("rrf", 6).alias("rrf"), F.col("rank").cast("long").alias("rank"))
+    q = F.array(*[F.lit(float(x)) for x in _query_vector(t)])
+    dense = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.round(R.cosine(F.col("embedding"), q), 6).alias("score"))
+    return R.fused_top(dense, R.bm25(t.documents, QUERY), 10).select("doc_id", F.round("rrf", 6).alias("rrf"), "rank")
 
 
 @query(r"""

@@ -285,3 +285,31 @@ def sse_frames(t: Tables):
     """Server-sent frames."""
     rows = t.documents.select("doc_id", F.struct("doc_id", F.col("source").alias("stage")).alias("e"))
     return rows.select("doc_id", F.concat(F.lit("data: "), F.to_json("e"), F.lit("\n\n")).alias("frame"))
+
+
+@query("""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+') AS ws FROM documents WHERE length(text) > 50
+), spot AS (
+  SELECT word, h // 2 % 256 AS i, CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END AS s FROM (SELECT word, ('0x' || substr(md5(word), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT unnest(ws) AS word FROM w))
+), v AS (
+  SELECT doc_id, i, sum(s)::BIGINT AS x FROM (SELECT doc_id, unnest(ws) AS word FROM w) JOIN spot USING (word) GROUP BY ALL
+), size AS (
+  SELECT doc_id, sqrt(sum(x * x)::DOUBLE) AS size FROM v GROUP BY doc_id
+), p AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(ws, lambda x: [x])) AS g FROM w
+  UNION ALL SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: [ws[i], ws[i + 1]])) AS g FROM w
+), c AS (
+  SELECT p.doc_id, array_to_string(g, ' ') AS concept, sa.s * va.x + CASE WHEN len(g) = 2 THEN sb.s * vb.x ELSE 0 END AS dot,
+    CASE WHEN len(g) = 1 THEN 1 WHEN sa.i <> sb.i THEN 2 WHEN sa.s = sb.s THEN 4 ELSE 0 END AS norm2
+  FROM p JOIN spot sa ON sa.word = g[1] JOIN v va ON va.doc_id = p.doc_id AND va.i = sa.i LEFT JOIN spot sb ON sb.word = g[2] LEFT JOIN v vb ON vb.doc_id = p.doc_id AND vb.i = sb.i
+), scored AS (
+  SELECT doc_id, concept, CASE WHEN norm2 = 0 OR size = 0 THEN 0.0::DOUBLE ELSE round(dot / (size * sqrt(norm2::DOUBLE)), 6) END AS score FROM c JOIN size USING (doc_id)
+)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, concept) AS nth, concept, score FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, concept) <= 4
+""".replace("\\\\", "\\"))
+def key_concepts(t: Tables):
+    """C11: the phrases nearest to each text's own vector."""
+    from ..operators.concepts import key_concepts
+
+    return key_concepts(t.documents)
