@@ -51,13 +51,6 @@ def test_token_estimate(spark):
     assert df.agg(F.sum(T.token_estimate(F.col("t")))).first()[0] == 3
 
 
-def test_rrf(spark):
-    dense = spark.createDataFrame([("A", 0), ("B", 1), ("C", 2)], "doc_id string, dense_rank long")
-    lexical = spark.createDataFrame([("C", 0), ("A", 1), ("B", 2)], "doc_id string, lexical_rank long")
-    got = [(r.doc_id, round(r.rrf, 6)) for r in retrieval.fuse(dense, lexical, 3).orderBy("rank").collect()]
-    assert got == [("A", 0.03306), ("C", 0.032796), ("B", 0.032522)]
-
-
 @pytest.mark.parametrize("weights,target,expected", [([600, 300, 100], 10, [6, 3, 1]), ([500, 300, 200], 7, [4, 2, 1]), ([1] * 5, 3, [1] * 5)])
 def test_allocation(spark, weights, target, expected):
     df = spark.createDataFrame([("d", i, w) for i, w in enumerate(weights)], "document_id string, section_no int, weight long")
