@@ -5,12 +5,18 @@ In training these are out-of-fold predictions, so that a later model meets them
 categories come from the two labels of a row alone, not from its words: ``toxic``; ``toxic_spam``, toxic and of low quality; and
 ``toxic_prose``, toxic and of good quality.
 
-The models are trained on the driver from a sample of labelled rows of at most ``most_rows``, the lowest by a hash of the
-id, a documented bound. Words are chosen by a chi-square test, at most ``most_words``. Every document's whole text is
-scored, in numpy over Arrow batches.
+The last two are parts of the first and exclude each other. Their probabilities are therefore cut to what is left of that of ``toxic``, in
+training as in scoring, and a document gets one of them at most, the more probable, and only if it is toxic itself.
+
+A category is decided at the threshold of best F1 among those at which at least ``LEAST_PRECISION`` of the out-of-fold decisions are right; one with fewer
+than ``LEAST_POSITIVES`` examples (``LEAST_OF_PART`` for a part), or without such a threshold, is not decided: its probability is given, and no document gets it.
+
+The models are trained on the driver from a sample of labelled rows of at most ``most_rows`` ids, the lowest by a hash of the
+id, and of at most ``most_text_words`` distinct words a row, the lowest by hash: documented bounds. Words are chosen by a chi-square test, at most ``most_words``. Every
+document's whole text is scored, in numpy over Arrow batches.
 
 Defined cases: a null text counts as empty and gets the models' base rate; rows are judged one by one, so repeated
-rows are judged alike; labels without a document, or null labels, do not count; with no labelled rows of both
+rows are judged alike; of several rows of one labelled id one is trained on; labels without a document, or null labels, do not count; with no labelled rows of both
 kinds a category's probability is its rate (0 without labels); an empty table gives an empty result; other
 columns pass through inside ``row``.
 """
@@ -30,6 +36,10 @@ from .common import bounded_batches, text_of, trimmed
 CATEGORIES = ("toxic", "toxic_spam", "toxic_prose")
 MOST_ROWS, MOST_WORDS, FOLDS = 5_000, 400, 5
 LEAST_CHI2, LEAST_DOCS = 30.0, 5
+LEAST_PRECISION, LEAST_POSITIVES, LEAST_OF_PART = 0.5, 10, 50
+MOST_TEXT_WORDS = 20_000
+#: The threshold of a category that is not decided.
+NEVER = 2.0
 
 
 @dataclass
@@ -70,16 +80,39 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, rounds: int = 25) ->
     return w
 
 
-def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold of best F1 on out-of-fold probabilities."""
-    if not y.any():
-        return 0.5
-    order = np.argsort(-p)
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(p) + 1) + y.sum())
-    i = int(np.argmax(f1))
-    low = p[order[i + 1]] if i + 1 < len(p) else 0.0
-    return float((p[order[i]] + low) / 2)
+def _best_threshold(p: np.ndarray, y: np.ndarray, able: np.ndarray | None = None, least: int = LEAST_POSITIVES) -> float:
+    """The threshold of best F1 on out-of-fold probabilities, of those with a precision of at least ``LEAST_PRECISION``.
+
+    ``able`` marks the rows that can get the category at all; ties of probabilities are decided alike.
+    """
+    able = np.ones(len(p), bool) if able is None else able
+    if y.sum() < least or not able.any():
+        return NEVER
+    order = np.flatnonzero(able)
+    order = order[np.argsort(-p[order], kind="stable")]
+    q, hit = p[order], np.cumsum(y[order])
+    n = np.arange(1, len(order) + 1)
+    last = np.append(q[1:] != q[:-1], True)
+    good = last & (hit >= LEAST_PRECISION * n) & (hit > 0)
+    if not good.any():
+        return NEVER
+    i = int(np.argmax(np.where(good, 2 * hit / (n + y.sum()), -1)))
+    low = q[i + 1] if i + 1 < len(q) else 0.0
+    return float((q[i] + low) / 2)
+
+
+def _cut(j: int, p: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A part's probability within what earlier parts leave of the first category's."""
+    return p if j == 0 else np.minimum(p, np.maximum(before[:, 0] - before[:, 1:j].sum(1), 0))
+
+
+def decided(p: np.ndarray, threshold: list[float]) -> np.ndarray:
+    """(rows, categories) verdicts from probabilities: parts only of what is toxic, the more probable one."""
+    out = p >= np.array(threshold)
+    best = p[:, 1:].argmax(1) if p.shape[1] > 1 else np.zeros(len(p), int)
+    for j in range(1, p.shape[1]):
+        out[:, j] &= out[:, 0] & (best == j - 1)
+    return out
 
 
 def _choose(word_of: np.ndarray, row_of: np.ndarray, targets: list[np.ndarray], n: int, most: int) -> np.ndarray:
@@ -142,8 +175,11 @@ def train_chain(hashes: list[np.ndarray], labels: dict[str, np.ndarray], most_wo
             if mine.any():
                 v = _fit(full[rest], y[rest])
                 out[mine] = _sigmoid(full[mine] @ v[:-1] + v[-1])
-        chain.threshold.append(_best_threshold(out, y))
-        before = np.column_stack([before, out])
+        before = np.column_stack([before, _cut(len(chain.bias) - 1, out, before)])
+    best = before[:, 1:].argmax(1) if n else np.zeros(0, int)
+    for j, y in enumerate(targets):
+        able = None if j == 0 else (before[:, 0] >= chain.threshold[0]) & (best == j - 1)
+        chain.threshold.append(_best_threshold(before[:, j], y, able, LEAST_OF_PART if j else LEAST_POSITIVES))
     return chain
 
 
@@ -162,7 +198,7 @@ def predict(chain: Chain, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out = np.zeros((n, len(chain.weights)))
     for j, w in enumerate(chain.weights):
         z = np.bincount(doc, w[at], n) + out[:, :j] @ chain.earlier[j] + chain.bias[j]
-        out[:, j] = _sigmoid(z)
+        out[:, j] = _cut(j, _sigmoid(z), out)
     return out
 
 
@@ -170,26 +206,30 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ta.word_hashes(*ta.flat_bytes(column, lower=True))
 
 
-def _train_task(batches):
-    for batch in batches:
-        text = batch.column("text")
-        for a, b in ta.slices(text):
-            h, at = ta.distinct(*_words(text.slice(a, b - a)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("low_quality").slice(a, b - a), batch.column("toxic").slice(a, b - a), batch.column("place").slice(a, b - a), pa.array([h[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())],
-                ["low_quality", "toxic", "place", "words"],
-            )
+def _train_task(most: int):
+    names = ["id", "low_quality", "toxic", "place"]
 
+    def task(batches):
+        for batch in batches:
+            text = batch.column("text")
+            for a, b in ta.slices(text):
+                h, at = ta.distinct(*_words(text.slice(a, b - a)))  # sorted in each text
+                words = pa.array([h[i : min(j, i + most)].tobytes() for i, j in zip(at, at[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in names), words], [*names, "words"])
+
+    return task
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS) -> Chain:
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS, most_text_words: int = MOST_TEXT_WORDS) -> Chain:
     """Draw the sample of labelled rows and fit the chain on it."""
     named = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("x"))
     place = F.xxhash64("id", F.lit("sample"))
     sample = named.filter("id is not null and q is not null and x is not null").groupBy("id").agg(F.min("q").alias("q"), F.max("x").alias("x"))
     sample = sample.withColumn("place", place).orderBy("place", "id").limit(most_rows)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(docs, text).alias("text"))
-    joined = rows.join(F.broadcast(sample), "id").select((F.col("q") == 0).alias("low_quality"), (F.col("x") == 1).alias("toxic"), "place", "text")  # most_rows rows at most
-    table = joined.mapInArrow(trimmed(_train_task), "low_quality boolean, toxic boolean, place long, words binary").toArrow()
+    joined = rows.join(F.broadcast(sample), "id").select("id", (F.col("q") == 0).alias("low_quality"), (F.col("x") == 1).alias("toxic"), "place", "text")  # most_rows rows in the sample
+    found = joined.mapInArrow(trimmed(_train_task(most_text_words)), "id long, low_quality boolean, toxic boolean, place long, words binary")
+    table = found.groupBy("place", "id", "low_quality", "toxic").agg(F.min("words").alias("words")).toArrow()  # a row an id
     order = np.argsort(np.asarray(table.column("place")), kind="stable") if table.num_rows else []
     words = table.column("words").to_pylist()
     hashes = [np.frombuffer(words[i], np.uint64) for i in order]
@@ -203,7 +243,9 @@ def _score_task(chain):
             text = batch.column("text")
             for a, b in ta.slices(text):
                 p = predict(chain.value, *_words(text.slice(a, b - a)))
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), *[pa.array(p[:, j]) for j in range(p.shape[1])]], ["row", *[f"p_{c}" for c in CATEGORIES]])
+                verdicts = decided(p, chain.value.threshold)
+                columns = [pa.array(m[:, j]) for m in (p, verdicts) for j in range(len(CATEGORIES))]
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), *columns], ["row", *[f"{k}_{c}" for k in ("p", "is") for c in CATEGORIES]])
 
     return task
 
@@ -216,5 +258,6 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str] | N
     schema = rows.select("row").schema
     for c in CATEGORIES:
         schema = schema.add(f"p_{c}", "double")
-    out = rows.mapInArrow(trimmed(_score_task(docs.sparkSession.sparkContext.broadcast(chain))), schema)
-    return out.select("*", *[(F.col(f"p_{c}") >= t).alias(f"is_{c}") for c, t in zip(CATEGORIES, chain.threshold)])
+    for c in CATEGORIES:
+        schema = schema.add(f"is_{c}", "boolean")
+    return rows.mapInArrow(trimmed(_score_task(docs.sparkSession.sparkContext.broadcast(chain))), schema)

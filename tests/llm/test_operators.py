@@ -294,7 +294,8 @@ def test_toxicity_chain():
         own, before = h(texts[600 + r]), []
         for w, e, b in zip(chain.weights, chain.earlier, chain.bias):
             z = sum(w[i] for i, x in enumerate(chain.words) if x in own) + sum(x * y for x, y in zip(e, before)) + b
-            before.append(1 / (1 + np.exp(-z)))
+            left = before[0] - sum(before[1:]) if before else 1.0  # a part is never above what is left of the whole
+            before.append(min(1 / (1 + np.exp(-z)), max(left, 0.0)))
         assert np.allclose(before, p[r])
 
 
@@ -306,12 +307,43 @@ def test_toxicity_categories_differ():
     texts = [prose(rng, 40, pool) + " awful" * t + " zzz" * q for t, q in zip(toxic, low)]
     chain = toxicity_chain.train_chain([h(t) for t in texts[:900]], {"toxic": np.array(toxic[:900]), "low_quality": np.array(low[:900])})
     words, bounds = textarrays.word_hashes(*textarrays.flat_bytes(pa.array(texts[900:]), lower=True))
-    got = toxicity_chain.predict(chain, words, bounds) >= np.array(chain.threshold)
+    got = toxicity_chain.decided(toxicity_chain.predict(chain, words, bounds), chain.threshold)
     t, q = np.array(toxic[900:]), np.array(low[900:])
     for j, want in enumerate((t, t & q, t & ~q)):
         assert np.mean(got[:, j] == want) > 0.97
 
 
+def test_toxicity_does_not_contradict_itself(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    told = {r.doc_id: (r.toxic == 1, r.toxic == 1 and r.quality == 0, r.toxic == 1 and r.quality == 1) for r in labels.collect()}
+    for rest in (None, 0, 1):  # trained on all labels, and on those of one half of the ids
+        sample = labels if rest is None else labels.filter(f"xxhash64(doc_id) % 2 {'=' if rest else '<>'} 0")
+        known = {r.doc_id for r in sample.collect()} if rest is not None else set()
+        rows = toxicity_chain.score(docs, toxicity_chain.train(docs, sample), keep=["doc_id"]).collect()
+        hit, found = [0, 0, 0], [0, 0, 0]
+        for r in rows:
+            assert r.p_toxic_spam + r.p_toxic_prose <= r.p_toxic + 1e-9
+            assert r.is_toxic or not (r.is_toxic_spam or r.is_toxic_prose)
+            assert not (r.is_toxic_spam and r.is_toxic_prose)
+            if r.row.doc_id in told and r.row.doc_id not in known:
+                for j, v in enumerate((r.is_toxic, r.is_toxic_spam, r.is_toxic_prose)):
+                    found[j] += v
+                    hit[j] += v and told[r.row.doc_id][j]
+        assert found[0] >= 10 and all(2 * h >= n for h, n in zip(hit, found)), (hit, found)
+        assert 0.9 * found[0] <= hit[0]
+
+
+def test_a_category_of_few_examples_is_not_decided():
+    p, y = np.linspace(0, 1, 100), np.zeros(100)
+    y[-9:] = 1
+    assert toxicity_chain._best_threshold(p, y) == toxicity_chain.NEVER
+    y[-10:] = 1
+    assert 0.89 < toxicity_chain._best_threshold(p, y) < 0.92
+    assert toxicity_chain._best_threshold(p, y[::-1]) == toxicity_chain.NEVER  # no threshold of half precision
+    assert toxicity_chain._best_threshold(np.full(100, 0.1), y) == toxicity_chain.NEVER  # ties are decided alike
+
+
 def test_toxicity_without_labels(spark, odd):
     docs = frame(spark, odd)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
