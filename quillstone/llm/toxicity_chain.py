@@ -6,10 +6,11 @@ categories come from the two labels of a row alone, not from its words: ``toxic`
 ``toxic_prose``, toxic and of good quality.
 
 The last two are parts of the first and exclude each other. Their probabilities are therefore cut to what is left of that of ``toxic``, in
-training as in scoring, and a document gets one of them at most, the more probable, and only if it is toxic itself.
+training as in scoring, and a document gets one of them at most, the first in the chain that reaches its threshold, and only if it is toxic itself.
 
-A category is decided at the threshold of best F1 among those at which at least ``LEAST_PRECISION`` of the out-of-fold decisions are right; one with fewer
-than ``LEAST_POSITIVES`` examples (``LEAST_OF_PART`` for a part), or without such a threshold, is not decided: its probability is given, and no document gets it.
+A category is decided at the threshold of best F1 among those at which at least ``LEAST_PRECISION`` of the out-of-fold decisions are right, even if the
+right ones were fewer by their square root; one with fewer
+than ``LEAST_POSITIVES`` examples, or without such a threshold, is not decided: its probability is given, and no document gets it.
 
 The models are trained on the driver from a sample of labelled rows of at most ``most_rows`` ids, the lowest by a hash of the
 id, and of at most ``most_text_words`` distinct words a row, the lowest by hash: documented bounds. Words are chosen by a chi-square test, at most ``most_words``. Every
@@ -36,7 +37,7 @@ from .common import bounded_batches, text_of, trimmed
 CATEGORIES = ("toxic", "toxic_spam", "toxic_prose")
 MOST_ROWS, MOST_WORDS, FOLDS = 5_000, 400, 5
 LEAST_CHI2, LEAST_DOCS = 30.0, 5
-LEAST_PRECISION, LEAST_POSITIVES, LEAST_OF_PART = 0.5, 10, 50
+LEAST_PRECISION, LEAST_POSITIVES = 0.5, 10
 MOST_TEXT_WORDS = 20_000
 #: The threshold of a category that is not decided.
 NEVER = 2.0
@@ -80,20 +81,20 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, rounds: int = 25) ->
     return w
 
 
-def _best_threshold(p: np.ndarray, y: np.ndarray, able: np.ndarray | None = None, least: int = LEAST_POSITIVES) -> float:
-    """The threshold of best F1 on out-of-fold probabilities, of those with a precision of at least ``LEAST_PRECISION``.
+def _best_threshold(p: np.ndarray, y: np.ndarray, able: np.ndarray | None = None) -> float:
+    """The threshold of best F1 on out-of-fold probabilities, of those with a precision of at least ``LEAST_PRECISION``, chance taken off.
 
     ``able`` marks the rows that can get the category at all; ties of probabilities are decided alike.
     """
     able = np.ones(len(p), bool) if able is None else able
-    if y.sum() < least or not able.any():
+    if y.sum() < LEAST_POSITIVES or not able.any():
         return NEVER
     order = np.flatnonzero(able)
     order = order[np.argsort(-p[order], kind="stable")]
     q, hit = p[order], np.cumsum(y[order])
     n = np.arange(1, len(order) + 1)
     last = np.append(q[1:] != q[:-1], True)
-    good = last & (hit >= LEAST_PRECISION * n) & (hit > 0)
+    good = last & (hit - np.sqrt(hit) >= LEAST_PRECISION * n) & (hit > 0)
     if not good.any():
         return NEVER
     i = int(np.argmax(np.where(good, 2 * hit / (n + y.sum()), -1)))
@@ -107,11 +108,10 @@ def _cut(j: int, p: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def decided(p: np.ndarray, threshold: list[float]) -> np.ndarray:
-    """(rows, categories) verdicts from probabilities: parts only of what is toxic, the more probable one."""
+    """(rows, categories) verdicts from probabilities: parts only of what is toxic, the first in the chain that reaches its threshold."""
     out = p >= np.array(threshold)
-    best = p[:, 1:].argmax(1) if p.shape[1] > 1 else np.zeros(len(p), int)
     for j in range(1, p.shape[1]):
-        out[:, j] &= out[:, 0] & (best == j - 1)
+        out[:, j] &= out[:, 0] & ~out[:, 1:j].any(1)
     return out
 
 
@@ -176,10 +176,10 @@ def train_chain(hashes: list[np.ndarray], labels: dict[str, np.ndarray], most_wo
                 v = _fit(full[rest], y[rest])
                 out[mine] = _sigmoid(full[mine] @ v[:-1] + v[-1])
         before = np.column_stack([before, _cut(len(chain.bias) - 1, out, before)])
-    best = before[:, 1:].argmax(1) if n else np.zeros(0, int)
     for j, y in enumerate(targets):
-        able = None if j == 0 else (before[:, 0] >= chain.threshold[0]) & (best == j - 1)
-        chain.threshold.append(_best_threshold(before[:, j], y, able, LEAST_OF_PART if j else LEAST_POSITIVES))
+        so_far = decided(before[:, :j], chain.threshold)
+        able = so_far[:, 0] & ~so_far[:, 1:].any(1) if j else None
+        chain.threshold.append(_best_threshold(before[:, j], y, able))
     return chain
 
 
