@@ -1,8 +1,9 @@
 """Generation around a generator boundary: coverage plans, prompts, batches, summary rounds, repair, final content.
 
 A generator is a function from calls (run_id, call_no, item_count, prompt) to answers (run_id, call_no, raw), ``raw`` being JSON text or
-null. It sees all calls of a step as one frame, so it can be a pandas UDF on any number of executors. A ``keep`` function (such as a write
-to a table that is read back) stands behind each step that calls it, so that an answer is asked for once; by default nothing is kept.
+null. It sees all calls of a step as one frame, so it can be a pandas UDF on any number of executors. A ``keep`` function stands behind each step that
+calls it, so that an answer is asked for once and no plan holds the steps before it twice; by default (:func:`kept`) it writes a table and
+reads it again.
 Runs and documents are bounded (a request yields a hundred items at most); windows and lists here are by run or by document.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
+from ..tables import shared_folder, written
 from . import citations as C
 from . import dedup as D
 from . import diagnostics as Q
@@ -47,8 +49,9 @@ SOURCE = "struct<chunk_id: string, extracto: string, seccion: string, breadcrumb
 ANSWER = f"array<struct<{_TEXTS}, fuentes: array<{SOURCE}>, item_index: int>>"
 
 
-def _same(frame: DataFrame) -> DataFrame:
-    return frame
+def kept(frame: DataFrame) -> DataFrame:
+    """The frame as a written table in the shared folder."""
+    return written(frame, shared_folder(frame.sparkSession, "generation"))
 
 
 def as_item(c: Column) -> Column:
@@ -86,12 +89,13 @@ def planned_chunks(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.drop("plain", "prose", "any_plain", "any_prose", "first")
 
 
-def coverage_plan(chunks: DataFrame, requests: DataFrame) -> DataFrame:
+def coverage_plan(chunks: DataFrame, requests: DataFrame, planned: DataFrame | None = None) -> DataFrame:
     """(document_id, strategy, section_no, section_title, n_chunks, allocated_items, primary_chunk_id, page_number, capacity, viable, warning).
 
     One row a section, its items in proportion to its characters; for summaries one row a document. Only short texts cap what was asked.
+    ``planned`` is what :func:`planned_chunks` gives, where it is at hand.
     """
-    rows = planned_chunks(chunks, requests)
+    rows = planned_chunks(chunks, requests) if planned is None else planned
     named, paged = F.coalesce("chunk_id", F.lit("")) != "", F.col("page_number") > 0
     same = ["strategy", "fmt", "requested", "language", "total_chars"]
     sections = rows.groupBy("document_id", "section_no", "section_title").agg(
@@ -168,13 +172,15 @@ def _answered(calls: DataFrame, generator: Generator, keep) -> DataFrame:
     return calls.join(answers, ["run_id", "call_no"], "left").withColumn("found", F.when(F.size("found") > 0, F.col("found")))
 
 
-def generated(topics: DataFrame, requests: DataFrame, generator: Generator, template: str, fmt: str, keep=_same) -> DataFrame:
+def generated(topics: DataFrame, requests: DataFrame, generator: Generator, template: str, fmt: str, keep=kept) -> DataFrame:
     """(run_id, item_idx, item, fuentes, es_fallback): the items of each run.
 
     topics: run_id, topic_no, topic, context, chunk_id, page, chunk_info, target_items. requests: run_id, target. Up to ten items over several
-    topics are asked for in one call. Where that gives nothing, and for more items, each topic is asked for its share, never more than a
-    batch or what the topics before it leave; answers that can't be read give way to stand-ins, and topics whose predecessors have reached
-    the target give nothing. Topics are asked at once, so a share counts what those before were asked for, not what they answered.
+    topics are asked for in one call. Where that gives nothing, and for more items, each topic is asked in turn for its share, never more than a
+    batch or what is still missing; answers that can't be read give way to stand-ins, and once the target is reached no topic is asked.
+
+    What a topic is asked for depends on what came before it. All topics are asked at once as if every answer had the length asked for; then each run
+    is walked again with the answers that came, and only topics for which that changes the number are asked once more (see :func:`_walked`).
     """
     rows = topics.join(requests, "run_id").withColumn("n_topics", F.count("*").over(Window.partitionBy("run_id")))
     sorted_ = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("topic_no", F.col(c).alias("x")))), lambda s: s["x"])
@@ -189,13 +195,17 @@ def generated(topics: DataFrame, requests: DataFrame, generator: Generator, temp
 
     rest = rows.join(whole.select("run_id"), "run_id", "left_anti")
     share = F.least(F.coalesce("target_items", L.batch_size(F.col("target"))), L.batch_size(F.col("target"))).cast("long")
-    before = Window.partitionBy("run_id").orderBy("topic_no").rowsBetween(Window.unboundedPreceding, -1)
-    rest = rest.withColumn("share", share).withColumn("item_count", F.least("share", F.col("target") - F.coalesce(F.sum("share").over(before), F.lit(0))))
-    rest = rest.filter("item_count > 0").withColumn("call_no", F.col("topic_no").cast("int"))
-    calls = rest.withColumn("prompt", _prompt(template, F.col("topic"), F.col("chunk_info")))
-    asked = _answered(calls, generator, keep).withColumn("n", F.coalesce(F.size("found"), F.col("item_count")).cast("long"))
-    asked = asked.withColumn("n", F.when(F.col("found").isNull(), F.col("item_count")).otherwise(F.size("found")))
-    asked = asked.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("before < target")
+    rest = keep(rest.withColumn("share", share))
+    answers = None
+    while True:
+        walked = _walked(rest, answers)
+        ask = walked.filter("not known").drop("known", "before")
+        if not (answers is None or ask.head(1)):
+            break
+        calls = rest.join(ask, ["run_id", "topic_no"]).withColumn("call_no", F.col("topic_no").cast("int")).withColumn("prompt", _prompt(template, F.col("topic"), F.col("chunk_info")))
+        new = keep(_answered(calls, generator, keep).select("run_id", "topic_no", "item_count", "found"))
+        answers = new if answers is None else answers.unionByName(new)
+    asked = rest.join(walked, ["run_id", "topic_no"]).join(answers, ["run_id", "topic_no", "item_count"])
     read = asked.filter("found is not null").select("run_id", "before", F.posexplode("found").alias("k", "i")).select("run_id", (F.col("before") + F.col("k")).alias("item_idx"), "i", F.lit(False).alias("es_fallback"))
     lost = asked.filter("found is null").withColumn("item_idx", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("item_count") - 1)))
     stand_ins = I.fallback_items(lost, fmt).select("run_id", "item_idx", F.from_json(F.to_json("item"), ANSWER[len("array<") : -1]).alias("i"), "es_fallback", _own_source().alias("s"))
@@ -203,6 +213,33 @@ def generated(topics: DataFrame, requests: DataFrame, generator: Generator, temp
     return items.unionByName(stand_ins.select("run_id", "item_idx", as_item(F.col("i")).alias("item"), F.array("s").alias("fuentes"), "es_fallback"))
 
 
+def _walked(rest: DataFrame, answers: DataFrame | None) -> DataFrame:
+    """(run_id, topic_no, item_count, before, known): the topics that are asked, in turn, for what is missing then, and whether that answer is there.
+
+    rest: run_id, topic_no, share, target. answers: run_id, topic_no, item_count, found. An answer that is not there yet counts as what is asked for, as
+    does one that can't be read. A run's topics are few, and only their numbers are gathered.
+    """
+    none = F.lit(None).cast("array<struct<asked:bigint,n:bigint>>")
+    rows = rest.select("run_id", "topic_no", "share", F.col("target").cast("long").alias("target"))
+    if answers is None:
+        rows = rows.withColumn("came", none)
+    else:
+        length = F.when(F.col("found").isNull(), F.col("item_count")).otherwise(F.size("found")).cast("long")
+        told = answers.groupBy("run_id", "topic_no").agg(F.collect_list(F.struct(F.col("item_count").cast("long").alias("asked"), length.alias("n"))).alias("came"))
+        rows = rows.join(told, ["run_id", "topic_no"], "left")
+    runs = rows.groupBy("run_id").agg(F.any_value("target").alias("target"), F.array_sort(F.collect_list(F.struct("topic_no", "share", "came"))).alias("topics"))
+    kind = rest.schema["topic_no"].dataType.simpleString()
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast(f"array<struct<topic_no:{kind},item_count:bigint,before:bigint,known:boolean>>").alias("out"))
+
+    def step(state: Column, topic: Column) -> Column:
+        want = F.least(topic["share"], F.col("target") - state["n"])
+        came = F.get(F.filter(topic["came"], lambda a: a["asked"] == want), F.lit(0))["n"]
+        row = F.struct(topic["topic_no"].alias("topic_no"), want.alias("item_count"), state["n"].alias("before"), came.isNotNull().alias("known"))
+        return F.when(want > 0, F.struct((state["n"] + F.coalesce(came, want)).alias("n"), F.concat(state["out"], F.array(row)).alias("out"))).otherwise(state)
+
+    return runs.select("run_id", F.inline(F.aggregate("topics", start, step)["out"]))
+
+
 def _prompt(template: str, topic: Column, info: Column) -> Column:
     return filled(template, topic=topic, item_count=F.col("item_count"), chunk_info=braces_doubled(info))
 
@@ -218,7 +255,7 @@ def sources_of(items: DataFrame, order: str = "item_idx") -> DataFrame:
     return s.select("run_id", order, "source_no", F.col("s.chunk_id").alias("chunk_id"), F.col("s.extracto").alias("extracto"), F.col("s.seccion").alias("section"), F.col("s.breadcrumb").alias("breadcrumb"), F.col("s.pagina").alias("page"))
 
 
-def summary_points(shown: DataFrame, requests: DataFrame, generator: Generator, template: str, rounds: int = SUMMARY_ROUNDS, keep=_same) -> DataFrame:
+def summary_points(shown: DataFrame, requests: DataFrame, generator: Generator, template: str, rounds: int = SUMMARY_ROUNDS, keep=kept) -> DataFrame:
     """(run_id, item_idx, item, fuentes): points of summaries over whole documents.
 
     shown: run_id and the columns of :func:`excerpts`. requests: run_id, target, title. Up to three rounds ask for what is missing, later
@@ -256,7 +293,7 @@ def summary_points(shown: DataFrame, requests: DataFrame, generator: Generator,
 # Repair ---------------------------------------------------------------------------------------------------------
 
 
-def repaired(items: DataFrame, records: DataFrame, passages: DataFrame, chunks: DataFrame, targets: DataFrame, topics: DataFrame, generator: Generator, critic, fmt: str, language: str = "Spanish", keep=_same) -> tuple[DataFrame, DataFrame]:
+def repaired(items: DataFrame, records: DataFrame, passages: DataFrame, chunks: DataFrame, targets: DataFrame, topics: DataFrame, generator: Generator, critic, fmt: str, language: str = "Spanish", keep=kept) -> tuple[DataFrame, DataFrame]:
     """Items and records after one round of repair.
 
     items: run_id, gid, item_idx, item, fuentes, grounded, repaired, es_fallback. records: run_id, gid, verified, clarity, issues. passages,
@@ -283,14 +320,14 @@ def repaired(items: DataFrame, records: DataFrame, passages: DataFrame, chunks:
     # A new verdict takes the place of an old one; an item that had none is not given one.
     renewed = old.unionByName(fresh.join(records.select("run_id", "gid"), ["run_id", "gid"], "left_semi").select(*records.columns))
     untouched = items.join(again.select("run_id", "gid"), ["run_id", "gid"], "left_anti")
-    judged = I.item_texts(again.unionByName(untouched).join(records.select("run_id", "gid", "clarity", F.col("verified").alias("vote")), ["run_id", "gid"], "left"))
+    judged = keep(I.item_texts(again.unionByName(untouched).join(records.select("run_id", "gid", "clarity", F.col("verified").alias("vote")), ["run_id", "gid"], "left")))
     bad = I.is_garbage(judged, clarity=F.col("clarity"), reviewer=F.col("vote"), lexical=F.col("grounded"))
     kept = judged.filter(~(F.col("repaired") & (bad | ~F.col("grounded")))).select(*items.columns)
     if fmt == "executive_summary":
         return kept, renewed
     more = G.completion(kept, topics, targets, fmt=fmt).withColumn("gid", F.concat(F.lit("replace_"), F.col("item_idx").cast("string")))
     more = more.select("run_id", "gid", (F.col("item_idx") + 1_000_000).alias("item_idx"), as_item(F.col("item")).alias("item"), F.array(_own_source()).alias("fuentes"), F.lit(False).alias("grounded"), F.lit(False).alias("repaired"), "es_fallback")
-    more = I.item_texts(_verified(more.select(*items.columns), passages, chunks, language))
+    more = keep(I.item_texts(_verified(keep(more.select(*items.columns)), passages, chunks, language)))
     return kept.unionByName(more.filter(F.col("grounded") & ~I.is_garbage(more)).select(*items.columns)), renewed
 
 
@@ -299,7 +336,7 @@ def _verified(items: DataFrame, passages: DataFrame, chunks: DataFrame, language
     own = ["run_id", "chunk_id", "content", "nth"]
     rest = chunks.join(passages.select("run_id", "chunk_id"), ["run_id", "chunk_id"], "left_anti").select(*own).withColumn("nth", F.struct(F.lit(1).alias("late"), "nth"))
     all_ = passages.select(*own).withColumn("nth", F.struct(F.lit(0).alias("late"), "nth")).unionByName(rest)
-    texts = I.item_texts(items)
+    texts = kept(I.item_texts(items))
     verdicts = G.verify(texts, sources_of(items, "gid"), all_, key="gid", language=language, order="nth")
     return G.grounded(items.drop("grounded"), verdicts, key="gid").select(*items.columns)
 
@@ -307,13 +344,14 @@ def _verified(items: DataFrame, passages: DataFrame, chunks: DataFrame, language
 # Final content --------------------------------------------------------------------------------------------------
 
 
-def published(items: DataFrame, records: DataFrame, targets: DataFrame, fmt: str) -> DataFrame:
+def published(items: DataFrame, records: DataFrame, targets: DataFrame, fmt: str, keep=kept) -> DataFrame:
     """Items to publish, with nth from 0 and their record: (…, nth, lexical, reviewer, verified, clarity, issues).
 
     targets: run_id, target, language, clarity (of the whole output, may be null). Garbage goes, then what exceeds the target; of summaries
     also what repeats an earlier point, and stand-ins. A missing vote counts as yes.
     """
-    rows = I.item_texts(items.join(records.select("run_id", "gid", F.col("verified").alias("vote"), F.col("clarity").alias("own"), "issues"), ["run_id", "gid"], "left"))
+    # a filter on texts would be pushed below them, with a copy of their expressions at each place that names them
+    rows = keep(I.item_texts(items.join(records.select("run_id", "gid", F.col("verified").alias("vote"), F.col("clarity").alias("own"), "issues"), ["run_id", "gid"], "left")))
     rows = rows.filter(~I.is_garbage(rows, clarity=F.col("own"), reviewer=F.col("vote"), lexical=F.col("grounded")))
     by = Window.partitionBy("run_id").orderBy("item_idx")
     rows = rows.join(targets.select("run_id", "target", "language", "clarity"), "run_id").withColumn("nth", F.row_number().over(by) - 1).filter("nth < target")

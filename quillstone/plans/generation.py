@@ -77,9 +77,10 @@ def _echo(calls):
 @query()
 def generated_batches(t: Tables):
     """Items of runs by batches, stand-ins where an answer can't be read."""
-    planned = X.planned_chunks(*_planned(t)).filter("strategy = 'distributed'")
+    chunks, requests = _planned(t)
+    planned = X.kept(X.planned_chunks(chunks, requests).filter("strategy = 'distributed'"))
     info = X.joined_blocks(X.excerpts(planned), ["document_id", "section_no"])
-    plan = X.coverage_plan(*_planned(t)).filter("strategy = 'distributed'").join(info, ["document_id", "section_no"])
+    plan = X.kept(X.coverage_plan(chunks, requests, planned).join(info, ["document_id", "section_no"]))
     topics = plan.select(
         F.col("document_id").alias("run_id"), F.col("section_no").alias("topic_no"), F.col("section_title").alias("topic"), F.col("chunk_info").alias("context"), F.col("primary_chunk_id").alias("chunk_id"), F.col("page_number").alias("page"),
         "chunk_info", F.col("allocated_items").alias("target_items"),
