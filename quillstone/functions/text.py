@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -31,6 +32,11 @@ SPANISH_STOPWORDS = (
 ACCENTS = ("áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it: expressions with lambdas are not freed of common parts."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(F.regexp_replace(c, r"^[\s\u00a0]+", ""), r"[\s\u00a0]+$", "")
@@ -38,11 +44,12 @@ def strip(c: Column) -> Column:
 
 def normalize_characters(c: Column) -> Column:
     """Ligatures become letters, special spaces a space, invisible characters nothing; words that lost a ligature are repaired."""
-    c = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), LIGATURES.items(), c)
-    c = F.translate(c, SPACES + INVISIBLE, " " * len(SPACES))
-    mended = reduce(lambda x, kv: F.regexp_replace(x, rf"(?iu)\b{kv[0]}\b", kv[1]), BROKEN_LIGATURES.items(), c)
-    broken = F.lower(c).rlike(r"(?u)\b(?:" + "|".join(BROKEN_LIGATURES) + r")\b")
-    return F.when(broken, mended).otherwise(c)
+    signs = lambda x: reduce(lambda y, kv: F.replace(y, F.lit(kv[0]), F.lit(kv[1])), LIGATURES.items(), F.translate(x, SPACES + INVISIBLE, " " * len(SPACES)))
+    mended = lambda x: reduce(lambda y, kv: F.regexp_replace(y, rf"(?iu)\b{kv[0]}\b", kv[1]), BROKEN_LIGATURES.items(), x)
+    # what most texts lack is looked for first, in one pass each
+    c = bound(c, lambda x: F.when(x.rlike(f"[{''.join(LIGATURES)}{SPACES}{INVISIBLE}]"), signs(x)).otherwise(x))
+    broken = r"(?u)\b(?:" + "|".join(BROKEN_LIGATURES) + r")\b"
+    return bound(c, lambda x: F.when(F.lower(x).rlike(broken), mended(x)).otherwise(x))
 
 
 def normalized_count(c: Column) -> Column:
@@ -95,46 +102,47 @@ def collapse_whitespace(c: Column) -> Column:
     blank line in a row."""
 
     def line(x: Column) -> Column:
-        right = F.regexp_replace(x, r"\s+$", "")
-        indent = F.regexp_extract(right, r"^[ \t]*", 0)
-        body = F.regexp_replace(F.regexp_replace(right, r"^[ \t]*", ""), r"[ \t]+", " ")
-        return F.when(F.ltrim(x).startswith("|"), right).otherwise(F.concat(indent, body))
+        return bound(F.regexp_replace(x, r"\s+$", ""), lambda right: F.when(F.ltrim(x).startswith("|"), right).otherwise(inner(right)))
+
+    def inner(right: Column) -> Column:
+        # blanks behind a sign that is none become one, where there are two or a tab
+        return F.when(right.rlike(r"[^ \t][ \t]*(?:\t|  )[ \t]*[^ \t]"), F.regexp_replace(right, r"(?<=[^ \t])[ \t]+", " ")).otherwise(right)
 
     return F.regexp_replace(F.array_join(F.transform(F.split(c, "\n"), line), "\n"), r"\n{3,}", "\n\n")
 
 
 def scrub_pdf_artifacts(c: Column) -> Column:
     """Without control characters, PDF streams, dictionaries, objects, and lines with PDF tokens."""
-    c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufffd]", "")
-    for pattern in (
+    patterns = (
         r"(?i)stream[\s\S]*?endstream",
         r"<<[\s\S]*?>>",
         r"(?i)\d+\s+\d+\s+obj[\s\S]*?endobj",
         r"(?im)^.*(?:%PDF-|\b\d+\s+\d+\s+R\b|/FlateDecode|/Filter\b|/FontDescriptor\b|/MediaBox\b|/Parent\b|/Catalog\b|/Length\b|startxref|%%EOF|xref\b|trailer\b).*$",
         r"(?i)(?:%?\s*startxref[\s\d]*|%%EOF|xref\s*\d+\s*\d+|\b\d{5,}\b(?=\s*$|\s*R\b))",
-    ):
-        c = F.regexp_replace(c, pattern, "")
-    return c
+    )
+    # no pattern matches a text without one of these: most texts are read once
+    some = r"(?i)endstream|<<|endobj|%PDF-|/(?:FlateDecode|Filter|FontDescriptor|MediaBox|Parent|Catalog|Length)\b|xref|%%EOF|trailer|\d\s+R\b|\d{5}"
+    c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufffd]", "")
+    return bound(c, lambda x: F.when(x.rlike(some), reduce(lambda y, p: F.regexp_replace(y, p, ""), patterns, x)).otherwise(x))
 
 
 def clean_text(c: Column, strip_markdown: bool = False) -> Column:
     """The whole cleaning; stretches between code fences are cleaned, fenced ones stay as they are."""
-    c = unify_line_ends(normalize_characters(scrub_pdf_artifacts(c)))
-    parts = F.split(c, r"(?m)(?=^[ \t]*```)", -1)
-
     def prose(x: Column) -> Column:
         x = join_hyphenated_lines(drop_page_number_lines(x))
         return collapse_whitespace(strip_markdown_markers(x) if strip_markdown else x)
 
     # a part that opens with a fence holds code if an odd number of fences has been met, else its first line closes it
-    numbered = F.transform(parts, lambda x, i: F.struct(x.alias("x"), F.size(F.filter(F.slice(parts, 1, i + 1), lambda y: F.ltrim(y).startswith("```"))).alias("n")))
+    def numbered(parts: Column) -> Column:
+        return F.transform(parts, lambda x, i: F.struct(x.alias("x"), F.size(F.filter(F.slice(parts, 1, i + 1), lambda y: F.ltrim(y).startswith("```"))).alias("n")))
 
     def one(p: Column) -> Column:
         closing = (p["n"] % 2 == 0) & F.ltrim(p["x"]).startswith("```")
         head = F.regexp_extract(p["x"], r"^[^\n]*\n?", 0)
         return F.when(p["n"] % 2 == 1, p["x"]).when(closing, F.concat(head, prose(F.substr(p["x"], F.length(head) + 1)))).otherwise(prose(p["x"]))
 
-    return strip(F.array_join(F.transform(numbered, one), ""))
+    parts = F.split(unify_line_ends(normalize_characters(scrub_pdf_artifacts(c))), r"(?m)(?=^[ \t]*```)", -1)
+    return strip(bound(parts, lambda ps: F.array_join(F.transform(numbered(ps), one), "")))
 
 
 def clean_title(c: Column) -> Column:
