@@ -149,3 +149,44 @@ def stored_summaries(t: Tables):
 def focused_windows(t: Tables):
     """Windows around a passage, cut at sentences or words."""
     return t.documents.select("doc_id", F.length(T.context_window(F.col("text"), 300, F.substring("text", 500, 40))).alias("chars"))
+
+
+_RAW = """CASE doc_id % 8
+ WHEN 0 THEN '{"frente": "' || source || '", "dorso": "' || lang || '", "fuentes": [{"chunk_id": "c' || doc_id || '", "extracto": "x", "pagina": ' || doc_id || '}]}'
+ WHEN 1 THEN '{"front": "' || source || '", "back": "b", "frente": "first", "pista_didactica": null}'
+ WHEN 2 THEN '{"frente": "' || source || '"}'
+ WHEN 3 THEN '{"frente": ' || doc_id || ', "dorso": ["' || lang || '"], "fuentes": {}}'
+ WHEN 4 THEN 'no json from ' || source
+ WHEN 5 THEN '```json' || chr(10) || '{"frente": "f", "dorso": "' || lang || '", "extra": 1}' || chr(10) || '```'
+ WHEN 6 THEN '{"frente": "f", "dorso": "d", "fuentes": [{"chunk_id": "c"}, {"chunk_id": 7, "extracto": "y", "pagina": "seven"}, ' || doc_id || ']}'
+ ELSE '[' || doc_id || ']' END"""
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, {_RAW} AS raw FROM documents),
+c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(trim(raw), '^```json', ''), '```$', ''), ' ' || chr(10)) AS j FROM r),
+v AS (SELECT doc_id, CASE WHEN json_valid(j) THEN j::JSON END AS j FROM c),
+o AS (SELECT doc_id, j, coalesce(json_extract(j, '$.frente'), json_extract(j, '$.front')) AS front, coalesce(json_extract(j, '$.dorso'), json_extract(j, '$.back')) AS back, json_extract(j, '$.fuentes') AS sources FROM v),
+s AS (SELECT doc_id, unnest(json_extract(sources, '$[*]')) AS s, generate_subscripts(json_extract(sources, '$[*]'), 1) - 1 AS i FROM o WHERE json_type(sources) = 'ARRAY'),
+p AS (
+  SELECT doc_id, '' AS path, CASE WHEN j IS NULL THEN 'json_invalid' ELSE 'object_type' END AS problem FROM o WHERE j IS NULL OR json_type(j) <> 'OBJECT'
+  UNION ALL SELECT doc_id, 'frente', CASE WHEN front IS NULL THEN 'missing' ELSE 'string_type' END FROM o WHERE json_type(j) = 'OBJECT' AND coalesce(json_type(front), '') <> 'VARCHAR'
+  UNION ALL SELECT doc_id, 'dorso', CASE WHEN back IS NULL THEN 'missing' ELSE 'string_type' END FROM o WHERE json_type(j) = 'OBJECT' AND coalesce(json_type(back), '') <> 'VARCHAR'
+  UNION ALL SELECT doc_id, 'fuentes', 'list_type' FROM o WHERE json_type(j) = 'OBJECT' AND json_type(sources) NOT IN ('ARRAY', 'NULL')
+  UNION ALL SELECT doc_id, 'fuentes.' || i, 'object_type' FROM s WHERE json_type(s) <> 'OBJECT'
+  UNION ALL SELECT doc_id, 'fuentes.' || i || '.' || f, CASE WHEN json_extract(s, '$.' || f) IS NULL THEN 'missing' ELSE 'string_type' END FROM s CROSS JOIN (VALUES ('chunk_id'), ('extracto')) n(f)
+    WHERE json_type(s) = 'OBJECT' AND coalesce(json_type(json_extract(s, '$.' || f)), '') <> 'VARCHAR'
+  UNION ALL SELECT doc_id, 'fuentes.' || i || '.pagina', 'int_type' FROM s WHERE json_type(s) = 'OBJECT' AND json_extract(s, '$.pagina') IS NOT NULL AND try_cast(json_extract_string(s, '$.pagina') AS BIGINT) IS NULL
+), n AS (SELECT doc_id, string_agg(path || ':' || problem, ',' ORDER BY path, problem) AS problems FROM p GROUP BY doc_id)
+SELECT o.doc_id, coalesce(problems, '') AS problems, CASE WHEN problems IS NULL THEN json_extract_string(front, '$') END AS front,
+  CASE WHEN problems IS NULL THEN json_extract_string(back, '$') END AS back, CASE WHEN problems IS NULL THEN json_array_length(sources) END::INTEGER AS n_sources
+FROM o LEFT JOIN n USING (doc_id)
+""")
+def validated_generation(t: Tables):
+    """Answers against the contract of a card; conforming ones under the model's own names."""
+    from ..operators import schemas as N
+
+    v = N.parsed(F.expr(_RAW))
+    rows = t.documents.select("doc_id", N.violations(v, N.FLASHCARD).alias("vs"), N.instance(v, N.FLASHCARD).alias("card"))
+    told = F.array_join(F.transform(F.array_sort("vs"), lambda x: F.concat(x["path"], F.lit(":"), x["problem"])), ",")
+    return rows.select("doc_id", told.alias("problems"), "card.front", "card.back", F.when(F.col("card.sources").isNotNull(), F.size("card.sources")).alias("n_sources"))
