@@ -313,3 +313,18 @@ def key_concepts(t: Tables):
     from ..operators.concepts import key_concepts
 
     return key_concepts(t.documents)
+
+
+@query()
+def lateral_chunks(t: Tables):
+    """C1 to C9 in SQL: sections and their chunks by table functions, as :func:`sections.parse_text` and :func:`chunking.chunked` give them."""
+    from ..functions.table_functions import register
+
+    register(t.spark)
+    return t.spark.sql(
+        """
+        SELECT d.doc_id, s.section_index, s.title, c.piece, md5(c.chunk) AS md5
+        FROM {docs} d, LATERAL text_sections(d.text) s, LATERAL text_chunks(s.content, 1500, 150) c
+        """,
+        docs=t.documents,
+    )
