@@ -145,8 +145,9 @@ def clean_text(c: Column, strip_markdown: bool = False) -> Column:
     return strip(bound(parts, lambda ps: F.array_join(F.transform(numbered(ps), one), "")))
 
 
-def clean_title(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(clean_text(c), r"\s+", " "))
+def clean_title(c: Column, strip_markdown: bool = True) -> Column:
+    """A title by the same rules, in one line, and without Markdown unless told otherwise."""
+    return F.btrim(F.regexp_replace(clean_text(c, strip_markdown), r"\s+", " "))
 
 
 def normalize_title(c: Column) -> Column:
@@ -188,6 +189,25 @@ def unaccent(c: Column) -> Column:
     return F.translate(c, *ACCENTS)
 
 
+def _decomposed(texts):
+    import unicodedata
+
+    import pandas as pd
+
+    return pd.Series([t and "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)).lower().strip() for t in texts], dtype=object)
+
+
+def search_form(c: Column) -> Column:
+    """For searches: compatibility decomposition of all scripts without combining marks, in lower case, without white space at the ends; null is empty.
+
+    Texts of ASCII alone need no decomposition and do not leave the JVM.
+    """
+    text = F.coalesce(c, F.lit(""))
+    other = text.rlike(r"[^\x00-\x7f]")
+    plain = F.lower(F.regexp_replace(F.regexp_replace(text, r"^[\s\x1c-\x1f]+", ""), r"[\s\x1c-\x1f]+$", ""))
+    return F.when(other, F.pandas_udf(_decomposed, "string")(F.when(other, text))).otherwise(plain)
+
+
 def slug(c: Column, separator: str = "-", most: int | None = None) -> Column:
     """Lower-case ASCII letters and digits, all else one separator."""
     out = F.regexp_replace(F.lower(unaccent(c)), "[^a-z0-9]+", separator)

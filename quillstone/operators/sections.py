@@ -132,10 +132,10 @@ def detect_sections(df: DataFrame, key: str = "document_id", name: str = "name",
     return parts[0].select(*columns).union(parts[1].select(*columns)).union(parts[2].select(*columns))
 
 
-def keep_sections(sections: DataFrame, key: str = "document_id") -> DataFrame:
-    """Clean titles and contents, then drop noise under the safeguards."""
+def keep_sections(sections: DataFrame, key: str = "document_id", markdown: bool = False) -> DataFrame:
+    """Clean titles and contents, then drop noise under the safeguards. Markdown markers go if the source is Markdown; empty titles are null."""
     from ..functions import text as T
     from .noise import filter_sections
 
-    cleaned = sections.withColumns({"title": T.clean_title(F.col("title")), "content": T.clean_text(F.col("content"))})
+    cleaned = sections.withColumns({"title": F.nullif(T.clean_title(F.col("title"), markdown), F.lit("")), "content": T.clean_text(F.col("content"), markdown)})
     return filter_sections(cleaned, key)
