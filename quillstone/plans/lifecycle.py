@@ -259,3 +259,24 @@ SELECT doc_id, sha256(source || ':' || substr(text, 1, 1000) || ':' || lang) AS
 def request_hashes(t: Tables):
     """Identities of requests."""
     return t.documents.select("doc_id", Q.request_hash(F.col("source"), F.col("text"), F.col("lang")).alias("request_hash"))
+
+
+@query("""
+SELECT doc_id, 'usuarios/' || coalesce(nullif(source, ''), 'anonymous') || '/documentos/' || doc_id || CASE WHEN lang = 'en' THEN '.pdf' ELSE '.md' END AS object_key, CASE WHEN lang = 'en' THEN 'application/pdf' ELSE 'text/markdown' END AS content_type,
+  sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, ''))::BIGINT AS size, lang <> 'es' AS there FROM documents
+""")
+def stored_documents(t: Tables):
+    """Documents uploaded, some deleted again, and what the store says of all of them."""
+    from ..sources.objects import DocumentStorage, document_key
+    from ..tables import shared_folder, written
+
+    store = DocumentStorage(t.spark, shared_folder(t.spark, "documents"))
+    name = F.when(F.col("lang") == "en", "Source.PDF").otherwise("source.md")
+    docs = t.documents.select("doc_id", "lang", F.col("source").alias("user_id"), F.col("doc_id").cast("string").alias("document_id"), name.alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    docs = docs.withColumn("object_key", document_key(F.col("user_id"), F.col("document_id"), F.col("name")))
+    store.upload_documents(docs)
+    told = store.head().select("object_key", "content_type", "sha256", "size")
+    before = told.join(docs.select("doc_id", "object_key"), "object_key")
+    before = written(before, shared_folder(t.spark, "heads"))
+    store.delete(docs.filter("lang = 'es'").select("object_key"))
+    return before.join(store.exists(before.select("object_key")), "object_key").select("doc_id", "object_key", "content_type", "sha256", "size", "there")
