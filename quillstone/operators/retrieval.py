@@ -178,8 +178,9 @@ def query_text(title: Column, profile: Column, fmt: Column, niche: Column) -> Co
 
 def hashed_embeddings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dimension: int = 64) -> DataFrame:
     """(id, embedding): a stand-in for a model. Words are hashed to signed coordinates and summed, one map-side combined
-    aggregation; vectors have length one, those of texts without words are zero."""
+    aggregation; vectors have length one, those of texts without words are zero. Place and sign come from a word's MD5."""
     words = docs.select(F.col(id_col), F.explode_outer(tokens(F.col(text))).alias("w"))
-    spots = words.select(id_col, F.pmod(F.xxhash64("w"), F.lit(dimension)).alias("i"), F.when(F.col("w").isNull(), 0.0).when(F.pmod(F.xxhash64("w", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s"))
+    h = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long")
+    spots = words.select(id_col, F.pmod(F.floor(h / 2), F.lit(dimension)).alias("i"), F.when(F.col("w").isNull(), 0.0).when(h % 2 == 1, 1.0).otherwise(-1.0).alias("s"))
     sums = spots.groupBy(id_col).agg(*[F.sum(F.when(F.col("i") == k, F.col("s")).otherwise(0.0)).alias(f"x{k}") for k in range(dimension)])
     return sums.select(id_col, F.array(*[f"x{k}" for k in range(dimension)]).alias("v")).select(id_col, normalized(F.col("v")).alias("embedding"))

@@ -202,7 +202,16 @@ def node_progress(t: Tables):
     return C.node_progress(t.events.select(F.col("user_id").alias("run_id"), "event_id", "ts", kind.alias("node")))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+a AS (
+  SELECT user_id, event_id, n, true AS admitted, [us] AS held FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, event_id, n, len(held) < 5, CASE WHEN len(held) < 5 THEN list_append(held, us) ELSE held END
+  FROM (SELECT e.user_id, e.event_id, e.n, e.us, list_filter(a.held, lambda t: t + 60000000 > e.us) AS held FROM a JOIN e ON e.user_id = a.user_id AND e.n = a.n + 1)
+)
+SELECT user_id, event_id, admitted FROM a
+""")
 def admissions(t: Tables):
     """ST5: five calls a minute, refused ones not counted."""
     rows = t.events.select(F.col("user_id"), "event_id", "ts")

@@ -174,8 +174,19 @@ def provider_routing(t: Tables):
     return t.documents.select("doc_id", P.provider_for(F.col("lang"), [("e", "gemini"), ("f", "groq")], "openrouter").alias("provider"), tool.alias("embedder"), L.embedding_batch_size(tool, F.lit(211)).alias("batch"))
 
 
-@query()
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')) AS w FROM documents),
+h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM w),
+x AS (SELECT doc_id, h // 2 % 32 AS i, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END)::BIGINT AS x FROM h GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(x * x)::DOUBLE) AS size FROM x GROUP BY doc_id),
+f AS (SELECT doc_id, arg_min(i, (-abs(x), i)) AS strongest, arg_min(x, (-abs(x), i)) AS x FROM x GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN size > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, 32::INTEGER AS dimension, CASE WHEN size > 0 THEN strongest END::INTEGER AS strongest, CASE WHEN size > 0 THEN round(f.x / size, 6) END AS value
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)
+""")
 def offline_embeddings(t: Tables):
-    """Hashed word vectors as a stand-in for a model."""
+    """Hashed word vectors as a stand-in for a model; their strongest coordinates."""
     v = R.hashed_embeddings(t.documents, dimension=32)
-    return v.select("doc_id", F.round(R.norm(F.col("embedding")), 6).alias("norm"), F.size("embedding").alias("dimension"))
+    size = F.round(R.norm(F.col("embedding")), 6)
+    ranked = F.array_sort(F.transform("embedding", lambda x, i: F.struct((-F.abs(x)).alias("a"), i.alias("i"), x.alias("x"))))
+    top = F.when(size > 0, F.get(ranked, F.lit(0)))
+    return v.select("doc_id", size.alias("norm"), F.size("embedding").alias("dimension"), top["i"].alias("strongest"), F.round(top["x"], 6).alias("value"))
