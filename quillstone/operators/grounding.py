@@ -73,10 +73,12 @@ def best_overlap(items: DataFrame, passages: DataFrame, run: str = "run_id", key
     place = F.row_number().over(Window.partitionBy(run, key).orderBy(F.coalesce("df", F.lit(0)), "w"))
     rare = each.withColumn("place", place).filter(F.col("place") <= F.col("of") - F.ceil(F.col("of") * MIN_RESOLVE - 1e-9) + 1)
     met = rare.select(run, key, "w").join(passage_words, [run, "w"]).select(run, key, "n").distinct()
-    full = met.join(item_words, [run, key]).join(passages.select(run, F.col(order).alias("n"), "content"), [run, "n"])
-    hits = F.size(F.array_intersect("ws", words(F.col("content"))))
-    scored = full.select(run, key, "n", "content", hits.alias("hits"), F.size("ws").alias("of")).filter(F.col("hits") / F.col("of") >= MIN_RESOLVE)
-    return scored.groupBy(run, key).agg(F.min_by("content", F.struct(-F.col("hits"), "n")).alias("content"))
+    # a passage is read for its words once, not once a pair, and its text joins the winner alone
+    held = passages.select(run, F.col(order).alias("n"), words(F.col("content")).alias("pw"))
+    full = met.join(item_words, [run, key]).join(held, [run, "n"])
+    scored = full.select(run, key, "n", F.size(F.array_intersect("ws", "pw")).alias("hits"), F.size("ws").alias("of")).filter(F.col("hits") / F.col("of") >= MIN_RESOLVE)
+    best = scored.groupBy(run, key).agg(F.min_by("n", F.struct(-F.col("hits"), "n")).alias("n"))
+    return best.join(passages.select(run, F.col(order).alias("n"), "content"), [run, "n"]).groupBy(run, key).agg(F.min("content").alias("content"))
 
 
 def verify(items: DataFrame, sources: DataFrame, passages: DataFrame, run: str = "run_id", key: str = "gid", language: str | None = "Spanish", strict: bool = False, order: str = "chunk_id") -> DataFrame:
