@@ -11,7 +11,7 @@ from quillstone.functions import labels as L
 from quillstone.functions import noise as N
 from quillstone.functions import text as T
 from quillstone.operators import chunking as C
-from quillstone.operators import cleaning, dedup, grounding, items, limits, planning, retrieval, sections, summary
+from quillstone.operators import cleaning, dedup, grounding, items, limits, planning, sections, summary
 from quillstone.operators import noise as noise_filter
 
 
