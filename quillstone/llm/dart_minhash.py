@@ -161,13 +161,19 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     return rows.mapInArrow(trimmed(_sign_task), "doc_id long, x1 long, x2 long, h1 long, h2 long, n_words long, sig binary")
 
 
-def _agree(a, b):
-    import pandas as pd
+def _agree_task(floor: float):
+    """Pairs whose signatures agree in a share of ``floor`` of the coordinates or more, with that share."""
 
-    if not len(a):
-        return pd.Series([], dtype=float)
-    x, y = (np.frombuffer(b"".join(v), np.uint16).reshape(len(v), -1) for v in (a, b))
-    return pd.Series((x == y).mean(1))
+    def task(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            est = (x == y).mean(1)
+            near = np.flatnonzero(est >= floor)
+            yield pa.record_batch({"a": batch.column("a").take(pa.array(near)), "b": batch.column("b").take(pa.array(near)), "est": pa.array(est[near])})
+
+    return trimmed(task)
 
 
 def _set_task(batches):
@@ -183,15 +189,19 @@ def _set_task(batches):
             )
 
 
-def _jaccard(a, b):
-    import pandas as pd
+def _jaccard_task(threshold: float):
+    """Pairs whose sets have a Jaccard similarity of ``threshold`` or more."""
+
+    def task(batches):
+        for batch in batches:
+            near = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("ea"), batch.column("eb"))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near[i] = both / max(1, len(x) + len(y) - both) >= threshold
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    out = []
-    for x, y in zip(a, b):
-        x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(both / max(1, len(x) + len(y) - both))
-    return pd.Series(out, dtype=float)
+    return trimmed(task)
 
 
 def _token_task(batches):
@@ -285,12 +295,12 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float = THRESHO
     crowd = materialize(bands.join(buckets.filter(F.col("n") >= F.size("leaders") + 2).select("key"), "key").select("key", "node"), "crowd")
     pairs = bands.join(buckets, "key").select("node", F.explode("leaders").alias("leader")).filter("node <> leader")
     pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    agree = F.pandas_udf(_agree, "double")
+    # tasks that filter themselves: Spark would evaluate a function of a column twice, below the filter and in it, in a worker each
     pairs = (
         pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
         .join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        .select("a", "b", agree("sa", "sb").alias("est"))
-        .filter(F.col("est") >= floor)
+        .select("a", "b", "sa", "sb")
+        .mapInArrow(_agree_task(floor), "a long, b long, est double")
     )
     pairs = materialize(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
@@ -300,11 +310,10 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float = THRESHO
     rows = rows.alias("r").join(needed.alias("n").hint("merge"), F.expr("r.x1 = n.x1 and r.x2 = n.x2 and r.doc_id <=> n.of")).select("node", "text")
     sets = materialize(rows.mapInArrow(trimmed(_set_task), "node long, elems binary"), "shingle-sets")
     sets = sets.groupBy("node").agg(F.min("elems").alias("elems"))
-    jaccard = F.pandas_udf(_jaccard, "double")
 
     def verified(some: DataFrame) -> DataFrame:
         wide = some.join(sets.select(F.col("node").alias("a"), F.col("elems").alias("ea")), "a").join(sets.select(F.col("node").alias("b"), F.col("elems").alias("eb")), "b")
-        return wide.select("a", "b", jaccard("ea", "eb").alias("similarity")).filter(F.col("similarity") >= threshold).select("a", "b")
+        return wide.select("a", "b", "ea", "eb").mapInArrow(_jaccard_task(threshold), "a long, b long")
 
     best = pairs.groupBy("b").agg(F.max(F.struct("est", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = materialize(verified(best), "links")
