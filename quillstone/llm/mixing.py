@@ -86,14 +86,15 @@ def mix(
     # the source as keys that are never null: join and window below then deal the rows out once, alike
     sized = sized.withColumns({"class": size_class(F.col("size")), "key": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()})
     sized = materialize(sized, "mix-sizes")
-    parts = materialize(sized.groupBy("key", "none", "class").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).alias("parts")), "mix-parts")
+    sources = source_targets(sized.select("source", "size"), weights)
+    # counted again where it is joined: a written table would cost more files than these rows are worth
+    parts = sized.groupBy("key", "none", "class").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).alias("parts"))
     few = parts.count() <= 1_000_000  # a source has some hundreds of size classes
     sized = sized.join(F.broadcast(parts) if few else parts, ["key", "none", "class"]).withColumn("part", F.pmod("digest", "parts"))
     place = ["key", "none", "class", "part"]
     blocks = sized.groupBy("source", *place).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("source", *place, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    sources = source_targets(sized.select("source", "size"), weights)
     blocks = blocks.join(sources, blocks["source"].eqNullSafe(sources["source"])).select(
         *place, "before", "source_size", "target"
     )
