@@ -49,9 +49,15 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, label: str, rows: int | None = None, a_file: int = 100_000) -> DataFrame:
+    """Write a frame as Parquet in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    ``rows``, if given, are the most that the frame can have: it is written by a task for each ``a_file`` of them at most, as a
+    shuffle may have far more partitions than its rows need, and every file costs an executor several process starts on local disks.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // a_file)))
     path = f"{shared_root(spark)}/quillstone/{label}-{uuid.uuid4().hex}"
     if _scope["open"]:
         _scope["tables"].append(path)

@@ -46,6 +46,8 @@ BANDS, ROWS = 24, 5
 K = BANDS * ROWS
 FLOOR = 0.62
 BASE_SLICE = 1 / 64
+#: Rows of a file of sets, signatures or documents, and of links, at most on average.
+FILE_SETS, FILE_LINKS = 5_000, 10_000
 #: 64-bit words of a set's parity map.
 MAP_WORDS = 16
 
@@ -221,7 +223,7 @@ def _map_task(batches):
         yield pa.record_batch({"node": batch.column("node"), **{f"w{i}": pa.array(words[:, i]) for i in range(MAP_WORDS)}})
 
 
-def rare_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def rare_pairs(sets: DataFrame, threshold: float = THRESHOLD, most: int | None = None) -> DataFrame:
     """(a, b, shared), a < b: of the sets (node, root, elems), a superset of the pairs of different roots at the threshold.
 
     Prefix filtering: with elements in one order for all sets, the rarest first, the smaller set of such a pair has one
@@ -232,17 +234,19 @@ def rare_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     A map of a set has in each bit the parity of the elements hashed to it. What two sets share cancels out, so the bits
     in which their maps differ are at most the elements in which the sets differ; pairs with more than
     ``(1 - t) / (1 + t)`` of both sizes are below the threshold and end in the join itself.
+
+    ``most``: the rows at most that ``sets`` has or is joined from, if known; then small tables have few files.
     """
-    tokens = materialize(sets.mapInArrow(trimmed(_token_task), "node long, root long, n int, token long"), "crowd-tokens")
+    tokens = materialize(sets.mapInArrow(trimmed(_token_task), "node long, root long, n int, token long"), "crowd-tokens", most, FILE_SETS)
     order = Window.partitionBy("node").orderBy("c", "token")
     counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("c")), "token").withColumn("pos", F.row_number().over(order))
     within = lambda share: F.col("pos") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1
     prefix = counted.filter(within(threshold)).select("token", "node", "root", "n", "pos", within(2 * threshold / (1 + threshold)).alias("short"))
-    prefix = materialize(prefix, "crowd-prefixes")
+    prefix = materialize(prefix, "crowd-prefixes", tokens.count())
     by_root = prefix.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token")
     main = by_root.agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("token", "main")
     maps = sets.select("node", "elems").mapInArrow(trimmed(_map_task), ", ".join(["node long", *(f"w{i} long" for i in range(MAP_WORDS))]))
-    met = materialize(prefix.join(main, "token").join(maps, "node"), "crowd-met")
+    met = materialize(prefix.join(main, "token").join(maps, "node"), "crowd-met", prefix.count(), FILE_LINKS)
     x, y = met.filter("root <> main").alias("x"), met.alias("y")
     smaller = "struct(x.n, x.node) < struct(y.n, y.node)"
     both = f"x.token = y.token and x.root <> y.root and if({smaller}, x.short, y.short) and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-6"
@@ -261,8 +265,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     written tables. The driver sees one count a round.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b")
-    both = materialize(both.distinct(), f"{label}-edges")
-    roots = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")), label)
+    both = materialize(both.distinct(), f"{label}-edges", 2 * edges.count(), FILE_LINKS)
+    roots = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root"))
+    roots = materialize(roots, label, both.count(), FILE_LINKS)
+    nodes = roots.count()
     while True:
         there = both.join(roots.withColumnsRenamed({"node": "b", "root": "r"}), "b").groupBy("a").agg(F.min("r").alias("near"))
         hooked = roots.join(there.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "near").alias("new"))
@@ -271,7 +277,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         step = hooked.join(moved, hooked["root"] == moved["old"]).select("node", "root", F.least("new", "to").alias("new"))
         jump = moved.select(F.col("old").alias("j_node"), F.col("to").alias("j_to"))
         step = step.join(jump, step["new"] == jump["j_node"], "left").select("node", "root", F.least("new", F.coalesce("j_to", "new")).alias("new"))
-        step = materialize(step, label)
+        step = materialize(step, label, nodes, FILE_LINKS)
         changed = step.filter("new <> root").limit(1).count()
         roots = step.select("node", F.col("new").alias("root"))
         if not changed:
@@ -282,17 +288,18 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float = THRESHO
     """(doc_id, x1, x2, h1, h2, n_words, class_id, stays, chosen) of every row; ``chosen`` marks the one text of a class
     that is left of it."""
     signed = materialize(sign(docs, id_col, text), "signatures")
+    n = signed.count()
     worded = signed.filter("n_words > 0")
     first = worded.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "x1", "x2", "sig")).alias("m")).select("h1", "h2", "m.*")
     # numbers for the texts; the written table fixes them
-    first = materialize(first.withColumn("node", F.monotonically_increasing_id()), "representatives")
+    first = materialize(first.withColumn("node", F.monotonically_increasing_id()), "representatives", n, FILE_SETS)
     nodes = first.select("node", "sig")
     bands = nodes.select("node", F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])).alias("band", "key"))
     bands = bands.select("node", "key")
     leaders = [F.min("node"), F.max("node")]
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*leaders)).alias("leaders")).filter("n > 1")
     # members that are no leaders are paired with leaders only; rare_pairs covers them
-    crowd = materialize(bands.join(buckets.filter(F.col("n") >= F.size("leaders") + 2).select("key"), "key").select("key", "node"), "crowd")
+    crowd = materialize(bands.join(buckets.filter(F.col("n") >= F.size("leaders") + 2).select("key"), "key").select("key", "node"), "crowd", BANDS * n)
     pairs = bands.join(buckets, "key").select("node", F.explode("leaders").alias("leader")).filter("node <> leader")
     pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     # tasks that filter themselves: Spark would evaluate a function of a column twice, below the filter and in it, in a worker each
@@ -302,13 +309,13 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float = THRESHO
         .select("a", "b", "sa", "sb")
         .mapInArrow(_agree_task(floor), "a long, b long, est double")
     )
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(pairs, "pairs", 2 * BANDS * n)  # a node and its bucket's leaders
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
     needed = first.select("node", F.col("doc_id").alias("of"), "x1", "x2").join(needed, "node", "left_semi")
     rows = docs.select(*[c.alias(k) for k, c in _keys(docs, id_col, text).items()], text_of(docs, text).alias("text"))
     # merge at every size: the ids grow with the input, and plans that turn with the size would hide how they grow
     rows = rows.alias("r").join(needed.alias("n").hint("merge"), F.expr("r.x1 = n.x1 and r.x2 = n.x2 and r.doc_id <=> n.of")).select("node", "text")
-    sets = materialize(rows.mapInArrow(trimmed(_set_task), "node long, elems binary"), "shingle-sets")
+    sets = materialize(rows.mapInArrow(trimmed(_set_task), "node long, elems binary"), "shingle-sets", n, FILE_SETS)
     sets = sets.groupBy("node").agg(F.min("elems").alias("elems"))
 
     def verified(some: DataFrame) -> DataFrame:
@@ -316,28 +323,28 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float = THRESHO
         return wide.select("a", "b", "ea", "eb").mapInArrow(_jaccard_task(threshold), "a long, b long")
 
     best = pairs.groupBy("b").agg(F.max(F.struct("est", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = materialize(verified(best), "links")
+    links = materialize(verified(best), "links", n, FILE_SETS)
     roots = components(links, "roots")
     named = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     apart = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
     apart = apart.select("a", "b", F.coalesce("root_a", "a").alias("ra"), F.coalesce("root_b", "b").alias("rb")).filter("ra <> rb")
-    more = materialize(verified(apart.join(best, ["a", "b"], "left_anti").select("a", "b")), "more-links")
+    more = materialize(verified(apart.join(best, ["a", "b"], "left_anti").select("a", "b")), "more-links", n + pairs.count(), FILE_SETS)  # a task reads sets besides pairs
     links = links.union(more)
     if more.limit(1).count():
         roots = components(links, "all-roots")
     rooted = crowd.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    loose = materialize(rooted.join(mixed, "key", "left_semi").select("node", "root").distinct(), "crowd-apart")
+    loose = materialize(rooted.join(mixed, "key", "left_semi").select("node", "root").distinct(), "crowd-apart", n + crowd.count(), FILE_LINKS)
     if loose.limit(1).count():
-        found = materialize(rare_pairs(loose.join(sets, "node"), threshold), "crowd-pairs")
+        found = materialize(rare_pairs(loose.join(sets, "node"), threshold, n), "crowd-pairs")
         # first each text with the one that shares most; what these links join needs no further pairs
         nearest = [found.groupBy(x).agg(F.max_by(y, F.struct("shared", y)).alias(y)).select("a", "b") for x, y in (("a", "b"), ("b", "a"))]
-        nearest = materialize(nearest[0].union(nearest[1]).distinct(), "crowd-nearest")
-        links = links.union(materialize(verified(nearest), "crowd-links"))
+        nearest = materialize(nearest[0].union(nearest[1]).distinct(), "crowd-nearest", 2 * found.count(), FILE_LINKS)
+        links = links.union(materialize(verified(nearest), "crowd-links", n + nearest.count(), FILE_SETS))
         roots = components(links, "crowd-roots")
         apart = found.join(nearest, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
         apart = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        rest = materialize(verified(apart), "crowd-more-links")
+        rest = materialize(verified(apart), "crowd-more-links", n + found.count(), FILE_SETS)
         if rest.limit(1).count():
             roots = components(links.union(rest), "last-roots")
     rep = first.drop("sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -365,12 +372,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **
 
     Only the ids and text hashes of rows that go, or that are repeated, are joined to the documents.
     """
-    classes = materialize(_classes(docs, id_col, text, **options).select("doc_id", "x1", "x2", "n_words", "chosen"), "classes")
+    classes = materialize(_classes(docs, id_col, text, **options).select("doc_id", "x1", "x2", "n_words", "chosen"), "classes", docs.count(), FILE_SETS)
     keys = classes.filter("n_words > 0 or doc_id is not null").groupBy("doc_id", "x1", "x2").agg(F.min("chosen").alias("chosen"), F.count("*").alias("n"))
     marks = keys.filter("not chosen or n > 1").select(F.col("doc_id").alias("of"), "x1", "x2", F.when(F.col("chosen"), 2).otherwise(1).alias("mark"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in _keys(docs, id_col, text).items()])
     rows = rows.alias("r").join(marks.alias("m"), F.expr("r.x1 = m.x1 and r.x2 = m.x2 and r.doc_id <=> m.of"), "left").filter("mark is null or mark = 2")
-    marked = materialize(rows.select("row", "doc_id", "r.x1", "r.x2", "mark"), "kept-rows")
+    marked = materialize(rows.select("row", "doc_id", "r.x1", "r.x2", "mark"), "kept-rows", classes.count(), FILE_SETS)
     names = [F.col("row").getField(c).alias(c) for c in docs.columns]
     single = marked.filter("mark is null").select(*names)
     again = marked.filter("mark = 2").groupBy("doc_id", "x1", "x2").agg(F.first("row").alias("row"))

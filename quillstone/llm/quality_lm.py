@@ -42,6 +42,8 @@ MOST_ENTRIES = 1 << 21
 MOST_HELD = 400_000
 #: Code points of texts that are grouped at once; their places fit into 22 bits.
 AT_ONCE = 700_000
+#: N-grams of a file of the model's tables, at most on average.
+FILE_GRAMS = 50_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -179,10 +181,12 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     ``counts`` is read several times: pass a written table. Each order is written, too.
     """
     tables = [counts.select("lang_key", "gram", "n", "multi", "who")]
+    rows_of = [counts.count()]
     for _ in range(ORDER - 1):
         upper = tables[0].select("lang_key", F.substring("gram", 2, ORDER).alias("gram"), "multi", "who")
         lower = upper.groupBy("lang_key", "gram").agg(F.count("*").alias("n"), *_apart())
-        tables.insert(0, materialize(lower, "gram-counts-below"))
+        tables.insert(0, materialize(lower, "gram-counts-below", rows_of[0], FILE_GRAMS))
+        rows_of.insert(0, tables[0].count())
     small = _by_language(counts)
     below = None
     for order, table in enumerate(tables, 1):
@@ -204,7 +208,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         else:
             rows = rows.withColumn("suffix", F.substring("gram", 2, ORDER)).join(below.select("lang_key", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang_key", "suffix"])
         below = rows.select("lang_key", "gram", (F.col("own") / F.col("total") + F.col("left") * F.col("lower")).alias("p"))
-        below = materialize(below, "gram-model")  # an order at a time: small plans
+        below = materialize(below, "gram-model", rows_of[order - 1], FILE_GRAMS)  # an order at a time: small plans
     return below
 
 
