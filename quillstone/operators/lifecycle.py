@@ -53,8 +53,14 @@ def purge_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count_if("ok").alias("purged"), F.count_if(~F.col("ok")).alias("failed"), F.count("*").alias("total"))
 
 
+def _seconds(at: Column) -> Column:
+    """Seconds since 1970, to the nearest whole one, halves to the even one."""
+    return F.rint(F.unix_micros(at.cast("timestamp")) / 1e6)
+
+
 def days_left(purge_at: Column, now: Column) -> Column:
-    return F.greatest(F.lit(0), F.ceil((F.unix_timestamp(purge_at) - F.unix_timestamp(now)) / 86400)).cast("long")
+    """Days until a purge, each begun one counted; 0 when its time is over."""
+    return F.greatest(F.lit(0), F.ceil((_seconds(purge_at) - _seconds(now)) / 86400)).cast("long")
 
 
 def latest_job(jobs: DataFrame, key: str = "content_id") -> DataFrame:
