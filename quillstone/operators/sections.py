@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,10 +51,11 @@ def _text_level(line: str) -> int:
     return 0
 
 
-def text_sections(text: str) -> Iterator[tuple]:
+def text_sections(text: str, whole: bool = True) -> Iterator[tuple]:
     """Sections by short lines that are numbered, labelled or in capitals; those without content go; one at least.
 
-    A title is the path of the headings above, as in Markdown.
+    A title is the path of the headings above, as in Markdown. ``whole``: headings without any content are the content of
+    the one section left, else it is empty.
     """
     path: dict[int, str] = {}
     title, level, body, out = None, 0, [], []
@@ -69,7 +71,7 @@ def text_sections(text: str) -> Iterator[tuple]:
         else:
             body.append(line)
     if not out:
-        out.append((None, 0, text.strip()))
+        out.append((None, 0, text.strip() if whole else ""))
     for n, (title, level, content) in enumerate(out):
         yield n, title, level, content, None
 
@@ -95,8 +97,8 @@ def parse_markdown(df: DataFrame, key: str = "document_id", text: str = "text")
     return _apply(df, key, text, markdown_sections)
 
 
-def parse_text(df: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
-    return _apply(df, key, text, text_sections)
+def parse_text(df: DataFrame, key: str = "document_id", text: str = "text", whole: bool = True) -> DataFrame:
+    return _apply(df, key, text, partial(text_sections, whole=whole))
 
 
 PAGE_MARK = r"\[PÁGINA (\d+)\]"
