@@ -1,6 +1,9 @@
 """Greedy de-duplication by similarity of runs of any size: an item stays if it is unlike every item that stayed before it.
 
-Likeness is ``difflib``'s ratio of the lower-cased texts, not symmetric and not a set measure. The sequential rule is rebuilt as joins:
+Likeness is ``difflib``'s ratio of the lower-cased texts, not symmetric and not a set measure. The sequential rule is rebuilt as joins.
+
+Short runs (``FEW`` items and ``SIGNS`` signs at most) have so few pairs that filters cost more than they save: a run's texts meet once, pairs of fitting
+lengths are streamed through the ratio, and the like pairs of a run, in order, tell what goes. Of longer runs:
 
 1. Copies. Of equal texts only the first can stay (but for texts that are unlike themselves, which ``difflib`` knows: longer than 199 signs, each of
    them frequent; their copies all go on).
@@ -21,7 +24,6 @@ Each round writes its tables. No group is collected, and a large group of near c
 from __future__ import annotations
 
 import math
-import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ from .dedup import RATIO, ratio
 SHARED, WORTH = 6, 8
 #: From this length on a text may be unlike itself.
 POPULAR = 200
+#: Bounds of a short run, in items and signs, and the keys that a batch may have.
+FEW, SIGNS, BATCH = 512, 500_000, 500_000
 
 
 class Filter:
@@ -52,18 +56,31 @@ class Filter:
         c = self.limit * (2 * q - 1) / 2 - (q - 1)
         return max(1, math.ceil(c * size * (1 + self.shorter) - (q - 1) - 1e-9))
 
-    def keys(self, text: str) -> list[tuple[int, int]]:
-        """(key, q) of all grams of a text, the n-th of equal ones apart."""
+    def key_sets(self, text: str) -> list[tuple[int, "np.ndarray"]]:  # noqa: F821
+        """(q, keys) of all grams of a text, the n-th of equal ones apart."""
+        import numpy as np
+
         kinds = ([1] if len(text) < self.least / self.shorter or self.q == 1 else []) + ([self.q] if len(text) >= self.least and self.q > 1 else [])
+        signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         out = []
         for q in kinds:
-            seen: dict[str, int] = {}
-            for i in range(len(text) - q + 1):
-                gram = text[i : i + q]
-                seen[gram] = n = seen.get(gram, 0) + 1
-                out.append((zlib.crc32(f"{q}:{n}:{gram}".encode()), q))
+            if len(signs) < q:
+                continue
+            gram = np.zeros(len(signs) - q + 1, np.uint64)  # 21 bits a sign
+            for i in range(q):
+                gram = (gram << np.uint64(21)) | signs[i : len(signs) - q + 1 + i]
+            gram.sort()
+            begins = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+            nth = np.arange(len(gram)) - np.repeat(begins, np.diff(np.r_[begins, len(gram)]))
+            mixed = (gram ^ np.uint64(q << 61)) * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append((q, np.unique((mixed ^ (mixed >> np.uint64(32))).view(np.int64))))
         return out
 
+    def keys(self, text: str) -> list[tuple[int, int]]:
+        """(key, q) of the same."""
+        return [(int(k), q) for q, ks in self.key_sets(text) for k in ks]
+
     def close(self, a: Column, b: Column) -> Column:
         """Whether texts of these lengths can be alike."""
         return 2 * F.least(a, b) >= self.limit * (a + b) - 1e-9
@@ -74,24 +91,65 @@ class Filter:
 
 
 def _keys_of(limit: float):
-    def keys(texts):
-        import pandas as pd
+    def keys(batches):
+        import numpy as np
+        import pyarrow as pa
 
-        told = Filter(limit)
-        return pd.Series([[{"k": k, "q": q} for k, q in set(told.keys(t))] for t in texts])
+        def rows(ids, qs, sets):
+            ends = np.cumsum([0, *map(len, sets)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(qs, pa.int32()), lists], ["id", "q", "ks"])
 
-    return F.pandas_udf(keys, "array<struct<k:bigint,q:int>>")
+        told = Filter(limit)
+        for batch in batches:
+            ids, qs, sets, n = [], [], [], 0
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("low")):
+                for q, ks in told.key_sets(text.as_py()):
+                    ids.append(i)
+                    qs.append(q)
+                    sets.append(ks)
+                    n += len(ks)
+                if n >= BATCH:
+                    yield rows(ids, qs, sets)
+                    ids, qs, sets, n = [], [], [], 0
+            if ids:
+                yield rows(ids, qs, sets)
+
+    return keys
+
+
+def _places(text: str) -> dict[str, int]:
+    """Of each sign of a text a number whose bits are its places."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _common(places: dict[str, int], size: int, text: str) -> int:
+    """The length of the longest common subsequence of a text and one of ``size`` signs, a row of its table as the bits of a number."""
+    full = (1 << size) - 1
+    row = full
+    for c in text:
+        if c in places:
+            met = row & places[c]
+            row = (row + met | row - met) & full
+    return size - row.bit_count()
 
 
 def _alike(limit: float):
     def alike(new, old):
         import pandas as pd
-        from difflib import SequenceMatcher
+        from collections import Counter
 
-        out = []
+        out, last = [], None
         for a, b in zip(new, old):
-            m = SequenceMatcher(None, a, b)
-            out.append(m.quick_ratio() >= limit and m.ratio() >= limit)
+            if a != last:
+                last, signs, places = a, Counter(a), _places(a)
+            # what difflib matches is a common subsequence, and no more than the signs in common: bounds by its own formula
+            bound = lambda n: (2.0 * n / size if size else 1.0) >= limit
+            size = len(a) + len(b)
+            out.append(bound((signs & Counter(b)).total()) and bound(_common(places, len(a), b)) and ratio(a, b) >= limit)
         return pd.Series(out, dtype=bool)
 
     return F.pandas_udf(alike, "boolean")
@@ -105,7 +163,8 @@ def _like_itself(texts):
 
 def _prefixes(nodes: DataFrame, told: Filter) -> DataFrame:
     """(run, k, id, at, size, need): the keys of each item that it must share ``need`` of with any item it is like."""
-    rows = nodes.select("run", "id", "at", "size", F.explode(_keys_of(told.limit)("low")).alias("t")).select("run", "id", "at", "size", "t.k", "t.q")
+    rows = nodes.select("id", "low").mapInArrow(_keys_of(told.limit), "id long, q int, ks array<long>")
+    rows = rows.join(nodes.select("run", "id", "at", "size"), "id").select("run", "id", "at", "size", "q", F.explode("ks").alias("k"))
     often = rows.groupBy("run", "k").agg(F.count("*").alias("df"))
     per = rows.join(often, ["run", "k"]).groupBy("run", "id", "at", "size", "q").agg(F.sort_array(F.collect_list(F.struct("df", "k"))).alias("ks"))  # a text's own grams
     c = lambda q: told.limit * (2 * q - 1) / 2 - (q - 1)
@@ -131,18 +190,20 @@ def _edges(pairs: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
     return both.filter(_alike(limit)("a", "b")).select("new", "old")
 
 
-def greedy_dedup(items: DataFrame, run: str = "run_id", order: str = "item_idx", text: str = "text", limit: float = RATIO) -> DataFrame:
-    """The items that the greedy rule keeps, in each run, in the order of ``order``.
+def _lost_of_short(rows: DataFrame, told: Filter) -> DataFrame:
+    """(id) of the items of short runs that go. The pairs of a run are rows that stream; of the like ones, sorted, an item goes by an earlier one that stays."""
+    runs = rows.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("at", "size", "low"))).alias("own"))
+    each = runs.select("run", "own", F.posexplode("own").alias("i", "new"))
+    met = each.select("run", "new", F.explode(F.filter(F.slice("own", F.lit(1), F.col("i")), lambda old: told.close(old["size"], F.col("new.size")))).alias("old"))
+    like = met.filter(_alike(told.limit)("new.low", "old.low")).select("run", F.col("new.at").alias("new"), F.col("old.at").alias("old"))
+    pairs = like.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("new", "old"))).alias("ps"))
+    gone = F.aggregate("ps", F.array().cast("array<bigint>"), lambda gone, p: F.when(F.array_contains(gone, p["old"]["id"]), gone).otherwise(F.array_union(gone, F.array(p["new"]["id"]))))
+    return pairs.select(F.explode(gone).alias("id"))
 
-    A null text counts as empty; null runs are one run; of items of equal order the one whose text has the lesser hash is first. Works for limits above 0.5.
-    """
-    spark, told = items.sparkSession, Filter(limit)
-    folder = shared_folder(spark, "greedy-dedup")
-    low = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    key = F.coalesce(F.to_json(F.struct(F.col(run).alias("r"))), F.lit(""))
-    rows = items.select(F.struct(*[F.col(f"`{c}`") for c in items.columns]).alias("row"), key.alias("run"), F.col(order).alias("order"), low.alias("low"), F.monotonically_increasing_id().alias("id"))
-    # places in the order are numbers, so that joins carry no texts
-    rows = written(rows.withColumns({"at": F.struct("order", F.xxhash64("low").alias("tie"), "id"), "size": F.length("low")}), f"{folder}/rows")
+
+def _kept_of_long(rows: DataFrame, told: Filter, folder: str) -> DataFrame:
+    """(id) of the items of long runs that stay."""
+    limit = told.limit
     first = rows.groupBy("run", "low").agg(F.min("at").alias("first"))
     itself = F.when(F.length("low") < POPULAR, F.lit(1.0)).otherwise(F.pandas_udf(_like_itself, "double")("low"))
     first = first.select("run", "low", F.col("first.id").alias("first"), (itself >= limit).alias("once"))
@@ -179,7 +240,29 @@ def greedy_dedup(items: DataFrame, run: str = "run_id", order: str = "item_idx",
             out = mine.join(free.select(F.col("id").alias("old")), "old", "left_semi").select(F.col("new").alias("id"))
             open_ids = written(open_ids.join(free, "id", "left_anti").join(out, "id", "left_anti"), f"{folder}/undecided/{n}")
             n += 1
-    result = written(rows.join(kept, "id", "left_semi").select("row"), f"{folder}/result")
-    for part in ("rows", "nodes", "keys", "free", "out", "open", "edges", "undecided", "first"):
+    return kept
+
+
+def greedy_dedup(items: DataFrame, run: str = "run_id", order: str = "item_idx", text: str = "text", limit: float = RATIO) -> DataFrame:
+    """The items that the greedy rule keeps, in each run, in the order of ``order``.
+
+    A null text counts as empty; null runs are one run; of items of equal order the one whose text has the lesser hash is first. Works for limits above 0.5.
+    """
+    spark, told = items.sparkSession, Filter(limit)
+    folder = shared_folder(spark, "greedy-dedup")
+    low = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    key = F.coalesce(F.to_json(F.struct(F.col(run).alias("r"))), F.lit(""))
+    rows = items.select(F.struct(*[F.col(f"`{c}`") for c in items.columns]).alias("row"), key.alias("run"), F.struct(F.col(order).alias("order"), F.xxhash64(low).alias("tie"), F.monotonically_increasing_id().alias("id")).alias("at"), F.length(low).alias("size"))
+    # places in the order are numbers, so that joins carry no texts
+    rows = written(rows.withColumn("id", F.col("at.id")), f"{folder}/rows")
+    told_rows = rows.withColumn("low", F.lower(F.coalesce(F.col("row").getField(text).cast("string"), F.lit(""))))
+    sizes = rows.groupBy("run").agg(F.count("*").alias("n"), F.sum("size").alias("signs"))
+    long = written(sizes.filter((F.col("n") > FEW) | (F.col("signs") > SIGNS) & (F.col("n") > 1)).select("run"), f"{folder}/long")
+    gone = _lost_of_short(told_rows.join(long, "run", "left_anti"), told)
+    if long.head(1):
+        mine = told_rows.join(long, "run", "left_semi").drop("row")
+        gone = gone.union(mine.select("id").join(_kept_of_long(mine, told, folder), "id", "left_anti"))
+    gone = written(gone, f"{folder}/gone")
+    for part in ("long", "nodes", "keys", "free", "out", "open", "edges", "undecided", "first"):
         dropped(spark, f"{folder}/{part}")
-    return result.select(*[F.col("row").getField(c).alias(c) for c in items.columns])
+    return rows.join(gone, "id", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in items.columns])
