@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import dropped, shared_folder, written
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 NEGATIONS = ["no", "nunca", "jamás", "jamas", "sin", "excepto", "neither", "nor", "not", "never", "without", "except"]
 MIN_RESOLVE, MIN_EXTRACT, MIN_CLAIM = 0.25, 0.45, 0.25
+#: Rarest words of an item that look for passages first, and the numbers of 64 bits in the bitmap of a sieve.
+FIRST, SLOTS = 2, 1 << 19
 # ----------------------------------------------------------------------------------------------------------------
 
 
@@ -60,39 +63,101 @@ def aliases(passages: DataFrame, chunk: str = "chunk_id", text: str = "content",
     return late.join(early, [run, "alias"], "full").select(run, "alias", F.coalesce("late", "early").alias("content"))
 
 
+def _named(passages: DataFrame, run: str, order: str) -> DataFrame:
+    """(run, chunk_id, n, mark): the passages that :func:`aliases` names, without their texts; null where the text is empty."""
+    state = F.when(F.col("content").isNull(), 0).when(F.col("content") == "", 1).otherwise(2)
+    own = F.struct(F.col(order).alias("n"), F.xxhash64("content").alias("mark"), state.alias("state"))
+    ids = aliases(passages.select(run, "chunk_id", order, F.when(F.col("content").isNotNull(), own).alias("own")), text="own", run=run, order=order)
+    text = lambda c: F.when(F.col("content.state") == 2, F.col(f"content.{c}")).alias(c)
+    return ids.select(run, F.col("alias").alias("chunk_id"), text("n"), text("mark"))
+
+
+def _texts(passages: DataFrame, run: str, order: str) -> DataFrame:
+    """(run, n, mark, content), each once."""
+    rows = passages.select(run, F.col(order).alias("n"), F.xxhash64("content").alias("mark"), "content")
+    return rows.groupBy(run, "n", "mark").agg(F.first("content").alias("content"))
+
+
+def _sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose number ``h`` is wanted, and some others: a bitmap of ``SLOTS`` * 64 bits is broadcast, however many are wanted."""
+    slot = F.pmod("h", F.lit(SLOTS)).alias("slot")
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(shiftrightunsigned(h, {SLOTS.bit_length() - 1}), 64) AS INT))").alias("bit")
+    bits = wanted.select(slot, bit).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    return rows.withColumns({"slot": slot, "bit": bit}).join(F.broadcast(bits), "slot").filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("slot", "bit", "bits")
+
+
+def _nearest(items: DataFrame, passages: DataFrame, run: str, key: str, text: str, order: str) -> DataFrame:
+    """(run, key, n, mark) of the passage that :func:`best_overlap` finds."""
+    spark = items.sparkSession
+    folder = shared_folder(spark, "nearest")
+    item_words = items.select(run, key, F.array_sort(words(F.col(text))).alias("ws")).filter(F.size("ws") > 0)
+    # items of equal words are one
+    asked = written(item_words.select(run, "ws").distinct().withColumn("g", F.monotonically_increasing_id()), f"{folder}/asked")
+    mark = F.xxhash64("content").alias("mark")
+    hashes = F.transform(words(F.col("content")), lambda w: F.hash(F.col(run), w))
+    held = written(passages.select(F.col(order).alias("n"), mark, hashes.alias("hs")), f"{folder}/words")
+    postings = held.select("n", "mark", F.explode("hs").alias("h"))
+    each = asked.select("g", F.size("ws").alias("of"), F.explode(F.transform("ws", lambda w: F.hash(F.col(run), w))).alias("h"))
+    rarity = _sieved(postings.select("h"), each).groupBy("h").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("g").orderBy(F.coalesce("df", F.lit(0)), "h"))
+    placed = written(each.join(rarity, "h", "left").select("g", "of", "h", place.alias("place")), f"{folder}/placed")
+    best, before, upto, n = None, 0, FIRST, 0
+    while True:
+        last = F.col("of") - F.ceil(F.col("of") * MIN_RESOLVE - 1e-9) + 1
+        rare = placed
+        if best is not None:  # what holds as many words as the best so far holds one of these
+            last = F.least(last, F.col("of") - F.coalesce(F.col("best.hits"), F.lit(0)) + 1)
+            rare = placed.join(best, "g", "left")
+        rare = rare.filter((F.col("place") > before) & (F.col("place") <= last)).select("g", "h", "place")
+        if before and not rare.head(1):
+            break
+        rare = rare.filter(F.col("place") <= upto)
+        pairs = rare.join(_sieved(postings, rare), "h").select("g", "n", "mark").distinct()
+        pairs = written(pairs.withColumn("h", F.hash("n", "mark")), f"{folder}/pairs/{n}")
+        met = _sieved(passages.select(run, F.col(order).alias("n"), mark, "content").withColumn("h", F.hash("n", "mark")), pairs)
+        full = pairs.drop("h").join(asked, "g").join(met.select(run, "n", "mark", words(F.col("content")).alias("pw")), [run, "n", "mark"])
+        scored = full.select("g", F.struct((-F.size(F.array_intersect("ws", "pw"))).alias("less"), "n", "mark").alias("b"))
+        scored = scored.groupBy("g").agg(F.min("b").alias("b")).select("g", F.struct((-F.col("b.less")).alias("hits"), "b.n", "b.mark").alias("best"))
+        if best is not None:
+            first = F.min(F.struct((-F.col("best.hits")).alias("less"), "best.n", "best.mark", "best")).alias("b")
+            scored = best.union(scored).groupBy("g").agg(first).select("g", "b.best")
+        best = written(scored, f"{folder}/best/{n}")
+        before, upto, n = upto, upto * 4, n + 1
+    found = best.join(asked, "g").filter(F.col("best.hits") / F.size("ws") >= MIN_RESOLVE).select(run, "ws", "best.n", "best.mark")
+    result = written(item_words.join(found, [run, "ws"]).select(run, key, "n", "mark"), f"{folder}/result")
+    for part in ("asked", "words", "placed", "pairs", "best"):
+        dropped(spark, f"{folder}/{part}")
+    return result
+
+
 def best_overlap(items: DataFrame, passages: DataFrame, run: str = "run_id", key: str = "gid", text: str = "grounding_text", order: str = "chunk_id") -> DataFrame:
     """(run, key, content): for each item its run's passage that holds most of its words, if a quarter; ties: the first in ``order``.
 
-    Of an item's n words a passage must hold a quarter, so it holds one of the n - n / 4 + 1 that are rarest in the run: only those
-    are joined, by run and word, and what the run's passages have in common meets nothing.
+    A passage that holds m of an item's n words holds one of any n - m + 1 of them. An item's rarest words look for passages first; what
+    the best of these holds bounds how many more of its words must look, a quarter at least. Words are met as numbers, behind a bitmap of those
+    that look; what counts is then counted by the words themselves. Each step writes its table.
     """
-    item_words = items.select(run, key, words(F.col(text)).alias("ws")).filter(F.size("ws") > 0)
-    passage_words = passages.select(run, F.col(order).alias("n"), F.explode(words(F.col("content"))).alias("w"))
-    rarity = passage_words.groupBy(run, "w").agg(F.count("*").alias("df"))
-    each = item_words.select(run, key, F.size("ws").alias("of"), F.explode("ws").alias("w")).join(rarity, [run, "w"], "left")
-    place = F.row_number().over(Window.partitionBy(run, key).orderBy(F.coalesce("df", F.lit(0)), "w"))
-    rare = each.withColumn("place", place).filter(F.col("place") <= F.col("of") - F.ceil(F.col("of") * MIN_RESOLVE - 1e-9) + 1)
-    met = rare.select(run, key, "w").join(passage_words, [run, "w"]).select(run, key, "n").distinct()
-    # a passage is read for its words once, not once a pair, and its text joins the winner alone
-    held = passages.select(run, F.col(order).alias("n"), words(F.col("content")).alias("pw"))
-    full = met.join(item_words, [run, key]).join(held, [run, "n"])
-    scored = full.select(run, key, "n", F.size(F.array_intersect("ws", "pw")).alias("hits"), F.size("ws").alias("of")).filter(F.col("hits") / F.col("of") >= MIN_RESOLVE)
-    best = scored.groupBy(run, key).agg(F.min_by("n", F.struct(-F.col("hits"), "n")).alias("n"))
-    return best.join(passages.select(run, F.col(order).alias("n"), "content"), [run, "n"]).groupBy(run, key).agg(F.min("content").alias("content"))
+    found = _nearest(items, passages, run, key, text, order)
+    return found.join(_texts(passages, run, order), [run, "n", "mark"]).groupBy(run, key).agg(F.min("content").alias("content"))
 
 
 def verify(items: DataFrame, sources: DataFrame, passages: DataFrame, run: str = "run_id", key: str = "gid", language: str | None = "Spanish", strict: bool = False, order: str = "chunk_id") -> DataFrame:
     """(run, key, chunk_id, verified) for every source of every item.
 
     items: run, key, claim_text, grounding_text. sources: run, key, chunk_id, extracto. passages: run, chunk_id,
-    content and ``order``. A source that names no passage is tried with the passage that shares most words.
+    content and ``order``. A source that names no passage is tried with the passage that shares most words. Passages are found without their
+    texts, which join once.
     """
-    known = aliases(passages, run=run, order=order).withColumnsRenamed({"alias": "chunk_id", "content": "named"})
-    rows = sources.join(items.select(run, key, "claim_text", "grounding_text"), [run, key]).join(known, [run, "chunk_id"], "left")
-    lost = rows.filter(F.coalesce("named", F.lit("")) == "").select(run, key, "grounding_text").distinct()
-    fallback = best_overlap(lost, passages, run, key, order=order).withColumnRenamed("content", "nearest")
-    rows = rows.join(fallback, [run, key], "left")
-    ok = verdict(F.col("extracto"), F.col("claim_text"), F.col("grounding_text"), F.coalesce(F.nullif("named", F.lit("")), "nearest"), strict)
+    named = sources.select(run, key, "chunk_id", "extracto").join(_named(passages, run, order), [run, "chunk_id"], "left")
+    named = written(named, shared_folder(items.sparkSession, "named"))
+    texts = items.select(run, key, "claim_text", "grounding_text")
+    lost = named.filter(F.col("n").isNull()).select(run, key).distinct().join(texts.drop("claim_text"), [run, key]).distinct()
+    fallback = _nearest(lost, passages, run, key, "grounding_text", order).groupBy(run, key).agg(F.min(F.struct("n", "mark")).alias("near"))
+    rows = named.join(fallback, [run, key], "left")
+    own = F.col("n").isNotNull()
+    rows = rows.withColumns({"n": F.when(own, F.col("n")).otherwise(F.col("near.n")), "mark": F.when(own, F.col("mark")).otherwise(F.col("near.mark"))})
+    rows = rows.drop("near").join(texts, [run, key]).join(_texts(passages, run, order), [run, "n", "mark"], "left")
+    ok = verdict(F.col("extracto"), F.col("claim_text"), F.col("grounding_text"), F.col("content"), strict)
     ok = F.coalesce(ok, F.lit(False)) & T.is_language_pure(F.col("grounding_text"), language)
     return rows.select(run, key, "chunk_id", ok.alias("verified"))
 
