@@ -50,25 +50,124 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id"
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
+def _matrix(column, dimension: int):
+    """(mask, matrix) of the rows of a list column that are vectors of this dimension."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), dimension), False)
+    if column.flatten().null_count:
+        fits = pa.array([bool(f) and None not in v for f, v in zip(fits.to_pylist(), column.to_pylist())])
+    values = column.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    mask = fits.to_numpy(zero_copy_only=False)
+    return mask, values.reshape(int(mask.sum()), max(dimension, 0))
+
+
+def _left_sum(products):
+    """Sums of rows, from left to right."""
+    total = 0.0
+    for column in products.T:
+        total = total + column
+    return total
+
+
+def _rounded(x):
+    """To six places, halves away from zero."""
+    import numpy as np
+
+    y = x * 1e6
+    whole = np.trunc(y)
+    return (whole + np.where(np.abs(y - whole) >= 0.5, np.sign(y), 0.0)) / 1e6 + 0.0
+
+
+def _best_of_task(block, k: int, rows: int = 2000, pairs: int = 50_000):
+    """A step over batches of (id, v): the k best rows a query of the block, by matrix products; what a product can't rule out is summed as a single cosine is."""
+
+    def step(batches):
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+
+        ids, dimension, q = block.value
+        size = np.sqrt(_left_sum(q * q)) if dimension > 0 else None
+        unit = q / np.where(size == 0, 1.0, size)[:, None] if dimension > 0 else None
+        best = pd.DataFrame({"q": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "id": pd.Series(dtype="object")})
+        unfit, kind, least = [], None, np.full(len(ids), -np.inf)
+        for batch in batches:
+            kind = batch.column("id").type
+            mask, v = _matrix(batch.column("v"), dimension)
+            names = batch.column("id").to_numpy(zero_copy_only=False)
+            unfit = sorted([*unfit, *names[~mask].tolist()])[:k]
+            names = names[mask]
+            for i in range(0, len(names) if dimension > 0 else 0, rows):
+                part, own = v[i : i + rows], names[i : i + rows]
+                length = np.sqrt(_left_sum(part * part))
+                near = unit @ (part / np.where(length == 0, 1.0, length)[:, None]).T
+                bound = least
+                if len(own) >= k and np.isneginf(least).any():
+                    bound = np.maximum(least, np.partition(near, len(own) - k, axis=1)[:, len(own) - k])
+                at, to = np.nonzero(near >= bound[:, None] - 2e-6)  # rounding moves a score by half of 1e-6 at most
+                if not len(at):
+                    continue
+                found = [best]
+                for j in range(0, len(at), pairs):
+                    x, y = at[j : j + pairs], to[j : j + pairs]
+                    whole = size[x] * length[y]
+                    score = _rounded(np.where(whole == 0, 0.0, _left_sum(q[x] * part[y]) / np.where(whole == 0, 1.0, whole)))
+                    found.append(pd.DataFrame({"q": x, "score": score, "id": own[y]}))
+                    if sum(map(len, found)) > 10 * pairs + k * len(ids):
+                        found = [_first(pd.concat(found[1 if found[0].empty else 0 :]), k)]
+                best = _first(pd.concat(found[1 if best.empty else 0 :]), k)
+                full = best.groupby("q").score.agg(["size", "min"])
+                full = full[full["size"] == k]
+                least[full.index.to_numpy()] = full["min"].to_numpy()
+        if kind is None:
+            return
+        # rows without a score come last, the first ids first
+        short = [(n, None, x) for n in range(len(ids)) for x in unfit] if unfit else []
+        columns = list(zip(*[*zip(best.q.tolist(), best.score.tolist(), best.id.tolist()), *short])) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0], pa.int64())), pa.array(columns[2], kind), pa.array(columns[1], pa.float64())], ["query_id", "hit_id", "score"])
+
+    return step
+
+
+def _first(frame, k: int):
+    return frame.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
+
+
 def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", most_queries: int = 2000) -> DataFrame:
     """(query_id, id, score, rank from 0) of the ``k`` best rows for each of a stated set of queries.
 
     The queries are taken in blocks of ``most_queries``, each broadcast against one scan. Each task of a scan keeps its k
     best rows a query before anything is shuffled.
     """
+    import numpy as np
+
+    spark = vectors.sparkSession
     n = queries.count()
     blocks = max(1, -(-n // most_queries))
+    schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, hit_id {vectors.schema[id_col].dataType.simpleString()}, score double"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
     out = None
     for i in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i)
-        part = part.select(F.col(query_id), normalized(F.col(vector)).alias("q"))
-        rows = vectors.select(F.col(id_col).alias("hit_id"), normalized(F.col(vector)).alias("v"), F.spark_partition_id().alias("task"))
-        scored = rows.crossJoin(F.broadcast(part)).select(query_id, "hit_id", "task", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
-        out = scored if out is None else out.union(scored)
-    order = [F.desc("score"), "hit_id"]
-    local = out.withColumn("r", F.row_number().over(Window.partitionBy(query_id, "task").orderBy(*order))).filter(F.col("r") <= k)
-    best = local.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*order)) - 1).filter(F.col("rank") < k)
-    return best.select(query_id, F.col("hit_id").alias(id_col), "score", "rank")
+        asked = part.select(F.col(query_id).alias("id"), F.col(vector).alias("v")).toArrow().combine_chunks()
+        ids, column = asked.column("id").combine_chunks(), asked.column("v").combine_chunks()
+        lengths = np.array([-1 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
+        for dimension in sorted(set(lengths.tolist())) or []:
+            own = np.flatnonzero(lengths == dimension)
+            mask, matrix = _matrix(column.take(own), dimension)
+            for chosen, of, q in ((own[mask], dimension, matrix), (own[~mask], -1, matrix[:0])):
+                if len(chosen):
+                    block = spark.sparkContext.broadcast((ids.take(chosen), of, q))
+                    best = rows.mapInArrow(_best_of_task(block, k), schema)
+                    out = best if out is None else out.union(best)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "hit_id"))
+    best = out.withColumn("rank", place - 1).filter(F.col("rank") < k)
+    return best.select(F.col("query_id").alias(query_id), F.col("hit_id").alias(id_col), "score", "rank")
 
 
 def tokens(text: Column) -> Column:
