@@ -98,32 +98,38 @@ def _nearest(items: DataFrame, passages: DataFrame, run: str, key: str, text: st
     held = written(passages.select(F.col(order).alias("n"), mark, hashes.alias("hs")), f"{folder}/words")
     postings = held.select("n", "mark", F.explode("hs").alias("h"))
     each = asked.select("g", F.size("ws").alias("of"), F.explode(F.transform("ws", lambda w: F.hash(F.col(run), w))).alias("h"))
-    rarity = _sieved(postings.select("h"), each).groupBy("h").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("g").orderBy(F.coalesce("df", F.lit(0)), "h"))
-    placed = written(each.join(rarity, "h", "left").select("g", "of", "h", place.alias("place")), f"{folder}/placed")
-    best, before, upto, n = None, 0, FIRST, 0
-    while True:
-        last = F.col("of") - F.ceil(F.col("of") * MIN_RESOLVE - 1e-9) + 1
-        rare = placed
-        if best is not None:  # what holds as many words as the best so far holds one of these
-            last = F.least(last, F.col("of") - F.coalesce(F.col("best.hits"), F.lit(0)) + 1)
-            rare = placed.join(best, "g", "left")
-        rare = rare.filter((F.col("place") > before) & (F.col("place") <= last)).select("g", "h", "place")
-        if before and not rare.head(1):
-            break
-        rare = rare.filter(F.col("place") <= upto)
-        pairs = rare.join(_sieved(postings, rare), "h").select("g", "n", "mark").distinct()
-        pairs = written(pairs.withColumn("h", F.hash("n", "mark")), f"{folder}/pairs/{n}")
+    own = F.struct("n", "mark")
+    rarity = _sieved(postings, each).groupBy("h").agg(F.count("*").alias("df"), F.min(own).alias("lead"))
+    whole = Window.partitionBy("g")
+    facts = [F.row_number().over(whole.orderBy("df", "h")).alias("place"), F.count("*").over(whole).alias("p"), F.max("lead").over(whole).alias("top")]
+    placed = written(each.join(rarity, "h").select("g", "of", "h", "lead", *facts), f"{folder}/placed")
+
+    def compared(pairs: DataFrame, best: DataFrame | None, n: int) -> DataFrame:
+        pairs = written(pairs.distinct().withColumn("h", F.hash("n", "mark")), f"{folder}/pairs/{n}")
         met = _sieved(passages.select(run, F.col(order).alias("n"), mark, "content").withColumn("h", F.hash("n", "mark")), pairs)
         full = pairs.drop("h").join(asked, "g").join(met.select(run, "n", "mark", words(F.col("content")).alias("pw")), [run, "n", "mark"])
-        scored = full.select("g", F.struct((-F.size(F.array_intersect("ws", "pw"))).alias("less"), "n", "mark").alias("b"))
-        scored = scored.groupBy("g").agg(F.min("b").alias("b")).select("g", F.struct((-F.col("b.less")).alias("hits"), "b.n", "b.mark").alias("best"))
-        if best is not None:
-            first = F.min(F.struct((-F.col("best.hits")).alias("less"), "best.n", "best.mark", "best")).alias("b")
-            scored = best.union(scored).groupBy("g").agg(first).select("g", "b.best")
-        best = written(scored, f"{folder}/best/{n}")
+        scored = full.select("g", F.struct((-F.size(F.array_intersect("ws", "pw"))).alias("less"), "n", "mark").alias("best"))
+        scored = scored if best is None else scored.union(best)
+        return written(scored.groupBy("g").agg(F.min("best").alias("best")), f"{folder}/best/{n}")
+
+    # the first passage of a rare word, if it holds all words that any passage holds, is the first that does
+    leads = placed.filter(F.col("place") <= FIRST).select("g", F.explode(F.array("lead", "top")).alias("c")).select("g", "c.n", "c.mark")
+    best, before, upto, n = compared(leads, None, 0), 0, FIRST, 1
+    looking = postings.select("n", "mark", F.col("h").alias("held"))
+    while True:
+        rare = placed.join(best, "g", "left").withColumn("miss", F.col("p") + F.coalesce("best.less", F.lit(0))).filter("miss > 0")
+        # what is as good as the best so far misses no more words than it; what is better misses fewer
+        rare = rare.filter((F.col("place") > before) & (F.col("place") <= F.least(F.col("miss") + 1, F.col("p") - F.ceil(F.col("of") * MIN_RESOLVE - 1e-9) + 1)))
+        if not rare.head(1):
+            break
+        rare = rare.filter(F.col("place") <= upto).select("g", "h", "place", "miss", F.col("best.n").alias("least"), F.col("top.n").alias("top"))
+        as_good = F.col("least").isNull() | (F.col("n") < F.col("least"))
+        better = (F.col("place") <= F.col("miss")) & ((F.col("miss") > 1) | (F.col("n") >= F.col("top")))
+        pairs = rare.join(_sieved(looking.withColumn("h", F.col("held")), rare).drop("h"), (F.col("h") == F.col("held")) & (as_good | better))
+        best = compared(pairs.select("g", "n", "mark"), best, n)
         before, upto, n = upto, upto * 4, n + 1
-    found = best.join(asked, "g").filter(F.col("best.hits") / F.size("ws") >= MIN_RESOLVE).select(run, "ws", "best.n", "best.mark")
+    found = best.join(asked, "g").filter(-F.col("best.less") / F.size("ws") >= MIN_RESOLVE)
+    found = found.select(run, "ws", "best.n", "best.mark")
     result = written(item_words.join(found, [run, "ws"]).select(run, key, "n", "mark"), f"{folder}/result")
     for part in ("asked", "words", "placed", "pairs", "best"):
         dropped(spark, f"{folder}/{part}")
@@ -133,9 +139,10 @@ def _nearest(items: DataFrame, passages: DataFrame, run: str, key: str, text: st
 def best_overlap(items: DataFrame, passages: DataFrame, run: str = "run_id", key: str = "gid", text: str = "grounding_text", order: str = "chunk_id") -> DataFrame:
     """(run, key, content): for each item its run's passage that holds most of its words, if a quarter; ties: the first in ``order``.
 
-    A passage that holds m of an item's n words holds one of any n - m + 1 of them. An item's rarest words look for passages first; what
-    the best of these holds bounds how many more of its words must look, a quarter at least. Words are met as numbers, behind a bitmap of those
-    that look; what counts is then counted by the words themselves. Each step writes its table.
+    A passage that misses m of an item's words holds one of any m + 1 of them. First the first passages of an item's rarest words are compared:
+    one that holds all words that any passage holds settles it. Else the rarest words look for passages that miss no more than the best so far
+    and stand before it, or miss fewer. Words are met as numbers, behind a bitmap of those that look; what counts is then counted by the words
+    themselves. Each step writes its table.
     """
     found = _nearest(items, passages, run, key, text, order)
     return found.join(_texts(passages, run, order), [run, "n", "mark"]).groupBy(run, key).agg(F.min("content").alias("content"))
